@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secret_scan, url_filter
+from . import packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
 from .common import table, words
 
 #: The rules of op8, (host, path, verdict).
@@ -42,6 +42,14 @@ def listed_urls(pages: DataFrame) -> DataFrame:
     return pages.filter(seen < THIN_PAGE_CHARS).select(url_filter.canonical(F.col("url")).alias("canon"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.strip(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.judge(pages, listed_urls(pages), URL_RULES)
@@ -52,5 +60,10 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, F.size(words(F.col("text")))))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op8_url_filter, op9_best_fit)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op7_substring_dedup, op8_url_filter, op9_best_fit, op10_simhash)}
 SQL: dict[str, str] = {}
