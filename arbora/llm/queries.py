@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from . import bpe_tree, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
 from .common import table, words
 
 #: The rules of op8, (host, path, verdict).
@@ -42,6 +42,12 @@ def listed_urls(pages: DataFrame) -> DataFrame:
     return pages.filter(seen < THIN_PAGE_CHARS).select(url_filter.canonical(F.col("url")).alias("canon"))
 
 
+def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_tree.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,5 +71,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op7_substring_dedup, op8_url_filter, op9_best_fit, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_tree, op4_quality_rules, op7_substring_dedup, op8_url_filter, op9_best_fit, op10_simhash)}
 SQL: dict[str, str] = {}
