@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
-from .common import table, words
+from . import bpe_tree, compaction, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from .common import new_path, table, words
 
 #: The rules of op8, (host, path, verdict).
 URL_RULES = [
@@ -48,6 +48,26 @@ def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Fixed shares of documents that op3 takes as arrivals: parts of eight.
+ARRIVALS = ((0, 4), (4, 6), (6, 7), (7, 8))
+SHARD_BYTES = 64 << 20
+
+
+def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document is stored after four arrivals and a compaction; row_key is a hash of its stored columns."""
+    docs = table(spark, sf_dir, "documents")
+    store = compaction.Store(spark, new_path(spark, "store"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+    for a, b in ARRIVALS:
+        store.append(docs.filter((part >= a) & (part < b)))
+    version = store.compact(target=SHARD_BYTES)
+    store.vacuum()
+    rows = store.read(version)
+    if rows is None:
+        rows = docs.limit(0).withColumn("_metadata", F.struct(F.lit("").alias("file_name"), F.lit(0).cast("long").alias("file_size")))
+    return rows.select("doc_id", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(version).alias("version"), F.xxhash64("doc_id", "text", "lang", "source", "n_chars").alias("row_key"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,5 +91,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_tree, op4_quality_rules, op7_substring_dedup, op8_url_filter, op9_best_fit, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_tree, op3_compaction, op4_quality_rules, op7_substring_dedup, op8_url_filter, op9_best_fit, op10_simhash)}
 SQL: dict[str, str] = {}
