@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, compaction, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from . import ann_ivfpq, bpe_tree, compaction, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
 from .common import new_path, table, words
 
 #: The rules of op8, (host, path, verdict).
@@ -72,6 +72,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_ivfpq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.strip(table(spark, sf_dir, "documents"), digest=True)
 
@@ -91,5 +95,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_tree, op3_compaction, op4_quality_rules, op7_substring_dedup, op8_url_filter, op9_best_fit, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_tree, op3_compaction, op4_quality_rules, op6_ivf_pq, op7_substring_dedup, op8_url_filter, op9_best_fit, op10_simhash)}
 SQL: dict[str, str] = {}
