@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_ivfpq, bpe_tree, compaction, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from . import ann_ivfpq, bpe_tree, chat_hmm, compaction, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
 from .common import new_path, table, words
 
 #: The rules of op8, (host, path, verdict).
@@ -72,6 +72,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_transcript_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as raw transcripts, and what the model recovers: each turn's role, and its canonical text. ``right``: the role is the turn's own."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").alias("part"), "role", "text")
+    raw = chat_hmm.raw_parts(turns)
+    model = chat_hmm.train(chat_hmm.learning(raw))
+    own = raw.groupBy("conv", "part", F.xxhash64("text").alias("k")).agg(F.min("role").alias("role")).alias("o")
+    told = chat_hmm.decode(raw, model).withColumn("k", F.xxhash64("text")).alias("t")
+    both = told.join(own, F.expr("t.conv <=> o.conv and t.part <=> o.part and t.k = o.k"))
+    return both.select(F.col("t.conv").alias("conv_id"), F.col("t.part").alias("turn"), F.col("t.roles")[0].alias("role"), F.size("t.roles").alias("n_lines"), F.coalesce(F.col("t.roles")[0] == F.col("o.role"), F.lit(False)).alias("right"), "t.rendered")
+
+
 def op6_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_ivfpq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -95,5 +106,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_tree, op3_compaction, op4_quality_rules, op6_ivf_pq, op7_substring_dedup, op8_url_filter, op9_best_fit, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_tree, op3_compaction, op4_quality_rules, op5_transcript_hmm, op6_ivf_pq, op7_substring_dedup, op8_url_filter, op9_best_fit, op10_simhash)}
 SQL: dict[str, str] = {}
