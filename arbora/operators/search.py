@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.operators import tree
+from arbora.sources.shared import materialize
 
 TOP, BUDGET, BEAM, WORD_BONUS = 10, 120, 10, 0.1
 LEAVES = ("func", "block", "const")
@@ -52,12 +53,12 @@ def beam_children(scored: DataFrame, beam: int = BEAM, by: tuple[str, ...] = ())
 
 def beam_reach(scored: DataFrame, beam: int = BEAM, *, by: tuple[str, ...] = (), most: int = tree.MOST_LEVELS) -> DataFrame:
     """Nodes that beams reach from the root, with their step down from it."""
-    kids = beam_children(scored, beam, by).drop("rank")
+    kids = materialize(beam_children(scored, beam, by).drop("rank"), "beam")
     level = scored.filter(F.col("parent_id").isNull()).withColumn("step", F.lit(0))
     out = level
     for step in range(1, most + 1):
         above = level.filter(~F.col("kind").isin(*LEAVES)).select(*by, F.col("node_id").alias("parent_id"))
-        level = kids.join(above, [*by, "parent_id"], "left_semi").withColumn("step", F.lit(step))
+        level = materialize(kids.join(above, [*by, "parent_id"], "left_semi").withColumn("step", F.lit(step)), "reach")
         if level.isEmpty():
             return out
         out = out.unionByName(level)
@@ -100,7 +101,7 @@ def search(nodes: DataFrame, scored_docs: DataFrame, queries: DataFrame, *, top:
     local = each.join(kept, ["query", "node_id"], "left").withColumn("local_score", F.coalesce("score", F.lit(0.0)) + path_bonus(F.col("text"), F.col("symbol"), F.col("path"))).drop("score", "text")
     keyed = local.withColumns({"tree_id": F.col("node_id"), "node_id": F.concat_ws("\t", "query", "node_id"), "parent_id": F.when(F.col("parent_id").isNotNull(), F.concat_ws("\t", "query", "parent_id"))})
     total = aggregate_scores(keyed, F.col("local_score"))
-    scored = keyed.join(total, "node_id")
+    scored = materialize(keyed.join(total, "node_id"), "scored")
     trace = best_first(beam_reach(scored, beam, by=("query",)), budget=budget)
     found = trace.filter("event = 'answer'").join(scored.drop("query"), "node_id").withColumn("hybrid_score", hybrid(F.col("local_score"), F.col("aggregate_score")))
     order = Window.partitionBy("query").orderBy(F.desc(F.round("hybrid_score", 9)), "step")

@@ -2,7 +2,9 @@
 
 Ancestor pairs are made one level at a time by an equi-join on the parent. Sums
 over subtrees don't need them: they rise a level at a time, so that each node is
-aggregated once. Both stop at a depth guard, which a cycle would reach.
+aggregated once. Each level is written to the shared folder, so that no level
+repeats the work of those before it. Both stop at a depth guard, which a cycle
+would reach.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.sources.shared import materialize
+
 MOST_LEVELS = 64
 
 
@@ -38,7 +42,7 @@ def ancestors(nodes: DataFrame, *, hop: Column | None = None, most: int = MOST_L
     level = nodes.select("node_id", F.col("node_id").alias("ancestor"), F.lit(0).alias("depth"))
     out = level
     for depth in range(1, most + 1):
-        level = level.join(step, "ancestor").select("node_id", F.col("_up").alias("ancestor"), F.lit(depth).alias("depth"))
+        level = materialize(level.join(step, "ancestor").select("node_id", F.col("_up").alias("ancestor"), F.lit(depth).alias("depth")), "ancestors")
         if level.isEmpty():
             return out
         out = out.unionByName(level)
@@ -48,10 +52,10 @@ def ancestors(nodes: DataFrame, *, hop: Column | None = None, most: int = MOST_L
 def levels(nodes: DataFrame, most: int = MOST_LEVELS) -> list[DataFrame]:
     """Nodes by depth: roots, their children, and so on."""
     ids = nodes.select(F.col("node_id").alias("_p"))
-    out = [nodes.join(ids, nodes["parent_id"] == ids["_p"], "left_anti")]
+    out = [materialize(nodes.join(ids, nodes["parent_id"] == ids["_p"], "left_anti"), "level")]
     while len(out) <= most:
         above = out[-1].select(F.col("node_id").alias("_p"))
-        below = nodes.join(above, nodes["parent_id"] == above["_p"], "left_semi")
+        below = materialize(nodes.join(above, nodes["parent_id"] == above["_p"], "left_semi"), "level")
         if below.isEmpty():
             return out
         out.append(below)
@@ -67,6 +71,7 @@ def rollup(nodes: DataFrame, values: dict[str, Column], merge: Callable[[Column]
     for own in reversed(by_level[:-1]):
         risen = done.select(F.col("parent_id").alias("node_id"), F.lit(None).cast(own.schema["parent_id"].dataType).alias("parent_id"), *names)
         done = own.unionByName(risen).groupBy("node_id").agg(F.max("parent_id").alias("parent_id"), *[merge(F.col(k)).alias(k) for k in names])
+        done = materialize(done, "rollup")
         out = out.unionByName(done.select("node_id", *names))
     return out
 

@@ -11,6 +11,7 @@ from arbora.functions import paths, text
 from arbora.operators import arch, bm25, graph, mermaid, resolve, search, tree
 from arbora.plans import tables
 from arbora.plans.tables import read
+from arbora.sources.shared import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -233,7 +234,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = local.withColumn("local_score", F.coalesce("score", F.lit(0.0)) + search.path_bonus(F.col("text"), F.col("symbol"), F.col("path"))).drop("score", "text")
     key = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("\t", "query", c))
     keyed = local.select("query", "kind", "local_score", "ord", key("node_id").alias("node_id"), key("parent_id").alias("parent_id"))
-    return keyed.join(search.aggregate_scores(keyed, F.col("local_score")), "node_id")
+    keyed = materialize(keyed, "local-scores")
+    return materialize(keyed.join(search.aggregate_scores(keyed, F.col("local_score")), "node_id"), "scored")
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -252,17 +254,13 @@ def beam_children(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {LOCAL} SELECT query, node_id, step FROM reach")
 def beam_reach(spark, sf_dir):
-    from arbora.sources.shared import materialize
-
-    return _plain(search.beam_reach(materialize(_scored(spark, sf_dir), "scored"), by=("query",))).select("query", "node_id", "step")
+    return _plain(search.beam_reach(_scored(spark, sf_dir), by=("query",))).select("query", "node_id", "step")
 
 
 @query(f"WITH RECURSIVE {LOCAL} SELECT query, node_id, rank, hybrid_score FROM (SELECT query, node_id, round(2 * local_score + aggregate_score, 6) AS hybrid_score, row_number() OVER (PARTITION BY query ORDER BY round(2 * local_score + aggregate_score, 9) DESC, node_id) AS rank FROM reach JOIN both_ USING (query, node_id) WHERE kind = 'func') WHERE rank <= 10")
 def hybrid_search(spark, sf_dir):
     """The answers of a search whose budget covers all that beams reach."""
-    from arbora.sources.shared import materialize
-
-    found = search.beam_reach(materialize(_scored(spark, sf_dir), "scored"), by=("query",)).filter(F.col("kind").isin(*search.LEAVES))
+    found = search.beam_reach(_scored(spark, sf_dir), by=("query",)).filter(F.col("kind").isin(*search.LEAVES))
     found = found.withColumn("hybrid_score", search.hybrid(F.col("local_score"), F.col("aggregate_score")))
     order = Window.partitionBy("query").orderBy(F.desc(F.round("hybrid_score", 9)), "node_id")
     top = found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= search.TOP)
@@ -272,8 +270,6 @@ def hybrid_search(spark, sf_dir):
 @query()
 def best_first_search(spark, sf_dir):
     """Search with a budget that binds: the order of visits matters, which SQL can't tell."""
-    from arbora.sources.shared import materialize
-
     nodes, top, items = _site(spark, sf_dir)
     answers, _ = search.search(nodes, materialize(top, "bm25"), items)
     return rounded(answers, "local_score", "aggregate_score", "hybrid_score")
