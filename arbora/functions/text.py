@@ -73,8 +73,8 @@ def score_text(score: Column) -> Column:
 
 
 def repair_json(text: Column) -> Column:
-    """Backslashes that start no JSON escape are doubled."""
-    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    """Backslashes that start no JSON escape are doubled; escaped backslashes stay."""
+    return F.regexp_replace(text, r'(?<!\\)((?:\\\\)*)\\(?!["\\/bfnrtu])', r"$1\\\\")
 
 
 def diagram_id(label: Column) -> Column:

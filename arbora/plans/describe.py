@@ -26,6 +26,8 @@ class DescribeConfig:
     mode: str = "deterministic"
     coverage: float = 0.95
     redrafts: int = 2
+    #: Guides to write: a title, the components in focus, and words that flows of others must have.
+    guides: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = ()
 
 
 def package_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,6 +67,27 @@ def drafted(spark: SparkSession, name: str, labels: list[str], ends: list[tuple[
     raise RuntimeError(f"no draft of {name} passed: {faults}")
 
 
+def mindmap(rows: list) -> str:
+    """A Mermaid mindmap of the folders in directory_summary() rows."""
+    below: dict = {}
+    for r in rows:
+        below.setdefault(r["parent_id"], []).append(r)
+
+    def grow(up: str | None, depth: int) -> list[str]:
+        return [x for r in below.get(up, []) for x in ("  " * depth + f'("{r["path"] or "root"}: {r["text"]}")', *grow(r["node_id"], depth + 1))]
+
+    return "\n".join(["mindmap", *grow(None, 1)])
+
+
+def guide(title: str, focus: tuple[str, ...], words: tuple[str, ...], comps: list, most: int = 15) -> str:
+    """Flows of the components in focus, then of others with one of the words, and what the focus depends on."""
+    found = [(r["component"] not in focus, r["component"], x) for r in comps for x in r["flows"] or [] if r["component"] in focus or any(w in (x["entry_path"] or "").lower() for w in words)]
+    found.sort(key=lambda f: (f[0], f[2]["place"], f[2]["entry_path"] or ""))
+    deps = sorted({d for r in comps if r["component"] in focus for d in r["deps"] or []} - set(focus))
+    lines = [f"# {title}", "", f"In focus: {', '.join(focus)}. Depends on: {', '.join(deps) or 'nothing'}.", ""]
+    return "\n".join(lines + [f"- {c}, {x['category']}: `{x['entry_path']}` {x['entry_symbol'] or ''}" for _, c, x in found[:most]]) + "\n"
+
+
 def describe(spark: SparkSession, index: str, out: str, config: DescribeConfig | None = None) -> dict[str, int]:
     """Writes overview, component documents, diagrams and meta.json; gives the counts in it.
 
@@ -99,6 +122,15 @@ def describe(spark: SparkSession, index: str, out: str, config: DescribeConfig |
     tree_rows = arch.directory_summary(nodes).withColumn("text", stats_text(files=F.col("files"), classes=F.col("classes"), functions=F.col("functions"))).orderBy("path").collect()
     clusters = role_clusters(inside).orderBy("role").collect()
     top = nodes.filter("kind = 'file'").select("path", ellipsis(F.col("summary"), 140).alias("summary")).orderBy("path").limit(200).collect()
+    write_text(spark, f"{out}/structure.json", json.dumps([r.asDict() for r in tree_rows], ensure_ascii=False, indent=2))
+    write_text(spark, f"{out}/diagrams/structure.mmd", mindmap(tree_rows) + "\n")
+    pairs = [("roles", r["role"], c) for r in clusters for c in r["components"]]
+    if pairs:
+        ends_of = spark.createDataFrame(pairs, "name string, src string, dst string")
+        labels_of = spark.createDataFrame(sorted({("roles", x) for p in pairs for x in p[1:]}), "name string, label string")
+        write_text(spark, f"{out}/diagrams/roles.mmd", mermaid.render(labels_of, ends_of).first()["text"] + "\n")
+    for title, focus, words in config.guides:
+        write_text(spark, f"{out}/guides/{title.lower().replace(' ', '-')}.md", guide(title, focus, words, comps))
     lines = ["# Overview", "", *[f"- [{n}](components/{n}.md)" for n in names], "", "## Folders", "", *[f"- `{r['path']}`: {r['text']}" for r in tree_rows], "", "## Roles", "", *[f"- {r['role']}: {', '.join(r['components'])}" for r in clusters]]
     lines += ["", "## Files", "", *[f"- `{r['path']}` {r['summary'] or ''}".rstrip() for r in top], "", "```mermaid", diagrams["system"], "```"]
     write_text(spark, f"{out}/index.md", "\n".join(lines) + "\n")

@@ -72,3 +72,11 @@ def test_cycles_are_told(spark):
     df = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("r", None, 1.0)], "node_id string, parent_id string, v double")
     with pytest.raises(ValueError, match="cycle"):
         tree.ancestors(df, most=5)
+
+
+def test_json_repair(spark):
+    from arbora.functions.text import repair_json
+
+    cases = {r'{"a": "\d"}': r'{"a": "\\d"}', r'{"a": "\\d\n\""}': r'{"a": "\\d\n\""}', r'"\\\w"': r'"\\\\w"', "plain": "plain"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.x for r in df.select("t", repair_json(F.col("t")).alias("x")).collect()} == cases
