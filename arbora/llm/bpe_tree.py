@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 #: Characters of a leaf; runs up to this length are encoded as they are.
 LEAF = 2048
 #: Encoded runs that a worker remembers, at about 300 bytes each, and the longest of them in bytes.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 600_000, 64
+#: A stop or comma that ends a run after a letter or digit; a pre-token of its own there.
+CLOSING = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
 #: Bytes of text that are handled at once.
 PORTION = 4 << 20
 
@@ -52,6 +54,9 @@ class TreeEncoder:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        ids = lambda t: self.full.encode(t, add_special_tokens=False).ids
+        self.lowers = ids("QzJ KIT") == ids("qzj kit")
+        self.closes = all(ids(f"ab{c}") == ids(f"ab {c}") and ids(f"1{c}") == ids(f"1 {c}") for c in ".,")
 
     def tree(self, token: str) -> list[int]:
         """Ids of one pre-token."""
@@ -113,12 +118,23 @@ class TreeEncoder:
         """The tokens joined by blanks, special ones included: what the library does for a vocabulary without a decoder."""
         return " ".join(map(self.full.id_to_token, ids))
 
+    def cut(self, body: bytes) -> list[bytes]:
+        """The runs of a text, with what the vocabulary treats alike made equal, so that fewer are new.
+
+        Closing stops and commas are cut off where they are pre-tokens anyway.
+        Capitals go where the whole text is ASCII, so that no mark joins a letter,
+        and nothing in it can become a special token.
+        """
+        if self.lowers and body.isascii() and b"<" not in body:
+            body = body.lower()
+        return (CLOSING.sub(rb" \1", body) if self.closes else body).split()
+
     def texts(self, bodies: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids and decoded text of each whole text."""
-        each = [b.split() for b in bodies]
+        each = [self.cut(b) for b in bodies]
         seen = {w for ws in each for w in ws}
         if len(self.known) + len(seen) > REMEMBERED:
-            self.known = {}
+            self.known = {w: x for w in seen if (x := self.known.get(w))}
         table = self.known
         new = self.runs([w for w in seen if w not in table])
         table.update((w, x) for w, x in new.items() if len(w) <= LONGEST)

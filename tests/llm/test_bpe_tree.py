@@ -41,6 +41,7 @@ def odd_texts():
     for k in kinds:
         for n in (1, 40, 700, 5000):
             texts.append("".join(rng.choice(k) for _ in range(n)))
+    texts += ["One, two. THREE... four.,five ,. .x 3.14, a.b. It's. don't, É, T\u0308. T\u0308x, Ä.", "T\u0308est t\u0308. <|ENDOFTEXT|>, <|endoftext|>. A<b.", "end.", "1,", "\u1e97. \u212a, K."]
     texts += ["a" * 9000, "ab" * 5000, "the" * 4000 + " end", "word " * 3000, "é" * 4097, "".join(kinds) * 60]
     return texts
 
