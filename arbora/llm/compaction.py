@@ -17,6 +17,7 @@ without shards reads as an empty table.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,7 +27,13 @@ from .common import file_system
 
 #: Bytes of a full shard, runs that are worth merging, and the factor between tiers.
 TARGET_BYTES, FAN_IN, TIER_FACTOR = 128 << 20, 4, 4
-MANIFEST = "shard string, folder string, rows long, bytes long"
+#: A shard of at least this part of the target is full, and isn't merged again.
+FULL = 0.5
+#: Groups that are merged at a time.
+AT_ONCE = 6
+#: A shard goes by its path below the data folder.
+MANIFEST = "shard string, rows long, bytes long"
+NAME = "([0-9a-f]{32}(/_run=[0-9]+)?/[^/]+)$"
 
 
 class Conflict(RuntimeError):
@@ -44,7 +51,7 @@ class Store:
         return max([int(x) for x in names if x.isdigit()], default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """(shard, folder, rows, bytes) of a version."""
+        """(shard, rows, bytes) of a version."""
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
@@ -53,7 +60,7 @@ class Store:
 
     def _commit(self, version: int, manifest: DataFrame) -> int:
         name = f"{version:08d}-{uuid.uuid4().hex}"
-        manifest.select("shard", "folder", "rows", "bytes").write.parquet(f"{self.path}/manifests/{name}")
+        manifest.select("shard", "rows", "bytes").write.parquet(f"{self.path}/manifests/{name}")
         fs, p = file_system(self.spark, f"{self.path}/versions/{version:08d}")
         try:
             out = fs.create(p, False)
@@ -69,9 +76,8 @@ class Store:
             found = self.spark.read.parquet(f"{self.path}/data/{folder}")
         except AnalysisException:  # nothing was written
             return self.spark.createDataFrame([], MANIFEST)
-        each = found.select(F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_size").alias("bytes"))
-        rows = each.groupBy("shard", "at", "bytes").agg(F.count("*").alias("rows"))
-        return rows.select("shard", F.regexp_extract("at", f"({folder}(/_run=[0-9]+)?)/[^/]*$", 1).alias("folder"), "rows", "bytes")
+        shard = F.regexp_extract("_metadata.file_path", NAME, 1)
+        return found.groupBy(shard.alias("shard"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows")).select("shard", "rows", "bytes")
 
     def append(self, arrival: DataFrame) -> int:
         """Adds an arrival's rows as new shards; gives the new version."""
@@ -80,8 +86,8 @@ class Store:
         return self._commit(version + 1, self.manifest(version).unionByName(self._written(folder)))
 
     def plan(self, *, target: int = TARGET_BYTES, fan_in: int = FAN_IN, factor: int = TIER_FACTOR) -> DataFrame:
-        """Manifest rows to merge, with the number ``grp`` of the file to become: shards short of the target, by tier, filled up to it."""
-        small = self.manifest().filter(F.col("bytes") < target).withColumn("tier", F.floor(F.log(float(factor), F.col("bytes") + 1)))
+        """Manifest rows to merge, with the number ``grp`` of the file to become: shards that aren't full, by tier, filled up to it."""
+        small = self.manifest().filter(F.col("bytes") < target * FULL).withColumn("tier", F.floor(F.log(float(factor), F.col("bytes") + 1)))
         line = Window.partitionBy("tier").orderBy("bytes", "shard")
         filled = F.sum("bytes").over(line.rowsBetween(Window.unboundedPreceding, -1))
         part = small.withColumn("part", F.floor(F.coalesce(filled, F.lit(0)) / target))
@@ -92,22 +98,26 @@ class Store:
     def compact(self, *, target: int = TARGET_BYTES, fan_in: int = FAN_IN, factor: int = TIER_FACTOR) -> int:
         """Merges until no group is ready; gives the latest version.
 
-        The driver holds names and sizes of the shards to merge, never rows; a
-        shard's rows follow its group by a join on its name, and a group, at most
-        twice the target, is one task's file.
+        A group, at most twice the target, is merged by a job of one task, without
+        a shuffle; a few jobs run at a time. The driver holds names and sizes of
+        the shards to merge, never rows.
         """
         version = self.version()
         while True:
-            todo = self.plan(target=target, fan_in=fan_in, factor=factor).select("shard", "folder", "bytes", "grp").collect()
+            todo: dict[int, list[str]] = {}
+            for r in self.plan(target=target, fan_in=fan_in, factor=factor).select("shard", "grp").collect():
+                todo.setdefault(r.grp, []).append(r.shard)
             if not todo:
                 return version
-            old = self.spark.createDataFrame([(r.shard, r.grp) for r in todo], "_shard string, _group long")
-            rows = self._read([f"{r.folder}/{r.shard}" for r in todo]).withColumn("_shard", F.col("_metadata.file_name"))
-            columns = [c for c in rows.columns if c != "_shard"]
-            folder, groups = uuid.uuid4().hex, len({r.grp for r in todo})
-            merged = rows.join(F.broadcast(old) if len(todo) < 10_000 else old, "_shard").select(*columns, F.col("_group").alias("_run"))
-            merged.repartition(groups, "_run").write.partitionBy("_run").option("compression", "zstd").parquet(f"{self.path}/data/{folder}")
-            kept = self.manifest(version).join(old, F.col("shard") == F.col("_shard"), "left_anti")
+            folder = uuid.uuid4().hex
+
+            def merge(group: tuple[int, list[str]], folder: str = folder) -> None:
+                self._read(group[1]).coalesce(1).write.option("compression", "zstd").parquet(f"{self.path}/data/{folder}/_run={group[0]}")
+
+            with ThreadPoolExecutor(AT_ONCE) as pool:
+                list(pool.map(merge, todo.items()))
+            old = self.spark.createDataFrame([(x,) for shards in todo.values() for x in shards], "shard string")
+            kept = self.manifest(version).join(old, "shard", "left_anti")
             version = self._commit(version + 1, kept.unionByName(self._written(folder)))
 
     def _read(self, files: list[str]) -> DataFrame:
@@ -115,12 +125,12 @@ class Store:
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """Rows of a version; None if it has no shard."""
-        files = [f"{r.folder}/{r.shard}" for r in self.manifest(version).collect()]
+        files = [r.shard for r in self.manifest(version).collect()]
         return self._read(files) if files else None
 
     def vacuum(self) -> int:
         """Deletes shards that the latest version doesn't name; gives their number. Older versions can't be read after it."""
-        live = {f"{r.folder}/{r.shard}" for r in self.manifest().collect()}
+        live = {r.shard for r in self.manifest().collect()}
         fs, p = file_system(self.spark, f"{self.path}/data")
         found, gone, top = fs.listFiles(p, True), 0, fs.makeQualified(p).toString()
         while found.hasNext():

@@ -64,8 +64,8 @@ def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.vacuum()
     rows = store.read(version)
     if rows is None:
-        rows = docs.limit(0).withColumn("_metadata", F.struct(F.lit("").alias("file_name"), F.lit(0).cast("long").alias("file_size")))
-    return rows.select("doc_id", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(version).alias("version"), F.xxhash64("doc_id", "text", "lang", "source", "n_chars").alias("row_key"))
+        rows = docs.limit(0).withColumn("_metadata", F.struct(F.lit("").alias("file_path"), F.lit(0).cast("long").alias("file_size")))
+    return rows.select("doc_id", F.regexp_extract("_metadata.file_path", compaction.NAME, 1).alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(version).alias("version"), F.xxhash64("doc_id", "text", "lang", "source", "n_chars").alias("row_key"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,8 @@ def test_versions_merges_and_conflicts(spark, tmp_path):
     assert rows_of(store.read()) == whole and rows_of(store.read(3)) == third
     assert store.plan(target=size // 3).count() == 0
     assert store.manifest().count() < 9
+    assert store.manifest().agg(F.sum("rows")).first()[0] == 600
+    assert store.manifest().agg(F.max("bytes")).first()[0] <= 2 * (size // 3)
     other = compaction.Store(spark, store.path)
     with pytest.raises(compaction.Conflict):
         other._commit(last, before)
