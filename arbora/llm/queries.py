@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_ivfpq, bpe_tree, chat_hmm, compaction, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from . import ann_ivfpq, bpe_tree, chat_hmm, compaction, oracles, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
 from .common import new_path, table, words
 
 #: The rules of op8, (host, path, verdict).
@@ -107,4 +107,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_tree, op3_compaction, op4_quality_rules, op5_transcript_hmm, op6_ivf_pq, op7_substring_dedup, op8_url_filter, op9_best_fit, op10_simhash)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_secret_scan": oracles.op1(), "op4_quality_rules": oracles.OP4, "op7_substring_dedup": oracles.OP7, "op8_url_filter": oracles.op8(URL_RULES, THIN_PAGE_CHARS)}
