@@ -144,11 +144,13 @@ def decode(parts: DataFrame, model: Model) -> DataFrame:
     rows = parts.select(F.col("conv").cast("long").alias("conv"), F.col("part").cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     rows = rows.withColumn("key", F.when(lost, F.concat_ws("/", F.lit("row"), "conv", "part", F.sha2("text", 256))).otherwise(F.concat_ws("/", F.lit("conv"), "conv")))
     rows = rows.withColumn("at", F.when(lost, F.lit(0)).otherwise(F.col("part")))
-    rows = materialize(rows.withColumn("block", F.floor(F.col("at") / PARTS)), "transcripts")
-    low, high = rows.agg(F.min("block"), F.max("block")).first()
+    rows = rows.withColumn("block", F.floor(F.col("at") / PARTS))
+    reach = materialize(rows.groupBy("key").agg(F.min("block").alias("first"), F.max("block").alias("last")), "conversations")
+    rows = materialize(rows.join(reach, "key"), "transcripts")
+    # only conversations of several blocks need sums; the others' one block is decoded as it is
+    several = rows.filter("first < last")
     levels: list[DataFrame] = []
-    if low != high:
-        firsts = rows.groupBy("key").agg(F.min("block").alias("first"))
+    if not several.isEmpty():
 
         def sum_up(part: pd.DataFrame) -> pd.DataFrame:
             m, part = shared.value, part.sort_values(["at", "text"])
@@ -160,7 +162,7 @@ def decode(parts: DataFrame, model: Model) -> DataFrame:
             return pd.DataFrame({"key": [part["key"].iloc[0]], "block": [part["block"].iloc[0]], "score": [total.ravel()]})
 
         schema = "key string, block long, score array<double>"
-        level = materialize(rows.join(firsts, "key").groupBy("key", "block").applyInPandas(sum_up, schema), "hmm-sums")
+        level = materialize(several.groupBy("key", "block").applyInPandas(sum_up, schema), "hmm-sums")
 
         def combine(part: pd.DataFrame) -> pd.DataFrame:
             total = None
@@ -208,10 +210,10 @@ def decode(parts: DataFrame, model: Model) -> DataFrame:
         roles, begins, shown = zip(*out, strict=True)
         return pd.DataFrame({"conv": part["conv"].astype("Int64"), "part": part["part"].astype("Int64"), "text": part["text"], "roles": roles, "starts": begins, "rendered": ["\n".join(x) for x in shown]})
 
-    if fixed is None:  # no conversation has more than one block
-        given = rows.withColumns({"entry": F.lit(0), "leave": F.lit(-1), "is_first": F.lit(True)})
-    else:
-        given = rows.join(fixed, ["key", "block"]).join(firsts, "key").withColumn("is_first", F.col("block") == F.col("first")).drop("first")
+    given = rows.filter("first = last").withColumns({"entry": F.lit(0), "leave": F.lit(-1)})
+    if fixed is not None:
+        given = given.unionByName(several.join(fixed, ["key", "block"]))
+    given = given.withColumn("is_first", F.col("block") == F.col("first")).drop("first", "last")
     return given.groupBy("key", "block").applyInPandas(states, "conv long, part long, text string, roles array<string>, starts array<boolean>, rendered string")
 
 
