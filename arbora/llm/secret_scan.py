@@ -130,7 +130,7 @@ def findings(
     )
     any_span = (F.size("base") > 0) | (F.size("bare") > 0)
     each = scanned.filter(any_span).select("doc_id", "text_key", "repo", "owner", F.explode(F.concat("base", "bare")).alias("span")).withColumn("hash", F.col("span.hash"))
-    known = ownership(each)
+    known = materialize(ownership(each), "ownership")  # as a table, so that Spark can split a hot value's join
     judged = (
         each.select("doc_id", "text_key", "hash", "span")
         .distinct()
