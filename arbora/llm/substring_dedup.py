@@ -161,7 +161,9 @@ def _hashed(rows: DataFrame) -> DataFrame:
 def _settled(t: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of a level's runs: those that are repeated as a whole, and one of each kind whose pick is repeated with other surroundings."""
     picks = t.groupBy("h").agg(F.count("*").alias("c"), F.min("span").alias("lo"), F.max("span").alias("hi")).filter("c > 1")
-    hit = materialize(t.join(picks.select("h", (F.col("lo") != F.col("hi")).alias("differ")), "h"), "runs-met")
+    # as a table, so that both sides of the join are plain shuffles, whose hot partitions Spark splits
+    picks = materialize(picks.select("h", (F.col("lo") != F.col("hi")).alias("differ")), "picks")
+    hit = materialize(t.join(picks, "h"), "runs-met")
     kinds = materialize(hit.filter("differ").groupBy("h", "span").agg(F.count("*").alias("c"), F.min(F.struct(*[x for x in t.columns if x not in ("h", "span")])).alias("one")), "run-kinds")
     twice = hit.filter("not differ").select("doc_id", "text_key", "p", "n").unionByName(hit.filter("differ").join(kinds.filter("c > 1").select("h", "span"), ["h", "span"]).select("doc_id", "text_key", "p", "n"))
     return twice, kinds.select("h", "span", "one.*")
@@ -179,7 +181,7 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     twice2, other2 = _settled(again)
     each = other2.select("doc_id", "text_key", "p", F.posexplode(F.arrays_zip("a", "b")).alias("k", "w")).select("doc_id", "text_key", (F.col("p") + F.col("k")).alias("p"), "w.a", "w.b")
     each = materialize(each, "windows")
-    more = each.groupBy("a", "b").agg(F.count("*").alias("c")).filter("c > 1").select("a", "b")
+    more = materialize(each.groupBy("a", "b").agg(F.count("*").alias("c")).filter("c > 1").select("a", "b"), "windows-met")
     twice3 = each.join(more, ["a", "b"]).select("doc_id", "text_key", "p", F.lit(1).alias("n"))
     return twice.unionByName(twice2).unionByName(twice3)
 
