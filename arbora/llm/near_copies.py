@@ -1,0 +1,127 @@
+"""Near copies: texts whose sets of shingles have a Jaccard similarity of at least ``SIMILAR``.
+
+Candidates come from MinHash bands and every one is verified by the similarity
+of the whole sets, so no two texts are linked for their signatures alone. A pair
+of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS:
+0.9996 at 0.8, and more above it. Texts of one set of shingles count once, before
+any bands. The texts of a bucket are compared
+
+* each with each, up to ``ALL_PAIRS`` texts;
+* beyond it with the bucket's least under each of ``HEADS`` orders that all
+  buckets share, so that rows grow with a dense group's texts, not with their
+  square. Such a group's other buckets have other heads.
+
+Defined results: a text of fewer words than a shingle is one shingle; null and
+empty texts and those of blanks are copies of each other; links are transitive; a
+null id comes after all others; repeated rows are copies; an empty table gives no
+rows; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+from .components import components
+from .simhash import SEED, shingle_hashes
+
+WIDTH, SIMILAR = 5, 0.8
+BANDS, ROWS = 20, 5
+ALL_PAIRS, HEADS = 12, 3
+#: Shingles whose hashes are permuted at once: what bounds a task's memory.
+CHUNK = 1 << 12
+_draw = np.random.default_rng(SEED)
+MASKS = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+FACTORS = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, in order."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A signed key for each band of the MinHash signature; none without shingles."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, len(hashes), CHUNK):
+        x = hashes[k : k + CHUNK] ^ MASKS[:, None]
+        x *= FACTORS[:, None]
+        x ^= x >> np.uint64(32)
+        x *= FACTORS[::-1, None]
+        least = np.minimum(least, x.min(axis=1))
+    signed = [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(signed, np.uint64).view(np.int64).tolist()
+
+
+def _prints(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """(doc_id, text_key, set_key, bands) of every row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, bands = [], []
+            for t in b.column("text"):
+                hashes = shingle_set(t.as_py(), width)
+                keys.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                bands.append(band_keys(hashes))
+            keys = pa.array(np.array(keys, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), keys, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "set_key", "bands"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).cast("binary").alias("text"))
+    return materialize(rows.mapInArrow(run, "doc_id long, text_key long, set_key long, bands array<long>"), "set-prints")
+
+
+def _candidates(each: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of sets to verify, from (set_key, bands)."""
+    keyed = each.select("set_key", F.explode("bands").alias("key"))
+    heads = [F.min(F.struct(F.xxhash64("set_key", F.lit(k)).alias("o"), F.col("set_key").alias("s"))).alias(f"h{k}") for k in range(HEADS)]
+    # as tables, so that both sides of the joins are plain shuffles, whose hot partitions Spark splits
+    met = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), *heads).filter("n > 1").select("key", "n", F.array_distinct(F.array(*[f"h{k}.s" for k in range(HEADS)])).alias("heads")), "buckets")
+    rows = materialize(keyed.join(met, "key"), "bucket-rows")
+    few = rows.filter(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list("set_key")).alias("all"))
+    few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
+    many = rows.filter(F.col("n") > ALL_PAIRS).select(F.col("set_key").alias("x"), F.explode("heads").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return materialize(few.unionByName(many).filter("a < b").distinct(), "candidates")
+
+
+def links(docs: DataFrame, prints: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """(a, b): pairs of sets of shingles that are verified to be similar."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), width).view(np.int64) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("set_key"), pa.array(sets, pa.list_(pa.int64()))], ["set_key", "shingles"])
+
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("k"))).alias("one")
+    each = materialize(prints.groupBy("set_key").agg(one, F.first("bands").alias("bands")), "sets")
+    pairs = _candidates(each.select("set_key", "bands"))
+    wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+    where = each.join(wanted, "set_key").select("set_key", F.col("one.i").alias("i"), F.col("one.k").alias("k"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).cast("binary").alias("text"))
+    texts = rows.join(where, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_key") == F.col("k"))).dropDuplicates(["set_key"]).select("set_key", "text")
+    sets = materialize(texts.mapInArrow(run, "set_key long, shingles array<long>"), "shingles")
+    left, right = (sets.select(F.col("set_key").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
+    return both.filter(F.col("c") >= similar * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b")
+
+
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, text_key, root for every row of ``docs``; copies share a root."""
+    prints = _prints(docs, doc_id, text, width)
+    parts = materialize(components(links(docs, prints, doc_id=doc_id, text=text, width=width, similar=similar)), "set-roots")
+    return prints.join(parts.withColumnRenamed("node", "set_key"), "set_key", "left").select("doc_id", "text_key", F.coalesce("root", "set_key").alias("root"))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """``docs`` with one row of each group of copies, that of the least id."""
+    told = near_copies(docs, doc_id=doc_id, text=text, width=width, similar=similar)
+    first = told.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("k"))).alias("x")).select("x.i", "x.k")
+    same = docs[doc_id].cast("long").eqNullSafe(first["i"]) & (F.xxhash64(docs[text]) == first["k"])
+    return docs.join(first, same).dropDuplicates(["i", "k"]).select(*docs.columns)

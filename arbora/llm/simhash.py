@@ -42,18 +42,24 @@ SEED = 42
 THIRDS = ((0, 21), (21, 21), (42, 22))
 
 
-def fingerprint(text: bytes | None, width: int) -> int:
-    """Fingerprint of a whole text, signed."""
+def shingle_hashes(text: bytes | None, width: int) -> list[int]:
+    """Hashes of a text's shingles in order; a text of fewer words is one shingle, one without words has none."""
     flat = b" ".join((text or b"").lower().split())  # both treat ASCII alone
     if not flat:
-        return 0
+        return []
     gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     if len(gaps) < width:
-        hashes = [xxhash.xxh64_intdigest(flat, SEED)]
-    else:
-        starts = [0, *(gaps + 1).tolist()]
-        ends = [*gaps.tolist(), len(flat)]
-        hashes = [xxhash.xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])]  # noqa: B905
+        return [xxhash.xxh64_intdigest(flat, SEED)]
+    starts = [0, *(gaps + 1).tolist()]
+    ends = [*gaps.tolist(), len(flat)]
+    return [xxhash.xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])]  # noqa: B905
+
+
+def fingerprint(text: bytes | None, width: int) -> int:
+    """Fingerprint of a whole text, signed."""
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[k : k + (1 << 16)], "<u8")
