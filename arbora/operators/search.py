@@ -111,6 +111,8 @@ def search(nodes: DataFrame, scored_docs: DataFrame, queries: DataFrame, *, top:
 
 Judge = Callable[[str, dict], tuple[bool, float, str]]
 EXPLORE, SHOWN, KEPT = 0.15, 20, 5
+#: Queries that a task of the guided search has on average.
+BLOCK = 32
 
 
 def word_overlap(query: str, node: dict) -> tuple[bool, float, str]:
@@ -120,13 +122,34 @@ def word_overlap(query: str, node: dict) -> tuple[bool, float, str]:
     return share > 0, share, f"{share:.2f} of the words"
 
 
-def guided(nodes: DataFrame, judge: Judge = word_overlap, *, budget: int = 50, top: int = TOP, by: str = "query") -> DataFrame:
-    """Search by a judge of relevance, one group for each query: nodes (query, text, node_id, parent_id, ord, kind, path, symbol, summary).
+def shown_reach(nodes: DataFrame, budget: int) -> DataFrame:
+    """The nodes that a guided search may look at: from the first roots, each parent's first ``SHOWN`` children, level by level.
+
+    A search takes one node of each level at least before it takes one below, so
+    levels and roots beyond the budget are out of its reach.
+    """
+    order = Window.partitionBy("parent_id").orderBy(F.col("ord").asc_nulls_last(), "node_id")
+    first = nodes.filter("parent_id is not null").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SHOWN).drop("_n")
+    kids = materialize(first, "shown")
+    out = level = materialize(nodes.filter("parent_id is null").orderBy(F.col("ord").asc_nulls_last(), "node_id").limit(budget), "reach")
+    for _ in range(budget - 1):
+        above = level.select(F.col("node_id").alias("parent_id")).distinct()
+        level = materialize(kids.join(above, "parent_id", "left_semi").select(*nodes.columns), "reach")
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
+
+
+def guided(nodes: DataFrame, queries: DataFrame, judge: Judge = word_overlap, *, budget: int = 50, top: int = TOP, by: str = "query") -> DataFrame:
+    """Search of nodes (node_id, parent_id, ord, kind, path, symbol, summary) by a judge of relevance, for each of the queries (query, text).
 
     The frontier's best is judged; functions, methods, constants and classes may
     be answers; containers, and what the judge doesn't rule out, are expanded to
     the judge's best five of their first twenty children. A judge that fails
-    counts as not relevant.
+    counts as not relevant. Equal places (``ord``) are told apart by id. Queries
+    are searched in blocks of ``BLOCK``; a task sees the nodes within reach, at
+    most ``SHOWN`` to the power of the depth, once for a block.
     """
 
     def ask(query: str, node: dict) -> tuple[bool, float, str]:
@@ -135,27 +158,37 @@ def guided(nodes: DataFrame, judge: Judge = word_overlap, *, budget: int = 50, t
         except Exception as e:  # noqa: BLE001
             return False, 0.0, str(e)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("ord").to_dict("records")
-        below = defaultdict(list)
-        for r in rows:
-            below[r["parent_id"]].append(r)
+    def search_one(text: str, below: dict) -> list[tuple]:
         frontier, steps = [(1.0, r) for r in below[None]], []
         while frontier and len(steps) < budget:
             frontier.sort(key=lambda x: -x[0])
             _, node = frontier.pop(0)
-            relevant, sure, why = ask(node["text"], node)
+            relevant, sure, why = ask(text, node)
             answer = relevant and node["kind"] in (*LEAVES, "class")
             steps.append((len(steps), "answer" if answer else "evaluate", node["node_id"], float(sure), why))
             if node["kind"] in ("repo", "pkg", "file") or sure > EXPLORE:
-                told = sorted(((ask(c["text"], c)[1], c) for c in below.get(node["node_id"], [])[:SHOWN]), key=lambda x: -x[0])
+                told = sorted(((ask(text, c)[1], c) for c in below.get(node["node_id"], [])[:SHOWN]), key=lambda x: -x[0])
                 frontier += told[:KEPT]
-        out = pd.DataFrame(steps, columns=["step", "event", "node_id", "score", "reason"])
-        out.insert(0, by, group[by].iloc[0])
-        return out
+        return steps
 
-    kind = nodes.schema[by].dataType.simpleString()
-    return nodes.groupBy(by).applyInPandas(run, f"{by} {kind}, step int, event string, node_id string, score double, reason string")
+    def run(asked: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        below = defaultdict(list)
+        for r in tree.sort_values(["ord", "node_id"]).drop(columns="block").to_dict("records"):
+            below[r["parent_id"]].append(r)
+        out = [pd.DataFrame(columns=[by, "step", "event", "node_id", "score", "reason"])]
+        for k, text in enumerate(asked["text"]):
+            steps = pd.DataFrame(search_one(text, below), columns=["step", "event", "node_id", "score", "reason"])
+            steps.insert(0, by, asked[by].iloc[[k] * len(steps)].array)
+            out.append(steps)
+        return pd.concat([x for x in out if len(x)] or out)
+
+    reach = shown_reach(nodes.select("node_id", "parent_id", "ord", "kind", "path", "symbol", "summary"), budget)
+    asked = materialize(queries.select(by, "text").distinct(), "asked")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64(by, "text"), F.lit(blocks)))
+    each = reach.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    kind = queries.schema[by].dataType.simpleString()
+    return dealt.groupBy("block").cogroup(each.groupBy("block")).applyInPandas(run, f"{by} {kind}, step int, event string, node_id string, score double, reason string")
 
 
 def sticky_last(trace: DataFrame, value: Column, when: Column, by: str, order: str) -> Column:

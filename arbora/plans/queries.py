@@ -280,7 +280,7 @@ def guided_search(spark, sf_dir):
     """Search by a judge of relevance, here the share of a query's words."""
     nodes = tables.site_nodes(spark, sf_dir).withColumn("summary", F.col("path"))
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return rounded(search.guided(nodes.join(F.broadcast(items))), "score")
+    return rounded(search.guided(nodes, items), "score")
 
 
 # resolution and windows

@@ -80,3 +80,51 @@ def test_json_repair(spark):
     cases = {r'{"a": "\d"}': r'{"a": "\\d"}', r'{"a": "\\d\n\""}': r'{"a": "\\d\n\""}', r'"\\\w"': r'"\\\\w"', "plain": "plain"}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.x for r in df.select("t", repair_json(F.col("t")).alias("x")).collect()} == cases
+
+
+def wide_tree():
+    """Parents of many children, most of which a search can't look at, and roots and chains beyond the budget."""
+    rng = random.Random(8)
+    rows, parents = [(f"root{i:02}", None, i, "repo", "") for i in range(4)], ["root00", "root01"]
+    for depth in range(3):
+        nxt = []
+        for p in parents:
+            for i in range(rng.choice([3, 25, 60])):
+                kind = rng.choice(["pkg", "file", "func", "class"])
+                node = f"{p}.{i:02}"
+                rows.append((node, p, 100 - i if depth == 1 else i, kind, " ".join(rng.choice(["alpha", "beta", "gamma", "x", "y"]) for _ in range(2))))
+                nxt.append(node)
+        parents = rng.sample(nxt, min(12, len(nxt)))
+    return rows
+
+
+def sequential_guided(rows, text, budget):
+    below = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        below.setdefault(r[1], []).append(r)
+    tell = lambda r: search.word_overlap(text, {"path": r[4]})
+    frontier, steps = [(1.0, r) for r in below[None]], []
+    while frontier and len(steps) < budget:
+        frontier.sort(key=lambda x: -x[0])
+        r = frontier.pop(0)[1]
+        relevant, sure, _ = tell(r)
+        steps.append(("answer" if relevant and r[3] in (*search.LEAVES, "class") else "evaluate", r[0], sure))
+        if r[3] in ("repo", "pkg", "file") or sure > search.EXPLORE:
+            frontier += sorted(((tell(c)[1], c) for c in below.get(r[0], [])[: search.SHOWN]), key=lambda x: -x[0])[: search.KEPT]
+    return steps
+
+
+@pytest.mark.parametrize("budget", [2, 50])
+def test_guided_looks_only_at_nodes_in_reach(spark, monkeypatch, budget):
+    monkeypatch.setattr(search, "BLOCK", 3)
+    rows = wide_tree()
+    nodes = spark.createDataFrame(rows, "node_id string, parent_id string, ord int, kind string, path string").withColumns({"symbol": F.lit(None).cast("string"), "summary": F.lit(None).cast("string")})
+    asked = [(k, t) for k, t in enumerate(["alpha", "beta gamma", "x alpha y", "none", "gamma", "y y beta", "alpha beta gamma"])]
+    got = {}
+    for r in search.guided(nodes, spark.createDataFrame(asked, "query int, text string"), budget=budget).orderBy("query", "step").collect():
+        got.setdefault(r.query, []).append((r.event, r.node_id, r.score))
+    assert got == {q: sequential_guided(rows, t, budget) for q, t in asked}
+    reach = search.shown_reach(nodes, budget)
+    most = reach.filter("parent_id is not null").groupBy("parent_id").count().agg(F.max("count")).first()[0]
+    assert most <= search.SHOWN and reach.count() < len(rows) / 2
+    assert reach.filter("parent_id is null").count() == min(budget, 4)
