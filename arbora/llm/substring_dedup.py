@@ -42,7 +42,7 @@ LEVELS = (9, 18)
 #: Windows that are handled at once: what bounds a task's memory.
 CHUNK = 1 << 19
 BASE = 0x9E3779B97F4A7C15
-RUN_SCHEMA = "doc_id long, text_key int, p int, n int, h long, span long"
+RUN_SCHEMA = "doc_id long, text_key long, p int, n int, h long, span long"
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -150,7 +150,7 @@ def _same(left: str, right: str) -> str:
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(text).alias("text_key"), F.col(text).alias("text"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def strip(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("runs").alias("_runs"))
     rows = docs.withColumn("_text", F.col(text).cast("binary"))
     rows = rows.select(F.col(doc_id).cast("long").alias("doc_id"), text, "_text") if digest else rows
-    same = rows[doc_id if not digest else "doc_id"].cast("long").eqNullSafe(spans["_id"]) & (F.hash(rows[text]) == spans["_key"])
+    same = rows[doc_id if not digest else "doc_id"].cast("long").eqNullSafe(spans["_id"]) & (F.xxhash64(rows[text]) == spans["_key"])
     joined = rows.join(spans.hint("shuffle_hash"), same, "left").drop("_id", "_key")
 
     def kept(body: bytes | None, runs: list | None) -> tuple[int, list[bytes]]:

@@ -79,3 +79,14 @@ def test_small_portions_change_nothing(monkeypatch):
     whole = count()
     monkeypatch.setattr(substring_dedup, "CHUNK", 100)
     assert count() == whole == 3000 - 34 + 50 - 34
+
+
+def test_equal_ids_with_different_texts_of_one_short_hash(spark, make_docs):
+    text = lambda k, n=40: " ".join(f"w{k}_{i}" for i in range(n))
+    texts = [text(60599), text(60599), text(114291), text(8151), text(253507), "one " * 3 + text(8151, 38), text(18968), text(295572)]
+    ids = [None, 1, None, 5, 5, 2, 6, 6]
+    docs = make_docs(texts, ids)
+    assert docs.select(F.hash("text")).distinct().count() == 4  # pairs of texts share 32 bits
+    assert got(substring_dedup.strip(docs, digest=True)) == expect(list(zip(ids, texts, strict=True)))
+    kept = Counter((r.doc_id, r.text) for r in substring_dedup.strip(docs).collect())
+    assert kept[None, texts[2]] == kept[5, texts[4]] == 1
