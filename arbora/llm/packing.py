@@ -79,8 +79,10 @@ def pieces(docs: DataFrame, tokens: Column, *, doc_id: str = "doc_id", largest:
 def pack(parts: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Packs the rows of ``pieces()``: each with its bin, the bin's size and its offset there."""
     groups = max(1, math.ceil(parts.count() / group_pieces))
-    salt = F.xxhash64("doc_id", "piece")  # a null id's pieces go to one group for each piece number
-    dealt = parts.withColumn("grp", F.pmod(salt, F.lit(groups)).cast("long"))
+    # rows that are equal throughout are numbered, so that no id, null or not, brings its rows to one group
+    copies = parts.groupBy("doc_id", "piece", "start", "length").agg(F.count("*").alias("n"))
+    each = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    dealt = each.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "length", "copy"), F.lit(groups)).cast("long")).drop("n", "copy")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")

@@ -55,3 +55,14 @@ def test_null_empty_and_repeated(spark, make_docs):
     rows = packing.pack(packing.pieces(docs.withColumn("grp", F.lit(1)), F.size(words(F.col("text"))))).collect()
     assert sorted(r.length for r in rows) == [2, 2, 20000 - 2 * 8192, 8192, 8192]
     assert packing.pack(packing.pieces(docs.limit(0), F.lit(1))).count() == 0
+
+
+def test_rows_of_one_id_are_dealt_to_groups_of_bounded_size(spark):
+    from pyspark.sql import functions as F
+
+    lengths = F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 500 + 1)  # half of them are equal throughout
+    parts = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), lengths.cast("int").alias("length"))
+    packed = packing.pack(parts, group_pieces=500)
+    assert sorted(r.length for r in packed.collect()) == sorted(r.length for r in parts.collect())
+    groups = [r["count"] for r in packed.groupBy(F.split("bin", "-")[0].alias("grp")).count().collect()]
+    assert len(groups) == 12 and max(groups) < 650
