@@ -76,7 +76,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._written_at)
 
 
 def ascii_lower(col: Column) -> Column:

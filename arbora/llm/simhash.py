@@ -17,14 +17,29 @@ and looking the result up, never by comparing all pairs, and every link is
 verified. A variant's members are links of a star, so that a dense group costs
 rows in proportion to its fingerprints. Copies share a fingerprint and count once.
 
+Where texts are to be alike by the Jaccard similarity of their shingle sets (see
+``keep_similar``), one fingerprint's small radius reaches few edited copies, so a
+set has many short ones, its keys. Two sets at similarity 0.8 differ in a bit with
+probability 0.15. Each key emits its variants of up to one flipped bit, half of
+the radius 2, and ``keys_for`` says how many keys leave at most the share MISSED
+of pairs at 0.8 without a meeting. A node that is shuffled with a variant is a
+48-bit fingerprint of its own and 16 bits of the set's hash: of nodes that meet,
+only those within CHECK_RADIUS are candidates, and each candidate pair of sets is
+verified by its similarity. Up to CROWD nodes under a variant are compared each
+with each. More are compared with the node nearest to their bits' majority, and
+what it leaves over with the next; where a crowd's nodes end in different
+components, those outside its head's are then compared with all of the crowd.
+
 Defined results: a null or empty text, or one of blanks, has fingerprint 0 and
-links like any other; a null id stays in its component, whose id is its least
+links like any other, and such texts are copies of each other by similarity; a
+text of fewer words than a shingle is one shingle; a null id stays in its component, whose id is its least
 known id; repeated rows share a component; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,6 +53,8 @@ from .components import components
 
 RADIUS = 3
 SEED = 42
+#: Rows with a variant that a task looks at together; a variant's rows are never parted.
+PORTION = 1 << 18
 #: (first bit, bits) of the thirds that are left out in turn.
 THIRDS = ((0, 21), (21, 21), (42, 22))
 
@@ -157,28 +174,38 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return signed[kept[0]].tolist(), signed[kept[1]].tolist()
 
 
+def _whole_keys(batches: Iterable[pa.RecordBatch], value: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches sorted by key, gathered so that no key is in two portions: (keys, values), unsigned."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+
+    def gathered() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column("key").to_numpy().view(np.uint64), batch.column(value).to_numpy().view(np.uint64)))
+            count += batch.num_rows
+        if count > PORTION and held[0][0][0] != held[-1][0][-1]:
+            key, fp = gathered()
+            cut = np.searchsorted(key, key[-1])  # the last key may go on
+            held, count = [(key[cut:], fp[cut:])], len(key) - cut
+            yield key[:cut], fp[:cut]
+    if held:
+        yield gathered()
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` whose components are those of all pairs within the radius."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = fp = np.zeros(0, np.uint64)
-
-        def out() -> pa.RecordBatch:
+        for key, fp in _whole_keys(batches, "fp"):
             a, b = _met(key, fp)
             x, y = _forest(a, b) if len(a) else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            key = np.concatenate([key, batch.column("key").to_numpy().view(np.uint64)])
-            fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
-            if len(key) > 1 << 18 and key[0] != key[-1]:
-                cut = np.searchsorted(key, key[-1])  # the last key may go on
-                held, key, fp = (key[cut:], fp[cut:]), key[:cut], fp[:cut]
-                yield out()
-                key, fp = held
-        if len(key):
-            yield out()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
+    # distinct fingerprints are few bytes: without a number of partitions of their own, few tasks would make all variants
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     met = distinct.select(F.explode(_variants()).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
     return met.mapInArrow(run, "a long, b long")
 
@@ -188,7 +215,7 @@ def groups(prints: DataFrame) -> DataFrame:
     each = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-ids")
     parts = components(links(each.select("fp")))
     rooted = materialize(each.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"), "fingerprint-roots")
-    lows = rooted.groupBy("root").agg(F.min("low").alias("low"))
+    lows = materialize(rooted.groupBy("root").agg(F.min("low").alias("low")), "fingerprint-lows")  # as a table: a giant component's join can be split
     return rooted.drop("low").join(lows, "root").select("fp", "root", "low")
 
 
@@ -198,9 +225,198 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(groups(prints), "fp").select("doc_id", "text_key", "fp", "root", F.col("low").alias("component_id"))
 
 
+#: Words of a shingle and similarity of near copies; bits of a key; share of pairs at that similarity that may miss each other.
+WIDTH, SIMILAR = 5, 0.8
+KEY_BITS, MISSED = 24, 0.005
+CHECK_BITS, CHECK_RADIUS = 48, 15
+#: Nodes under a variant that are compared each with each.
+CROWD = 16
+SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64)
+
+
+def key_bits(rows: int) -> int:
+    """Bits of a key: with the logarithm of the rows, so that the nodes that meet by chance stay as few."""
+    return max(KEY_BITS, math.ceil(math.log2(max(rows, 1))) + 4)
+
+
+def keys_for(bits: int, similar: float = SIMILAR, missed: float = MISSED) -> int:
+    """Keys of ``bits`` bits that a set needs for two at the similarity to meet under one, but for the share ``missed``."""
+    p = math.acos(2 * similar / (1 + similar)) / math.pi
+    within = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    return math.ceil(math.log(missed) / math.log(1 - within))
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, in order."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def signature(hashes: np.ndarray, longs: int) -> np.ndarray:
+    """64 bits for each of the ``longs`` salts: set where over half of the salted hashes have them."""
+    ones = np.zeros(64 * longs, np.int64)
+    for k in range(0, len(hashes), 255):  # what a byte can count
+        x = hashes[k : k + 255, None] ^ SALTS[:longs]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return 2 * ones > len(hashes)
+
+
+def set_prints(docs: DataFrame, bits: int, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, text_key, set_key, node, keys) of every row."""
+    keys = keys_for(bits, similar)
+    longs = -(-(CHECK_BITS + keys * bits) // 64)
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, nodes, own = [], [], []
+            for t in b.column("text"):
+                hashes = shingle_set(t.as_py(), width)
+                told = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+                sign = signature(hashes, longs)
+                check = int.from_bytes(np.packbits(sign[:CHECK_BITS], bitorder="little").tobytes(), "little")
+                sets.append(told)
+                nodes.append(check << 16 | told & 0xFFFF)
+                own.append(sign[CHECK_BITS : CHECK_BITS + keys * bits].reshape(keys, bits) @ weights)
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * keys, pa.int32()), pa.array(np.concatenate([*own, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), signed(sets), signed(nodes), listed], ["doc_id", "text_key", "set_key", "node", "keys"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).cast("binary").alias("text"))
+    return materialize(rows.mapInArrow(run, "doc_id long, text_key long, set_key long, node long, keys array<long>"), "set-prints")
+
+
+def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b) >> np.uint64(16)) <= CHECK_RADIUS
+
+
+def _head(nodes: np.ndarray) -> np.uint64:
+    """The node nearest to the majority of the nodes' bits, the least of equals."""
+    bits = np.unpackbits((nodes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(nodes), bitorder="little").view("<u8")[0]
+    far = np.bitwise_count((nodes >> np.uint64(16)) ^ middle)
+    return nodes[far == far.min()].min()
+
+
+def _candidates(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of nodes to verify, and with crowd set the members a of crowds with head b; rows come sorted by key, whole keys only."""
+    found: list[tuple[np.ndarray, np.ndarray, bool]] = []
+    begins = np.flatnonzero(np.insert(key[1:] != key[:-1], 0, True))
+    sizes = np.diff(np.append(begins, len(key)))
+    small = np.repeat(sizes <= CROWD, sizes)
+    for step in range(1, CROWD):
+        at = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
+        if not len(at):
+            break
+        a, b = node[at], node[at + step]
+        near = _close(a, b) & (a != b)
+        found.append((a[near], b[near], False))
+    for k in np.flatnonzero(sizes > CROWD):
+        crowd = np.unique(node[begins[k] : begins[k] + sizes[k]])
+        rest = crowd
+        while len(rest) > CROWD:
+            head = _head(rest)
+            near = _close(rest, head)
+            found.append((rest[near], np.full(near.sum(), head), False))
+            if len(rest) == len(crowd):
+                found.append((crowd, np.full(len(crowd), head), True))
+            rest = rest[~near]
+        for i in range(1, len(rest)):
+            near = _close(rest[:i], rest[i])
+            found.append((rest[:i][near], np.full(near.sum(), rest[i]), False))
+    out = []
+    for crowd in (False, True):
+        some = [np.zeros((2, 0), np.uint64), *[np.stack([np.minimum(a, b), np.maximum(a, b)] if not c else [a, b]) for a, b, c in found if c == crowd]]
+        pairs = np.unique(np.concatenate(some, axis=1), axis=1)
+        out.append(pairs[:, pairs[0] != pairs[1]] if not crowd else pairs)
+    a, b = np.concatenate(out, axis=1)
+    return a, b, np.repeat([False, True], [out[0].shape[1], out[1].shape[1]])
+
+
+def met(sets: DataFrame, bits: int) -> DataFrame:
+    """(a, b, crowd) from sets (node, keys): see _candidates()."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node in _whole_keys(batches, "node"):
+            a, b, crowd = _candidates(key, node)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(crowd)], ["a", "b", "crowd"])
+
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = sets.select("node", "keys").repartition(n, "node").select("node", F.posexplode("keys").alias("t", "w")).select("node", F.expr(f"w | shiftleft(cast(t as bigint), {bits})").alias("w"))
+    balls = each.select(F.explode(F.array("w", *[F.expr(f"w ^ {1 << b}L") for b in range(bits)])).alias("key"), "node")
+    return materialize(balls.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, crowd boolean"), "met")
+
+
+def _shingles(docs: DataFrame, sets: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """(set_key, shingles) of the wanted sets, from one text of each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [shingle_set(t.as_py(), width).view(np.int64) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("set_key"), pa.array(each, pa.list_(pa.int64()))], ["set_key", "shingles"])
+
+    where = materialize(sets.join(wanted, "set_key").select("set_key", F.col("one.i").alias("i"), F.col("one.k").alias("k")), "wanted")
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).cast("binary").alias("text"))
+    texts = rows.join(where, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_key") == F.col("k"))).dropDuplicates(["set_key"]).select("set_key", "text")
+    return materialize(texts.mapInArrow(run, "set_key long, shingles array<long>"), "shingles")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, text: str, width: int, similar: float) -> DataFrame:
+    """The pairs (a, b) of sets that are similar."""
+    wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+    shingles = _shingles(docs, sets, wanted, doc_id, text, width)
+    left, right = (shingles.select(F.col("set_key").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
+    return materialize(both.filter(F.col("c") >= similar * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b"), "similar")
+
+
+def similar_sets(docs: DataFrame, prints: DataFrame, bits: int, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """(set_key, root) of the sets that have a link to another: those of set_prints()."""
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("k"))).alias("one")
+    sets = materialize(prints.groupBy("set_key").agg(one, F.first("node").alias("node"), F.first("keys").alias("keys")), "sets")
+    meetings = met(sets, bits)
+    names = sets.select("node", "set_key")
+    name = lambda x: names.select(F.col("node").alias(x), F.col("set_key").alias(f"{x}_key"))
+    pairs = meetings.filter("not crowd").select("a", "b").distinct().join(name("a"), "a").join(name("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    # sets that share all bits of a node
+    same = names.groupBy("node").agg(F.min("set_key").alias("b"), F.count("*").alias("n")).filter("n > 1").join(names, "node").select(F.col("set_key").alias("a"), "b").filter("a <> b")
+    pairs = materialize(pairs.unionByName(same), "candidates")
+    linked = _verified(pairs, docs, sets, doc_id, text, width, similar)
+    roots = materialize(components(linked), "set-roots").withColumnRenamed("node", "set_key")
+    crowds = meetings.filter("crowd").select(F.col("a").alias("node"), F.col("b").alias("head")).distinct()
+    if crowds.isEmpty():
+        return roots
+    placed = crowds.join(names, "node").join(roots, "set_key", "left").select("head", "node", "set_key", F.coalesce("root", "set_key").alias("root"))
+    placed = materialize(placed, "crowds")
+    heads = materialize(placed.filter("node = head").groupBy("head").agg(F.min("root").alias("main")), "heads")
+    out = placed.join(heads, "head").filter("root <> main").select("head", F.col("node").alias("x"), F.col("set_key").alias("a"), F.col("root").alias("own"))
+    apart = out.join(placed, "head").filter(f"own <> root and a <> set_key and bit_count(shiftrightunsigned(x ^ node, 16)) <= {CHECK_RADIUS}")
+    more = apart.select(F.least("a", "set_key").alias("a"), F.greatest("a", "set_key").alias("b")).distinct()
+    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = materialize(more.join(known, ["a", "b"], "left_anti"), "candidates")
+    if more.isEmpty():
+        return roots
+    return materialize(components(linked.unionByName(_verified(more, docs, sets, doc_id, text, width, similar))), "set-roots").withColumnRenamed("node", "set_key")
+
+
+def keep_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """``docs`` with one row of each group of texts linked by the similarity, that of the least id; a null id comes after all others."""
+    bits = key_bits(docs.count())
+    prints = set_prints(docs, bits, doc_id=doc_id, text=text, width=width, similar=similar)
+    roots = similar_sets(docs, prints, bits, doc_id=doc_id, text=text, width=width, similar=similar)
+    told = prints.join(roots, "set_key", "left").select("doc_id", "text_key", F.coalesce("root", "set_key").alias("root"))
+    return _first_of(docs, told, doc_id, text)
+
+
+def _first_of(docs: DataFrame, told: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row for each root: that of the least id, or else of a null one."""
+    first = told.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("k"))).alias("x")).select(F.col("x.i").alias("_first_id"), F.col("x.k").alias("_first_key"))
+    same = docs[doc_id].cast("long").eqNullSafe(first["_first_id"]) & (F.xxhash64(docs[text]) == first["_first_key"])
+    return docs.join(first, same).dropDuplicates(["_first_id", "_first_key"]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """``docs`` with one row of each component, that of the least id."""
-    told = near_duplicates(docs, doc_id=doc_id, text=text, width=width)
-    first = told.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("k"))).alias("x")).select("x.i", "x.k")
-    same = docs[doc_id].cast("long").eqNullSafe(first["i"]) & (F.xxhash64(docs[text]) == first["k"])
-    return docs.join(first, same).dropDuplicates(["i", "k"]).select(*docs.columns)
+    """``docs`` with one row of each component of fingerprints, that of the least id."""
+    return _first_of(docs, near_duplicates(docs, doc_id=doc_id, text=text, width=width), doc_id, text)

@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
-from arbora.llm import near_copies
+from arbora.llm import simhash
 
 from .conftest import SMALL
 
@@ -74,8 +74,8 @@ def test_dense_group_and_odd_rows(spark, make_docs):
     dense = [" ".join(edited(rng, base[: 395 + k % 5], 0.9)) for k in range(60)]
     texts = [*dense, None, "", " \n", "one two", "One  TWO", "a b c d e f", "a b c d e g"]
     docs = make_docs(texts)
-    kept = [r.doc_id for r in near_copies.keep_one(docs.unionByName(docs.filter("doc_id = 63"))).collect()]
+    kept = [r.doc_id for r in simhash.keep_similar(docs.unionByName(docs.filter("doc_id = 63"))).collect()]
     assert sorted(kept) == sorted(expect(list(enumerate(texts)))) == [0, 60, 63, 65, 66]
     ids = [None, None, *range(2, len(texts))]
-    assert sorted(r.doc_id for r in near_copies.keep_one(make_docs(texts, ids)).collect()) == [2, 60, 63, 65, 66]
-    assert near_copies.keep_one(docs.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in simhash.keep_similar(make_docs(texts, ids)).collect()) == [2, 60, 63, 65, 66]
+    assert simhash.keep_similar(docs.limit(0)).count() == 0
