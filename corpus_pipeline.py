@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import near_copies, packing, quality_rules, secret_scan, substring_dedup
+from arbora.llm import packing, quality_rules, secret_scan, simhash, substring_dedup
 from arbora.llm.common import new_path, table, words
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: those of 0.8 or more alike in their 5-word shingles."""
-    return near_copies.keep_one(docs.select(*COLUMNS))
+    return simhash.keep_similar(docs.select(*COLUMNS))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
