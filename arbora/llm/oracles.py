@@ -14,23 +14,20 @@ gone AS (SELECT rid, list(DISTINCT k) AS ks FROM (SELECT rid, unnest(range(p, p
 kept AS (SELECT w.rid, array_to_string(list(word ORDER BY k), ' ') AS body FROM (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM w) w LEFT JOIN gone USING (rid) WHERE ks IS NULL OR NOT list_contains(ks, k) GROUP BY w.rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM w LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)"""
 
-_TESTS = ", ".join(f"('{rule}', '{what}', {scale}, {c})" for rule, what, scale, cuts in quality_rules.RULES for c in cuts)
-_VALUE = "CASE what " + " ".join(f"WHEN '{w}' THEN {w}" for w in dict.fromkeys(r[1] for r in quality_rules.RULES)) + " END"
-_SHARE = quality_rules.RISK / len(quality_rules.RULES)
+_FIRST = "CASE " + " ".join(f"WHEN {scale} * {what} > {c} * n_words THEN {i}" for i, (what, scale, c) in enumerate(quality_rules.STEPS)) + f" ELSE {len(quality_rules.STEPS)} END"
 OP4 = rf"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
 grams AS (SELECT rid, p, array_to_string(ws[p:p + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS p FROM w WHERE len(ws) >= 5)),
 twice AS (SELECT rid, g FROM grams GROUP BY rid, g HAVING count(*) > 1),
 rep AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(p, p + 5)) AS k FROM grams JOIN twice USING (rid, g)) GROUP BY rid),
 m AS (SELECT w.rid, doc_id, stratum, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w) w LEFT JOIN rep USING (rid)),
-b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
-tests(rule, what, scale, cutoff) AS (VALUES {_TESTS}),
+b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed, {_FIRST} AS first FROM m),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-held AS (SELECT stratum, rule, what, scale, cutoff, count(*) AS n, count(*) FILTER (scale * {_VALUE} > cutoff * n_words) AS k FROM b JOIN good USING (doc_id), tests WHERE NOT base_failed GROUP BY ALL),
-tail AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}) + (n - i) * ln(1 - {_SHARE})))) AS p, count(*) OVER () AS all_ FROM held),
-cuts AS (SELECT stratum, what, scale, min(cutoff) AS cutoff FROM tail WHERE k < n * {_SHARE} AND p <= {quality_rules.DOUBT} / all_ GROUP BY stratum, rule, what, scale),
-bad AS (SELECT DISTINCT rid FROM b JOIN cuts USING (stratum) WHERE scale * {_VALUE} > cutoff * n_words)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept FROM b LEFT JOIN bad USING (rid)"""
+held AS (SELECT stratum, first FROM b JOIN good USING (doc_id) WHERE NOT base_failed),
+counts AS (SELECT stratum, step, count(*) AS n, count(*) FILTER (first <= step) AS k FROM held, range({len(quality_rules.STEPS)}) r(step) GROUP BY ALL),
+tail AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality_rules.RISK}) + (n - i) * ln(1 - {quality_rules.RISK})))) AS p FROM counts),
+taken AS (SELECT stratum, count(*) FILTER (k < n * {quality_rules.RISK} AND p <= {quality_rules.DOUBT} / (SELECT count(DISTINCT stratum) FROM held)) AS steps FROM tail GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND first >= coalesce(steps, 0) AS kept FROM b LEFT JOIN taken USING (stratum)"""
 
 
 def op8(rules: list[tuple[str, str, str]], thin: int) -> str:

@@ -1,15 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule has a score and a fixed list of cutoffs. On labelled documents, for
-each stratum (language) and cutoff, the good documents above it are counted, and
-the exact binomial tail says whether the share of good documents that the cutoff
-would reject is below the rule's risk. A Bonferroni correction over all strata,
-rules and cutoffs makes all accepted cutoffs hold at once with the stated
-confidence; a stratum's rules share its risk. Each rule uses its lowest accepted
-cutoff; where none is accepted, as in strata with few labels, it rejects nothing.
+Each rule has a score and a fixed list of cutoffs. A fixed sequence of steps, the
+most trusted rules and highest cutoffs first, lowers one cutoff at a time, so that
+what the steps so far reject only grows. For each stratum (language) the labelled
+good documents that they would reject are counted, and the exact binomial tail
+says whether the share of all good ones that they reject is below the risk. A
+stratum takes steps as long as it is: testing in a fixed order needs no correction
+within a stratum, and a Bonferroni correction over the strata makes the bounds of
+all hold at once with the stated confidence. A stratum with too few labels for the
+first step rejects nothing.
 
 Defined results: a null or empty text has no words, so it fails the base rule;
-a null stratum is a stratum of its own; a document with several labels is good
+a null stratum is a stratum of its own; a score equal to a cutoff is not above it; a document with several labels is good
 if all are 1; labels without a document, or null, count for nothing; repeated
 rows are judged alike; without labels or documents only the base rule acts; other
 columns are ignored.
@@ -17,6 +19,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +29,17 @@ from .common import let, materialize, words
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Rule, measure, scale and cutoffs: a document scores scale * measure / n_words.
+#: Rule, measure, scale and cutoffs, in the order of the steps: a document scores scale * measure / n_words.
 RULES = (
-    ("symbols", "n_symbols", 100, (2, 5, 10, 20, 50)),
-    ("lines", "n_dup_lines", 1000, (5, 10, 20, 40, 80)),
-    ("repeats", "n_repeat_words", 100, (5, 10, 15)),
-    ("length", "word_chars", 10, (80, 100, 120, 150)),
+    ("symbols", "n_symbols", 100, (50, 20, 10, 5, 2)),
+    ("length", "word_chars", 10, (150, 120, 100, 80)),
+    ("lines", "n_dup_lines", 1000, (80, 40, 20, 10, 5)),
+    ("repeats", "n_repeat_words", 100, (15, 10, 5)),
 )
-#: Share of a stratum's good documents that all its rules together may reject, and the chance that any bound is wrong.
-RISK, DOUBT = 0.02, 0.05
+STEPS = tuple((what, scale, cutoff) for _, what, scale, cutoffs in RULES for cutoff in cutoffs)
+#: Share of a stratum's good documents that all its rules together may reject, and the chance that any stratum's bound is wrong.
+#: With four strata the first step needs 174 good labels.
+RISK, DOUBT = 0.025, 0.05
 #: Rows of thresholds that may be broadcast; each is about 100 bytes.
 BROADCAST_STRATA = 10_000
 
@@ -76,9 +82,12 @@ def measure(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def _above(rule: tuple, cutoff: Column) -> Column:
-    _, what, scale, _ = rule
-    return scale * F.col(what) > cutoff * F.col("n_words")
+def first_step() -> Column:
+    """The first step that rejects a measured row; len(STEPS) if none does."""
+    found = F.lit(len(STEPS))
+    for i, (what, scale, cutoff) in reversed(list(enumerate(STEPS))):
+        found = F.when(scale * F.col(what) > cutoff * F.col("n_words"), F.lit(i)).otherwise(found)
+    return found
 
 
 def log_tail(n: Column, k: Column, p: float) -> Column:
@@ -97,34 +106,29 @@ def log_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", stratum: str = "lang", risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
-    """(stratum, one column for each rule): the lowest accepted cutoff, or null."""
+    """(stratum, n, steps): the good documents held out and the number of steps that the stratum takes."""
     good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q")).filter("q = 1").select("_id")
-    tests = [(rule, c) for rule in RULES for c in rule[3]]
     held = (
         measured.filter("not base_failed")
-        .join(good, F.col(doc_id) == F.col("_id"))
-        .groupBy(F.coalesce(stratum, F.lit("")).alias("stratum"))
-        .agg(F.count("*").alias("n"), *[F.count_if(_above(rule, F.lit(c))).alias(f"k{i}") for i, (rule, c) in enumerate(tests)])
+        .select(F.col(doc_id).alias("_doc"), F.coalesce(stratum, F.lit("")).alias("stratum"), first_step().alias("first"))
+        .join(good, F.col("_doc") == F.col("_id"))
+        .groupBy("stratum")
+        .agg(F.count("*").alias("n"), *[F.count_if(F.col("first") <= i).alias(f"k{i}") for i in range(len(STEPS))])
     )
     held = materialize(held, "holdout-counts")
-    level = doubt / max(1, held.count() * len(tests))
-    share = risk / len(RULES)
-    each = F.explode(F.array(*[F.struct(F.lit(rule[0]).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, c) in enumerate(tests)]))
-    # short of the expected count the tail is small; at or above it no bound can hold
-    holds = F.when(F.col("k") < F.col("n") * share, log_tail(F.col("n"), F.col("k"), share) <= F.log(F.lit(level))).otherwise(F.lit(False))
-    tested = held.select("stratum", "n", each.alias("t")).select("stratum", "n", "t.*").withColumn("holds", holds)
-    return tested.groupBy("stratum").agg(*[F.min(F.when(F.col("holds") & (F.col("rule") == rule[0]), F.col("cutoff"))).alias(rule[0]) for rule in RULES])
+    level = math.log(doubt / max(1, held.count()))
+    each = held.select("stratum", "n", F.explode(F.array(*[f"k{i}" for i in range(len(STEPS))])).alias("k"))
+    # short of the expected count the tail is small; at or above it no bound can hold. The counts only grow, so the steps that hold come first
+    holds = F.when(F.col("k") < F.col("n") * risk, log_tail(F.col("n"), F.col("k"), risk) <= level).otherwise(F.lit(False))
+    return each.groupBy("stratum", "n").agg(F.count_if(holds).alias("steps"))
 
 
 def verdicts(measured: DataFrame, cutoffs: DataFrame, *, stratum: str = "lang") -> DataFrame:
     """Adds ``kept`` to measured rows."""
-    cuts = materialize(cutoffs, "thresholds").withColumnsRenamed({rule[0]: f"_{rule[0]}" for rule in RULES}).withColumnRenamed("stratum", "_stratum")
+    cuts = materialize(cutoffs.select(F.col("stratum").alias("_stratum"), F.col("steps").alias("_steps")), "thresholds")
     cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_STRATA else cuts
-    rejected = F.lit(False)
-    for rule in RULES:
-        rejected |= F.coalesce(_above(rule, F.col(f"_{rule[0]}")), F.lit(False))
     joined = measured.join(cuts, F.coalesce(F.col(stratum), F.lit("")) == F.col("_stratum"), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", *[f"_{rule[0]}" for rule in RULES])
+    return joined.withColumn("kept", ~F.col("base_failed") & (first_step() >= F.coalesce("_steps", F.lit(0)))).drop("_stratum", "_steps")
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -138,7 +142,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
-    """``docs`` without the rows that the rules reject. The measures are taken twice, which costs less than a shuffle of the texts."""
+    """``docs`` without the rows that the rules reject. Rows are measured once and written with their measures, which costs less than to measure again."""
     held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(stratum).cast("string").alias("lang"), F.col(text).alias("text"))
-    cuts = thresholds(measure(held.drop("_row")).drop("text"), labels, risk=risk, doubt=doubt)
-    return verdicts(measure(held), cuts).filter("kept").select("_row.*")
+    measured = materialize(measure(held).drop("text"), "measures")
+    cuts = thresholds(measured, labels, risk=risk, doubt=doubt)
+    return verdicts(measured, cuts).filter("kept").select("_row.*")

@@ -3,7 +3,9 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 
-from . import test_quality_rules, test_secret_scan, test_simhash
+from arbora.llm import quality_rules
+
+from . import test_quality_rules, test_secret_scan, test_similar_sets
 from .conftest import SMALL
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -15,11 +17,10 @@ def split(text):
 
 def brute(rows, labels):
     """Texts after the first four stages, by id, from (doc_id, text, lang, source)."""
-    judged = test_quality_rules.expect([r[:3] for r in rows], labels, 0.02, 0.05)[0]
+    judged = test_quality_rules.expect([r[:3] for r in rows], labels, quality_rules.RISK, quality_rules.DOUBT)[0]
     kept = {x[0] for x in judged if x[-1]}
     rows = [r for r in rows if r[0] in kept]
-    groups = test_simhash.expect([(r[0], r[1]) for r in rows])
-    first = {c for _, _, c in groups}
+    first = test_similar_sets.expect([(r[0], r[1]) for r in rows])
     rows = [r for r in rows if r[0] in first]
     each = {r[0]: split(r[1]) for r in rows}
     seen = Counter(tuple(w[k : k + 35]) for w in each.values() for k in range(len(w) - 34))
