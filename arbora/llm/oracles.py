@@ -56,8 +56,9 @@ p AS (SELECT rid, rank, kind, h[i] AS v, ({lens('g[1:i]')} + {lens('h[1:i - 1]')
 v AS (SELECT rid, rank, kind, a, a + length(v) AS b, CASE WHEN rank = 0 THEN regexp_extract(v, '{text(s.ASSIGN)}', 2) ELSE v END AS val FROM p),
 w AS (SELECT * FROM v WHERE CASE rank WHEN 0 THEN length(val) >= 6 WHEN 3 THEN regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND len(list_distinct(string_split(val, ''))) >= 10 ELSE true END),
 x AS (SELECT * FROM w WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM w o WHERE o.rid = w.rid AND o.rank < 3 AND o.a < w.b AND w.a < o.b)),
-own AS (SELECT val, count(DISTINCT owner) AS owners FROM x JOIN t USING (rid) GROUP BY val),
+own AS (SELECT val, count(DISTINCT owner) AS owners, count(DISTINCT owner) >= {s.COPIED_OWNERS} OR count(DISTINCT repo) >= {s.COPIED_REPOS} AS copied FROM x JOIN t USING (rid) GROUP BY val),
 y AS (SELECT * FROM x JOIN own USING (val)),
 z AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < 3) AS base,
-  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < 3 OR owners = 1) AS spans, count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= 3 AND rank < 3) AS n_copied FROM y GROUP BY rid)
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < 3 OR owners = 1 AND NOT copied) AS spans,
+  count(*) FILTER (owners = 1 AND NOT copied AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND len(list_distinct(string_split(val, ''))) >= 10) AS n_live, count(*) FILTER (copied AND rank < 3) AS n_copied FROM y GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM t LEFT JOIN z USING (rid)"""

@@ -7,8 +7,10 @@ the end every bin shrinks to the smallest capacity that holds its contents.
 
 Defined results: a null or empty text has no tokens and gives no piece; a text
 longer than the largest capacity is cut into pieces of that capacity and a rest;
-repeated rows are packed each on its own; equal lengths are taken by id, then by
-piece; other columns are ignored.
+repeated rows are packed each on its own; a null id is an id, and comes last
+among equal lengths, which are taken by id, then by piece; of bins that a piece
+leaves equally full the one opened first takes it; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Permitted sequence lengths.
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Pieces a group has on average: what bounds a task's memory.
@@ -78,6 +82,7 @@ def pieces(docs: DataFrame, tokens: Column, *, doc_id: str = "doc_id", largest:
 
 def pack(parts: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Packs the rows of ``pieces()``: each with its bin, the bin's size and its offset there."""
+    parts = materialize(parts.select("doc_id", "piece", "start", "length"), "pieces")  # the texts are read once
     groups = max(1, math.ceil(parts.count() / group_pieces))
     # rows that are equal throughout are numbered, so that no id, null or not, brings its rows to one group
     copies = parts.groupBy("doc_id", "piece", "start", "length").agg(F.count("*").alias("n"))

@@ -27,6 +27,37 @@ def test_best_fit_keeps_every_length_in_a_bin_that_fits(lengths):
         assert end <= rows[0][2] and rows[0][2] == min(c for c in caps if c >= end)
 
 
+def plain_best_fit(lengths, caps):
+    """Variable-capacity best fit by looking at every bin and every capacity."""
+    bins, placed = [], []
+    for k, n in enumerate(lengths):
+        open_ = [(size - fill - n, b) for b, (size, fill) in enumerate(bins) if size - fill >= n]
+        if open_:
+            b = min(open_)[1]
+        else:
+            left = sum(lengths[k:])
+            costs = {c: (64 + c + c * c / 16384) / min(c, left) for c in caps if c >= n}
+            size = min(c for c in costs if costs[c] == min(costs.values()))
+            b = len(bins)
+            bins.append((size, 0))
+        placed.append((b, bins[b][1]))
+        bins[b] = (bins[b][0], bins[b][1] + n)
+    return [(b, min(c for c in caps if c >= bins[b][1]), at) for b, at in placed]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=120), st.sampled_from([(16, 32, 64), (64,), (64, 65, 128)]))
+def test_best_fit_bin_by_bin(lengths, caps):
+    lengths.sort(reverse=True)
+    assert packing.best_fit(lengths, caps) == plain_best_fit(lengths, caps)
+
+
+def test_query_bin_by_bin(spark):
+    rows = [(r.doc_id, r.piece, r.length, int(r.bin.split("-")[1]), r.bin_size, r["at"]) for r in queries.op9_best_fit(spark, SMALL).collect()]
+    rows.sort(key=lambda r: (-r[2], r[0], r[1]))  # one group at this size
+    assert [r[3:] for r in rows] == plain_best_fit([r[2] for r in rows], packing.CAPACITIES)
+
+
 def test_query_covers_every_token_once(spark):
     want = {r.doc_id: len([w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     spans, fill = defaultdict(list), defaultdict(list)

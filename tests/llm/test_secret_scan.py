@@ -68,6 +68,27 @@ def test_cases(spark, make_docs, tmp_path):
     assert "bare" not in by[6]["spans"]
 
 
+def test_one_owner_in_many_repositories_is_copied_and_live_must_look_random(spark):
+    many, few, plain = "Qx81-qLm0_PoVb7T3ne5", "Rx92-qLm1_PoVb7T3ne6", "password=changeme"
+    rows = [(k, f"{many} {plain if k == 0 else ''} token={few}" if k < 2 else many, "one", f"repo{k}") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    by = {r.doc_id: r for r in secret_scan.findings(docs, repo=F.col("repo"), owner=F.col("source")).collect()}
+    assert not any(r.added for r in by.values())  # in five repositories of one owner
+    assert (by[0].n_live, by[1].n_live, by[2].n_live) == (1, 1, 0)  # the token, not the placeholder password
+    assert all(r.n_copied == 0 for r in by.values())
+
+
+def test_many_hits_in_a_very_long_text(spark, make_docs):
+    text = " ".join(f"token=Abc{k:07d}def é {k:024x}" for k in range(3000))
+    docs = make_docs([text, "plain " * 100_000, f"{'0' * 24}token=secret99 password: AKIA{'A' * 20}"])
+    found = {r.doc_id: r for r in secret_scan.findings(docs).collect()}
+    for k, t in ((0, text), (2, docs.filter("doc_id = 2").first().text)):
+        assert [(s.start, s.rank, s.kind, s.stop) for s in found[k].base] == base(t)
+    assert len(found[0].base) == 6000 and not found[1].base
+    out = {r.doc_id: r.text for r in secret_scan.redact(docs, secret_scan.findings(docs)).collect()}
+    assert out[0] == " ".join(["[SECRET] é [SECRET]"] * 3000)
+
+
 def test_empty_table_and_redaction(spark, make_docs):
     docs = make_docs(["a token=abcdef0123 b", None, "plain", "ok AKIA" + "Z" * 16])
     out = secret_scan.redact(docs, secret_scan.findings(docs))
