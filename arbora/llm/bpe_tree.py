@@ -1,19 +1,22 @@
 """BPE encoding and decoding with tree concatenation.
 
-For vocabularies whose pre-tokenizer drops blanks. A text is cut at ASCII blanks,
-which no token spans; what lies between is encoded by the tokenizers library
-once and remembered. A run of characters longer than a leaf is normalised and
-pre-tokenized, and each long pre-token is encoded as a tree: its halves are
-halved down to leaves, all leaves are encoded in one parallel call, and
-neighbours are concatenated. At each join a window of tokens on either side is
-encoded anew and grows until its first token is the left side's and one of its
-later tokens is the right side's, or it reaches the end. The result has only
-pairs of neighbouring tokens that occur in some encoding, which makes it the
-encoding of the whole.
+For vocabularies whose pre-tokenizer drops blanks. A whole text is halved down to
+leaves, wherever the middle falls, in a word or not. All leaves of a portion are
+encoded together, and neighbours are concatenated level by level. At each join a
+window of runs (what lies between ASCII blanks, which no token spans) on either
+side is encoded anew, as one text; it grows until its first ids are those of its
+outermost run on the left and its last ids those of the one on the right, or it
+reaches the ends. Runs that recur are encoded once and remembered.
+
+A run longer than a leaf is not halved with its text. It is normalised and
+pre-tokenized, and each long pre-token is a tree of its own, whose windows are
+counted in tokens: at a join they grow until the first token is the left side's
+and a later one the right side's. The result has only pairs of neighbouring
+tokens that occur in some encoding, which makes it the encoding of the whole.
 
 Defined results: a null text is empty; an empty text has no tokens and decodes
-to the empty string; repeated rows are encoded each; an empty table gives no
-rows; other columns are ignored.
+to the empty string; texts of any length are encoded whole; repeated rows are
+encoded each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a leaf; runs up to this length are encoded as they are.
-LEAF = 2048
+#: Bytes of a leaf of a text, characters of a leaf of a long pre-token, and runs on either side of a join's first window.
+LEAF, RUNS = 512, 2
 #: Encoded runs that a worker remembers, at about 300 bytes each, and the longest of them in bytes.
 REMEMBERED, LONGEST = 600_000, 64
 #: A stop or comma that ends a run after a letter or digit; a pre-token of its own there.
 CLOSING = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
+#: What tells runs apart, as blanks.
+BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 #: Bytes of text that are handled at once.
 PORTION = 4 << 20
 
@@ -118,8 +123,8 @@ class TreeEncoder:
         """The tokens joined by blanks, special ones included: what the library does for a vocabulary without a decoder."""
         return " ".join(map(self.full.id_to_token, ids))
 
-    def cut(self, body: bytes) -> list[bytes]:
-        """The runs of a text, with what the vocabulary treats alike made equal, so that fewer are new.
+    def plain(self, body: bytes) -> bytes:
+        """A text with blanks alone between runs, and with what the vocabulary treats alike made equal, so that fewer runs are new.
 
         Closing stops and commas are cut off where they are pre-tokens anyway.
         Capitals go where the whole text is ASCII, so that no mark joins a letter,
@@ -127,22 +132,86 @@ class TreeEncoder:
         """
         if self.lowers and body.isascii() and b"<" not in body:
             body = body.lower()
-        return (CLOSING.sub(rb" \1", body) if self.closes else body).split()
+        return (CLOSING.sub(rb" \1", body) if self.closes else body).translate(BLANKS)
+
+    def middle(self, body: bytes, a: int, b: int) -> int:
+        """Where to halve a part of a text: the middle, or the nearer end of a run that is longer than a leaf; the start if there is no such place."""
+        at = (a + b) // 2
+        while at < b and body[at] & 0xC0 == 0x80:  # not inside a character
+            at += 1
+        first = body.rfind(b" ", max(a, at - self.leaf), at) + 1 or (a if at - a <= self.leaf else 0)
+        last = body.find(b" ", at, at + self.leaf)
+        last = last if last >= 0 else b if b - at <= self.leaf else -1
+        if first >= a and last >= 0 and (first or a == 0) and last - first <= self.leaf:
+            return at
+        ends = [x for x in (body.rfind(b" ", a, at) + 1, body.find(b" ", at, b)) if a < x < b]
+        return min(ends, key=lambda x: abs(x - at), default=a)
+
+    def leaves(self, body: bytes) -> list[tuple[int, int]]:
+        """The leaves of a text, halved down evenly, so that neighbours meet level by level."""
+        parts = [(0, len(body))]
+        while any(b - a > self.leaf for a, b in parts):
+            halved = []
+            for a, b in parts:
+                at = self.middle(body, a, b) if b - a > self.leaf else a
+                halved += [(a, at), (at, b)] if at > a else [(a, b)]
+            if len(halved) == len(parts):
+                break
+            parts = halved
+        return parts
+
+    def encoded(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids and tokens, each joined by blanks, of texts that are encoded as they are."""
+        found = self.full.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+        return [(" ".join(map(str, e.ids)).encode(), self.decode(e.ids).encode()) for e in found]
 
-    def texts(self, bodies: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids and decoded text of each whole text."""
-        each = [self.cut(b) for b in bodies]
-        seen = {w for ws in each for w in ws}
+    def concatenate(self, pairs: list[tuple[list[bytes], list[bytes], bool]], table: dict) -> list[list[bytes]]:
+        """Joins pairs of parts (runs, runs, whether the last and the first touch). New windows are added to the table."""
+        done: list[list[bytes] | None] = [None] * len(pairs)
+        todo, k = [i for i, (left, right, _) in enumerate(pairs)], RUNS
+        while todo:
+            windows = []
+            for n in todo:
+                left, right, touch = pairs[n]
+                windows.append(b" ".join(left[-k:]) + (b"" if touch else b" ") + b" ".join(right[:k]))
+            grown = []
+            for n, window, told in zip(todo, windows, self.encoded(windows), strict=True):
+                left, right, _ = pairs[n]
+                i, j = len(left) - k, k
+                from_left = i <= 0 or (k > 1 and (told[0] + b" ").startswith(table[left[i]][0] + b" "))
+                to_right = j >= len(right) or (k > 1 and (b" " + told[0]).endswith(b" " + table[right[j - 1]][0]))
+                if from_left and to_right:
+                    table[window] = told
+                    done[n] = left[: max(0, i)] + [window] + right[j:]
+                else:
+                    grown.append(n)
+            todo, k = grown, 2 * k
+        return done
+
+    def texts(self, bodies: list[bytes]) -> Iterator[tuple[bytes, bytes, int]]:
+        """Ids and decoded text of each whole text, and the joins it took."""
+        bodies = [self.plain(b) for b in bodies]
+        each = [self.leaves(b) for b in bodies]
+        nodes = [[(body[a:b].split(), a, b) for a, b in leaves] for body, leaves in zip(bodies, each, strict=True)]
+        seen = {w for parts in nodes for ws, _, _ in parts for w in ws}
         if len(self.known) + len(seen) > REMEMBERED:
             self.known = {w: x for w in seen if (x := self.known.get(w))}
-        table = self.known
-        new = self.runs([w for w in seen if w not in table])
-        table.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
-        if any(len(w) > LONGEST for w in new):  # long runs are used once and not remembered
-            table = {w: table.get(w) or new[w] for w in seen}
-        for ws in each:
-            found = [x for w in ws if (x := table[w])[0]]
-            yield b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found])
+        new = self.runs([w for w in seen if w not in self.known])
+        self.known.update((w, x) for w, x in new.items() if len(w) <= LONGEST)  # long runs are used once and not remembered
+        table = {w: self.known.get(w) or new[w] for w in seen}
+        while any(len(parts) > 1 for parts in nodes):
+            pairs = []
+            for body, parts in zip(bodies, nodes, strict=True):
+                for left, right in zip(parts[::2], parts[1::2]):  # noqa: B905
+                    if left[0] and right[0]:
+                            pairs.append((left[0], right[0], body[left[2] - 1] != 32 and body[right[1]] != 32))
+            joined = iter(self.concatenate(pairs, table))
+            for parts in nodes:
+                up = [(next(joined) if left[0] and right[0] else left[0] + right[0], left[1], right[2]) for left, right in zip(parts[::2], parts[1::2])]  # noqa: B905
+                parts[:] = up + parts[2 * len(up) :]
+        for parts, leaves in zip(nodes, each, strict=True):
+            found = [x for w in parts[0][0] if (x := table[w])[0]]
+            yield b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found]), len(leaves) - 1
 
 
 _encoders: dict[tuple[str, int], TreeEncoder] = {}
@@ -155,7 +224,7 @@ def encoder(path: str, leaf: int = LEAF) -> TreeEncoder:
     return _encoders[path, leaf]
 
 
-def _mapped(docs: DataFrame, doc_id: str, text: str, path: str, leaf: int, schema: str, row: Callable[[bytes, bytes], tuple]) -> DataFrame:
+def _mapped(docs: DataFrame, doc_id: str, text: str, path: str, leaf: int, schema: str, row: Callable[[bytes, bytes, int], tuple]) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, leaf)
         kinds = None
@@ -177,10 +246,15 @@ def _mapped(docs: DataFrame, doc_id: str, text: str, path: str, leaf: int, schem
 
 def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
     """doc_id, ids, decoded."""
-    return _mapped(docs, doc_id, text, path, leaf, "doc_id long, ids array<int>, decoded string", lambda ids, back: ([int(x) for x in ids.split()], back.decode()))
+    return _mapped(docs, doc_id, text, path, leaf, "doc_id long, ids array<int>, decoded string", lambda ids, back, _: ([int(x) for x in ids.split()], back.decode()))
 
 
 def digests(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what encode() gives, without moving it."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what encode() gives, without moving it, and n_joins, the joins of the text's tree."""
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    return _mapped(docs, doc_id, text, path, leaf, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda ids, back: (ids.count(b" ") + 1 if ids else 0, sha(ids), sha(back)))
+    return _mapped(docs, doc_id, text, path, leaf, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long", lambda ids, back, joins: (ids.count(b" ") + 1 if ids else 0, sha(ids), sha(back), joins))
+
+
+def counts(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
+    """doc_id and n_tokens of every row."""
+    return _mapped(docs, doc_id, text, path, leaf, "doc_id long, n_tokens long", lambda ids, back, joins: (ids.count(b" ") + 1 if ids else 0,))

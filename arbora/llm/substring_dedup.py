@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import materialize, release, words
 
 WINDOW = 35
 #: Lengths below the window's; each doubles the one before, and the window at most doubles the last.
@@ -158,32 +158,35 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("hashes", F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).drop("text")
 
 
-def _settled(t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of a level's runs: those that are repeated as a whole, and one of each kind whose pick is repeated with other surroundings."""
+def _settled(t: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Of a level's runs: those that are repeated as a whole, one of each kind whose pick is repeated with other surroundings, and the tables that both read. The runs' own table goes."""
     picks = t.groupBy("h").agg(F.count("*").alias("c"), F.min("span").alias("lo"), F.max("span").alias("hi")).filter("c > 1")
     # as a table, so that both sides of the join are plain shuffles, whose hot partitions Spark splits
     picks = materialize(picks.select("h", (F.col("lo") != F.col("hi")).alias("differ")), "picks")
     hit = materialize(t.join(picks, "h"), "runs-met")
     kinds = materialize(hit.filter("differ").groupBy("h", "span").agg(F.count("*").alias("c"), F.min(F.struct(*[x for x in t.columns if x not in ("h", "span")])).alias("one")), "run-kinds")
+    release(t, picks)
     twice = hit.filter("not differ").select("doc_id", "text_key", "p", "n").unionByName(hit.filter("differ").join(kinds.filter("c > 1").select("h", "span"), ["h", "span"]).select("doc_id", "text_key", "p", "n"))
-    return twice, kinds.select("h", "span", "one.*")
+    return twice, kinds.select("h", "span", "one.*"), [hit, kinds]
 
 
 def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, levels: tuple[int, int] = LEVELS) -> DataFrame:
-    """(doc_id, text_key, p, n): the n windows from word p on are repeated. Rows may overlap and recur."""
+    """(doc_id, text_key, p, n): the n windows from word p on are repeated. Rows may overlap."""
     keyed = _keyed(docs, doc_id, text)
     long_enough = _hashed(keyed)
     t = materialize(long_enough.filter(F.size("hashes") >= window).mapInArrow(_level(levels[0], window, False, False), RUN_SCHEMA), "runs")
-    twice, other = _settled(t)
+    twice, other, held = _settled(t)
     alive = other.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("runs"))
     joined = keyed.alias("l").join(alive.hint("shuffle_hash").alias("r"), F.expr(_same("l", "r"))).select("l.*", "r.runs")
     again = materialize(_hashed(joined).mapInArrow(_level(levels[1], window, True, True), RUN_SCHEMA + ", a array<long>, b array<long>"), "runs")
-    twice2, other2 = _settled(again)
+    twice2, other2, held2 = _settled(again)
     each = other2.select("doc_id", "text_key", "p", F.posexplode(F.arrays_zip("a", "b")).alias("k", "w")).select("doc_id", "text_key", (F.col("p") + F.col("k")).alias("p"), "w.a", "w.b")
     each = materialize(each, "windows")
     more = materialize(each.groupBy("a", "b").agg(F.count("*").alias("c")).filter("c > 1").select("a", "b"), "windows-met")
     twice3 = each.join(more, ["a", "b"]).select("doc_id", "text_key", "p", F.lit(1).alias("n"))
-    return twice.unionByName(twice2).unionByName(twice3)
+    found = materialize(twice.unionByName(twice2).unionByName(twice3).distinct(), "windows-found")
+    release(*held, *held2, each, more)
+    return found
 
 
 def strip(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
@@ -192,8 +195,9 @@ def strip(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window
     A text that loses words is its kept words, joined by one space; others stay
     as they are. digest: doc_id, n_words, n_removed, kept_sha256 instead.
     """
-    gone = repeated_windows(docs, doc_id=doc_id, text=text, window=window).distinct()
+    gone = repeated_windows(docs, doc_id=doc_id, text=text, window=window)
     spans = materialize(gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("runs")), "repeated")
+    release(gone)
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("runs").alias("_runs"))
     rows = docs.withColumn("_text", F.col(text).cast("binary"))
     rows = rows.select(F.col(doc_id).cast("long").alias("doc_id"), text, "_text") if digest else rows

@@ -60,6 +60,40 @@ def test_joins_at_every_leaf_length(library, leaf):
             assert got == library.encode(t, add_special_tokens=False).ids, (leaf, t[:60])
 
 
+@pytest.mark.parametrize("leaf", [1, 8, 100])
+def test_whole_texts_at_every_leaf_length(library, leaf):
+    rng = random.Random(leaf)
+    signs = [*"aab c'.,ts  éÉΣσ😀中<|>/1٣\u3000\n\t\u0308", "<|startoftext|>", "<|endoftext|>", "'re", "ll"]
+    enc = bpe_tree.TreeEncoder(PATH, leaf)
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(150))) for _ in range(300)] + [t or "" for t in odd_texts()]
+    joins = 0
+    for k in range(0, len(texts), 50):
+        for t, (ids, back, n) in zip(texts[k : k + 50], enc.texts([t.encode() for t in texts[k : k + 50]]), strict=True):
+            want = library.encode(t, add_special_tokens=False).ids
+            assert ids.decode() == " ".join(map(str, want)), (leaf, t[:60])
+            assert back.decode() == library.decode(want, skip_special_tokens=False)
+            joins += n
+    assert joins > 500
+
+
+def test_windows_grow_where_sides_disagree(library):
+    """A wrong neighbour is found out: the window grows until it is inside."""
+    enc = bpe_tree.TreeEncoder(PATH)
+    left, right = b"one two three four five".split(), b"six seven eight nine ten".split()
+    table = dict(zip(left + right, enc.encoded(left + right), strict=True))
+    table[b"four"] = (b"1", b"wrong")
+    joined = enc.concatenate([(left, right, False)], table)[0]
+    assert b" ".join(table[w][0] for w in joined).decode() == " ".join(map(str, library.encode("one two three four five six seven eight nine ten", add_special_tokens=False).ids))
+    assert len(joined[1 if joined[0] == b"one" else 0].split()) > 2 * bpe_tree.RUNS
+
+
+def test_query_rows_go_through_joins(spark):
+    rows = {r.doc_id: r.n_joins for r in queries.op2_bpe_tree(spark, SMALL).collect()}
+    sizes = {r.doc_id: len((r.text or "").encode()) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert all(rows[i] > 0 for i, n in sizes.items() if n > 2 * bpe_tree.LEAF)
+    assert sum(n > 0 for n in rows.values()) > len(rows) / 2
+
+
 def test_cases(spark, library, make_docs, tmp_path):
     texts = odd_texts()
     docs = make_docs(texts)
