@@ -2,6 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
 that the stage before kept. All but the last return the columns of documents.
+
+Defined results, stage by stage (the operators' docstrings say more):
+
+* quality: null, empty and blank texts go, as all of fewer than ten words; of
+  repeated rows each is judged alike; a null language is a stratum of its own.
+* near_dedup: of texts that are linked, repeated rows among them, the row of the
+  least id stays, a null id only where there is no other; null and blank texts
+  are copies of each other.
+* passage_dedup: null and short texts stay as they are; repeated rows lose what
+  they share; a text of repeated passages alone becomes empty.
+* secrets: null texts stay null; overlapping credentials give one mark.
+* packed: null and empty texts give no piece; very long ones several; repeated
+  rows are packed each; ties go by id, then piece.
+
+Texts of any length are taken whole; an empty table gives no rows; other columns
+than those of documents are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,8 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import packing, quality_rules, secret_scan, simhash, substring_dedup
-from arbora.llm.common import new_path, table, words
+from arbora.llm import bpe_tree, packing, quality_rules, secret_scan, simhash, substring_dedup
+from arbora.llm.common import new_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -43,8 +59,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in bins."""
-    return packing.pack(packing.pieces(docs, F.size(words(F.col("text")))))
+    """Pieces of documents, in BPE tokens, with their places in bins."""
+    import public_tokenizers
+
+    counted = bpe_tree.counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(packing.pieces(counted, F.col("n_tokens")))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("secrets", secrets), ("packed", packed)]
