@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 #: Bytes of a leaf of a text, characters of a leaf of a long pre-token, and runs on either side of a join's first window.
 LEAF, RUNS = 512, 2
 #: Encoded runs that a worker remembers, at about 300 bytes each, and the longest of them in bytes.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: A stop or comma that ends a run after a letter or digit; a pre-token of its own there.
 CLOSING = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
 #: What tells runs apart, as blanks.

@@ -22,13 +22,15 @@ Where texts are to be alike by the Jaccard similarity of their shingle sets (see
 set has many short ones, its keys. Two sets at similarity 0.8 differ in a bit with
 probability 0.15. Each key emits its variants of up to one flipped bit, half of
 the radius 2, and ``keys_for`` says how many keys leave at most the share MISSED
-of pairs at 0.8 without a meeting. A node that is shuffled with a variant is a
-48-bit fingerprint of its own and 16 bits of the set's hash: of nodes that meet,
-only those within CHECK_RADIUS are candidates, and each candidate pair of sets is
-verified by its similarity. Up to CROWD nodes under a variant are compared each
-with each. More are compared with the node nearest to their bits' majority, and
-what it leaves over with the next; where a crowd's nodes end in different
-components, those outside its head's are then compared with all of the crowd.
+of pairs at 0.8 without a meeting. A node that is shuffled with a variant holds a
+48-bit fingerprint of its own, the set's size class and 8 bits of its hash: of
+nodes that meet, only those within CHECK_RADIUS and of sizes that the similarity
+allows are candidates, and each candidate pair of sets is verified by its
+similarity, if all their bits allow it. Up to CROWD nodes under a variant are
+compared each with each. More are a crowd, whose members near its head, a node next
+to their bits' majority, are compared with that alone; those that aren't make crowds
+of their own. Where a crowd's members end in another component than its head, they
+are then compared with all members of the crowds of the head's component.
 
 Defined results: a null or empty text, or one of blanks, has fingerprint 0 and
 links like any other, and such texts are copies of each other by similarity; a
@@ -229,8 +231,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 WIDTH, SIMILAR = 5, 0.8
 KEY_BITS, MISSED = 24, 0.005
 CHECK_BITS, CHECK_RADIUS = 48, 15
+#: Standard deviations; at the similarity itself a pair is beyond with probability 0.005, at 0.82 with 0.0003.
+SPREAD = 2.6
+#: A size class is a tenth larger than the one before.
+SIZE_STEP = 1.1
 #: Nodes under a variant that are compared each with each.
-CROWD = 16
+CROWD = 4
 SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64)
 
 
@@ -239,9 +245,14 @@ def key_bits(rows: int) -> int:
     return max(KEY_BITS, math.ceil(math.log2(max(rows, 1))) + 4)
 
 
+def _flips(similar: float) -> float:
+    """Chance that a bit differs between two sets of one size and the similarity: their angle, as a share of a half turn."""
+    return math.acos(2 * similar / (1 + similar)) / math.pi
+
+
 def keys_for(bits: int, similar: float = SIMILAR, missed: float = MISSED) -> int:
     """Keys of ``bits`` bits that a set needs for two at the similarity to meet under one, but for the share ``missed``."""
-    p = math.acos(2 * similar / (1 + similar)) / math.pi
+    p = _flips(similar)
     within = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
     return math.ceil(math.log(missed) / math.log(1 - within))
 
@@ -278,7 +289,8 @@ def set_prints(docs: DataFrame, bits: int, *, doc_id: str = "doc_id", text: str
                 sign = signature(hashes, longs)
                 check = int.from_bytes(np.packbits(sign[:CHECK_BITS], bitorder="little").tobytes(), "little")
                 sets.append(told)
-                nodes.append(check << 16 | told & 0xFFFF)
+                size = int(math.log(max(len(hashes), 1)) / math.log(SIZE_STEP))
+                nodes.append(check << 16 | min(size, 255) << 8 | told & 0xFF)
                 own.append(sign[CHECK_BITS : CHECK_BITS + keys * bits].reshape(keys, bits) @ weights)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * keys, pa.int32()), pa.array(np.concatenate([*own, np.zeros(0, np.int64)])))
@@ -288,65 +300,81 @@ def set_prints(docs: DataFrame, bits: int, *, doc_id: str = "doc_id", text: str
     return materialize(rows.mapInArrow(run, "doc_id long, text_key long, set_key long, node long, keys array<long>"), "set-prints")
 
 
-def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b) >> np.uint64(16)) <= CHECK_RADIUS
+def _classes(similar: float) -> int:
+    """Size classes that sets of the similarity may lie apart."""
+    return math.ceil(-math.log(similar) / math.log(SIZE_STEP))
+
+
+def _close(a: np.ndarray, b: np.ndarray, classes: int) -> np.ndarray:
+    size = lambda x: (x >> np.uint64(8) & np.uint64(255)).astype(np.int16)
+    return (np.bitwise_count((a ^ b) >> np.uint64(16)) <= CHECK_RADIUS) & (np.abs(size(a) - size(b)) <= classes)
+
+
+def _close_sql(a: str, b: str, classes: int) -> str:
+    size = lambda x: f"(shiftrightunsigned({x}, 8) & 255)"
+    return f"bit_count(shiftrightunsigned({a} ^ {b}, 16)) <= {CHECK_RADIUS} and abs({size(a)} - {size(b)}) <= {classes}"
+
+
+def _alike_sql(a: str, b: str, a_keys: str, b_keys: str, bits: int, similar: float) -> str:
+    """Whether all bits that two sets have allow the similarity: SPREAD standard deviations more may differ than do on average there."""
+    keys, p = keys_for(bits, similar), _flips(similar)
+    n = CHECK_BITS + keys * bits
+    differ = " + ".join(f"bit_count({a_keys}[{k}] ^ {b_keys}[{k}])" for k in range(keys))
+    return f"bit_count(shiftrightunsigned({a} ^ {b}, 16)) + {differ} <= {n * p + SPREAD * math.sqrt(n * p * (1 - p))}"
 
 
 def _head(nodes: np.ndarray) -> np.uint64:
-    """The node nearest to the majority of the nodes' bits, the least of equals."""
+    """Of the nodes next to the majority of the nodes' bits one that other crowds choose too: the least under one order for all."""
     bits = np.unpackbits((nodes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(nodes), bitorder="little").view("<u8")[0]
     far = np.bitwise_count((nodes >> np.uint64(16)) ^ middle)
-    return nodes[far == far.min()].min()
+    central = nodes[far <= far.min() + 2]
+    return central[np.argmin(central * np.uint64(0x9E3779B97F4A7C15))]
 
 
-def _candidates(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b) of nodes to verify, and with crowd set the members a of crowds with head b; rows come sorted by key, whole keys only."""
-    found: list[tuple[np.ndarray, np.ndarray, bool]] = []
+def _candidates(key: np.ndarray, node: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, kind): pairs of nodes to verify (0), members of crowds near their head b (1), and members far from it (2). Rows come sorted by key, whole keys only."""
+    none = (node[:0], node[:0])
+    kinds: tuple[list, list, list] = [none], [none], [none]
     begins = np.flatnonzero(np.insert(key[1:] != key[:-1], 0, True))
     sizes = np.diff(np.append(begins, len(key)))
     small = np.repeat(sizes <= CROWD, sizes)
     for step in range(1, CROWD):
         at = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
-        if not len(at):
-            break
         a, b = node[at], node[at + step]
-        near = _close(a, b) & (a != b)
-        found.append((a[near], b[near], False))
+        near = _close(a, b, classes)
+        kinds[0].append((np.minimum(a, b)[near], np.maximum(a, b)[near]))
     for k in np.flatnonzero(sizes > CROWD):
-        crowd = np.unique(node[begins[k] : begins[k] + sizes[k]])
-        rest = crowd
+        crowd = rest = np.unique(node[begins[k] : begins[k] + sizes[k]])
         while len(rest) > CROWD:
             head = _head(rest)
-            near = _close(rest, head)
-            found.append((rest[near], np.full(near.sum(), head), False))
-            if len(rest) == len(crowd):
-                found.append((crowd, np.full(len(crowd), head), True))
+            near = _close(rest, head, classes)
+            kinds[1].append((rest[near], np.full(near.sum(), head)))
+            if rest is crowd:
+                kinds[2].append((rest[~near], np.full((~near).sum(), head)))
             rest = rest[~near]
         for i in range(1, len(rest)):
-            near = _close(rest[:i], rest[i])
-            found.append((rest[:i][near], np.full(near.sum(), rest[i]), False))
-    out = []
-    for crowd in (False, True):
-        some = [np.zeros((2, 0), np.uint64), *[np.stack([np.minimum(a, b), np.maximum(a, b)] if not c else [a, b]) for a, b, c in found if c == crowd]]
-        pairs = np.unique(np.concatenate(some, axis=1), axis=1)
-        out.append(pairs[:, pairs[0] != pairs[1]] if not crowd else pairs)
-    a, b = np.concatenate(out, axis=1)
-    return a, b, np.repeat([False, True], [out[0].shape[1], out[1].shape[1]])
+            near = rest[:i][_close(rest[:i], rest[i], classes)]
+            kinds[0].append((near, np.full(len(near), rest[i])))
+    each = [np.unique(np.stack([np.concatenate(x) for x in zip(*pairs, strict=True)]), axis=1) for pairs in kinds]
+    a, b = np.concatenate(each, axis=1)
+    return a, b, np.repeat(np.arange(3, dtype=np.int8), [x.shape[1] for x in each])
 
 
-def met(sets: DataFrame, bits: int) -> DataFrame:
-    """(a, b, crowd) from sets (node, keys): see _candidates()."""
+def met(sets: DataFrame, bits: int, similar: float = SIMILAR) -> DataFrame:
+    """(a, b, kind) from sets (node, keys): see _candidates()."""
+    classes = _classes(similar)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node in _whole_keys(batches, "node"):
-            a, b, crowd = _candidates(key, node)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(crowd)], ["a", "b", "crowd"])
+            a, b, kind = _candidates(key, node, classes)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(kind)], ["a", "b", "kind"])
 
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = sets.select("node", "keys").repartition(n, "node").select("node", F.posexplode("keys").alias("t", "w")).select("node", F.expr(f"w | shiftleft(cast(t as bigint), {bits})").alias("w"))
     balls = each.select(F.explode(F.array("w", *[F.expr(f"w ^ {1 << b}L") for b in range(bits)])).alias("key"), "node")
-    return materialize(balls.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, crowd boolean"), "met")
+    found = balls.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, kind byte")
+    return materialize(found.distinct(), "met")
 
 
 def _shingles(docs: DataFrame, sets: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -376,26 +404,33 @@ def similar_sets(docs: DataFrame, prints: DataFrame, bits: int, *, doc_id: str =
     """(set_key, root) of the sets that have a link to another: those of set_prints()."""
     one = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("k"))).alias("one")
     sets = materialize(prints.groupBy("set_key").agg(one, F.first("node").alias("node"), F.first("keys").alias("keys")), "sets")
-    meetings = met(sets, bits)
-    names = sets.select("node", "set_key")
-    name = lambda x: names.select(F.col("node").alias(x), F.col("set_key").alias(f"{x}_key"))
-    pairs = meetings.filter("not crowd").select("a", "b").distinct().join(name("a"), "a").join(name("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    meetings = met(sets, bits, similar)
+    names = sets.select("node", "set_key", "keys")
     # sets that share all bits of a node
-    same = names.groupBy("node").agg(F.min("set_key").alias("b"), F.count("*").alias("n")).filter("n > 1").join(names, "node").select(F.col("set_key").alias("a"), "b").filter("a <> b")
-    pairs = materialize(pairs.unionByName(same), "candidates")
+    same = names.groupBy("node").agg(F.min("set_key").alias("b"), F.count("*").alias("n")).filter("n > 1").join(names, "node").select(F.least("set_key", "b").alias("a"), F.greatest("set_key", "b").alias("b")).filter("a <> b")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        """Pairs of sets for pairs of nodes, but those that all their bits rule out."""
+        name = lambda x: names.select(F.col("node").alias(x), F.col("set_key").alias(f"{x}_key"), F.col("keys").alias(f"{x}_keys"))
+        both = pairs.join(name("a"), "a").join(name("b"), "b").filter(_alike_sql("a", "b", "a_keys", "b_keys", bits, similar))
+        return both.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
+
+    plain = meetings.filter("kind < 2 and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(named(plain).unionByName(same), "candidates")
     linked = _verified(pairs, docs, sets, doc_id, text, width, similar)
     roots = materialize(components(linked), "set-roots").withColumnRenamed("node", "set_key")
-    crowds = meetings.filter("crowd").select(F.col("a").alias("node"), F.col("b").alias("head")).distinct()
+    crowds = meetings.filter("kind > 0")
     if crowds.isEmpty():
         return roots
-    placed = crowds.join(names, "node").join(roots, "set_key", "left").select("head", "node", "set_key", F.coalesce("root", "set_key").alias("root"))
-    placed = materialize(placed, "crowds")
-    heads = materialize(placed.filter("node = head").groupBy("head").agg(F.min("root").alias("main")), "heads")
-    out = placed.join(heads, "head").filter("root <> main").select("head", F.col("node").alias("x"), F.col("set_key").alias("a"), F.col("root").alias("own"))
-    apart = out.join(placed, "head").filter(f"own <> root and a <> set_key and bit_count(shiftrightunsigned(x ^ node, 16)) <= {CHECK_RADIUS}")
-    more = apart.select(F.least("a", "set_key").alias("a"), F.greatest("a", "set_key").alias("b")).distinct()
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(more.join(known, ["a", "b"], "left_anti"), "candidates")
+    placed = names.join(roots, "set_key", "left").select("node", "set_key", "keys", F.coalesce("root", "set_key").alias("root"))
+    heads = materialize(placed.join(crowds.select(F.col("b").alias("node")).distinct(), "node").groupBy(F.col("node").alias("head")).agg(F.min("root").alias("main")), "heads")
+    members = crowds.select(F.col("a").alias("node"), F.col("b").alias("head")).join(heads, "head").select("main", "node").distinct()
+    members = materialize(members.join(placed, "node"), "crowds")
+    out = members.filter("root <> main").select("main", *[F.col(x).alias(f"x_{x}") for x in ("node", "set_key", "keys", "root")])
+    members = members.withColumnsRenamed({x: f"y_{x}" for x in ("node", "set_key", "keys", "root")})
+    apart = out.join(members, "main").filter(f"x_root <> y_root and {_close_sql('x_node', 'y_node', _classes(similar))} and {_alike_sql('x_node', 'y_node', 'x_keys', 'y_keys', bits, similar)}")
+    more = apart.select(F.least("x_set_key", "y_set_key").alias("a"), F.greatest("x_set_key", "y_set_key").alias("b")).distinct()
+    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "candidates")
     if more.isEmpty():
         return roots
     return materialize(components(linked.unionByName(_verified(more, docs, sets, doc_id, text, width, similar))), "set-roots").withColumnRenamed("node", "set_key")
