@@ -36,31 +36,58 @@ def path_bonus(query: Column, symbol: Column, path: Column) -> Column:
     return F.size(F.filter(words, lambda w: F.contains(low[0], w) | F.contains(low[1], w))) * WORD_BONUS
 
 
-def aggregate_scores(nodes: DataFrame, local: Column) -> DataFrame:
-    """(node_id, aggregate_score): local scores over each subtree."""
-    return tree.rollup(nodes, {"aggregate_score": local})
+def subtree_scores(nodes: DataFrame, hits: DataFrame, *, most: int = tree.MOST_LEVELS) -> DataFrame:
+    """(query, node_id, below): BM25 of hits (query, node_id, score) summed over each subtree that holds one.
+
+    Only the hits and what lies above them is touched: each level's sums climb to
+    the parents, added up on the way.
+    """
+    up = nodes.filter(F.col("parent_id").isNotNull()).select("node_id", F.col("parent_id").alias("_up"))
+    level = out = materialize(hits.groupBy("query", "node_id").agg(F.sum("score").alias("below")), "climb")
+    for _ in range(most):
+        risen = level.join(up, "node_id").groupBy("query", F.col("_up").alias("node_id")).agg(F.sum("below").alias("below"))
+        level = materialize(risen, "climb")
+        if level.isEmpty():
+            return out.groupBy("query", "node_id").agg(F.sum("below").alias("below"))
+        out = out.unionByName(level)
+    raise ValueError(f"paths are longer than {most} levels, or there is a cycle")
+
+
+def node_score(below: Column, query: Column, symbol: Column, path: Column) -> Column:
+    """A node's score: BM25 over its subtree, and the bonus of its own name and path."""
+    return F.coalesce(below, F.lit(0.0)) + path_bonus(query, symbol, path)
 
 
 def hybrid(local: Column, aggregate: Column) -> Column:
     return 2 * local + aggregate
 
 
-def beam_children(scored: DataFrame, beam: int = BEAM, by: tuple[str, ...] = ()) -> DataFrame:
-    """The children that a search may expand: each parent's best by aggregate score, ties by order. ``by`` keeps searches apart."""
-    order = Window.partitionBy(*by, "parent_id").orderBy(F.desc(F.round("aggregate_score", 9)), "ord")
-    return scored.filter(F.col("parent_id").isNotNull()).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= beam)
-
+def beam_reach(nodes: DataFrame, hits: DataFrame, queries: DataFrame, beam: int = BEAM, *, most: int = tree.MOST_LEVELS) -> DataFrame:
+    """What beams reach from the first root for queries (query, text): (query, node_id, parent_id, kind, rank, step, local_score, aggregate_score).
 
-def beam_reach(scored: DataFrame, beam: int = BEAM, *, by: tuple[str, ...] = (), most: int = tree.MOST_LEVELS) -> DataFrame:
-    """Nodes that beams reach from the root, with their step down from it."""
-    kids = materialize(beam_children(scored, beam, by).drop("rank"), "beam")
-    level = scored.filter(F.col("parent_id").isNull()).withColumn("step", F.lit(0))
-    out = level
+    From level to level the children of the nodes kept so far are scored, and each
+    parent's ``beam`` best stay, ties by ``ord``. Only children of kept nodes meet
+    the queries.
+    """
+    totals = materialize(subtree_scores(nodes, hits, most=most), "subtree-scores")
+    each = nodes.select("node_id", "parent_id", "ord", "kind", "path", "symbol")
+    kids = materialize(each.filter(F.col("parent_id").isNotNull()), "children")
+    root = each.filter(F.col("parent_id").isNull()).orderBy("ord", "node_id").limit(1)  # one row
+    order = Window.partitionBy("query", "parent_id").orderBy(F.desc(F.round("aggregate_score", 9)), "ord")
+    own = hits.groupBy("query", "node_id").agg(F.sum("score").alias("local_score"))
+
+    def scored(rows: DataFrame, step: int) -> DataFrame:
+        told = rows.join(totals, ["query", "node_id"], "left").withColumn("aggregate_score", node_score(F.col("below"), F.col("text"), F.col("symbol"), F.col("path")))
+        best = told.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= beam).withColumn("step", F.lit(step))
+        return materialize(best.select("query", "text", "node_id", "parent_id", "kind", "rank", "step", "aggregate_score"), "reach")
+
+    level = out = scored(queries.select("query", "text").crossJoin(F.broadcast(root)), 0)
     for step in range(1, most + 1):
-        above = level.filter(~F.col("kind").isin(*LEAVES)).select(*by, F.col("node_id").alias("parent_id"))
-        level = materialize(kids.join(above, [*by, "parent_id"], "left_semi").withColumn("step", F.lit(step)), "reach")
+        above = level.filter(~F.col("kind").isin(*LEAVES)).select("query", "text", F.col("node_id").alias("parent_id"))
+        level = scored(above.join(kids, "parent_id"), step)
         if level.isEmpty():
-            return out
+            found = out.drop("text").join(own, ["query", "node_id"], "left")
+            return materialize(found.withColumn("local_score", F.coalesce("local_score", F.lit(0.0))), "reach")
         out = out.unionByName(level)
     raise ValueError(f"paths are longer than {most} levels, or there is a cycle")
 
@@ -94,32 +121,35 @@ def search(nodes: DataFrame, scored_docs: DataFrame, queries: DataFrame, *, top:
     """Answers and trace of queries (query, text) on one tree, from BM25's (query, doc, score, rank).
 
     Answers: (query, rank, node_id, local_score, aggregate_score, hybrid_score).
-    Each query has the tree to itself: work grows with queries times nodes.
     """
-    kept = scored_docs.filter(F.col("rank") <= pre_limit(top)).select("query", F.col("doc").alias("node_id"), "score")
-    each = nodes.join(F.broadcast(queries))  # every node for every query, which the search needs
-    local = each.join(kept, ["query", "node_id"], "left").withColumn("local_score", F.coalesce("score", F.lit(0.0)) + path_bonus(F.col("text"), F.col("symbol"), F.col("path"))).drop("score", "text")
-    keyed = local.withColumns({"tree_id": F.col("node_id"), "node_id": F.concat_ws("\t", "query", "node_id"), "parent_id": F.when(F.col("parent_id").isNotNull(), F.concat_ws("\t", "query", "parent_id"))})
-    total = aggregate_scores(keyed, F.col("local_score"))
-    scored = materialize(keyed.join(total, "node_id"), "scored")
-    trace = best_first(beam_reach(scored, beam, by=("query",)), budget=budget)
-    found = trace.filter("event = 'answer'").join(scored.drop("query"), "node_id").withColumn("hybrid_score", hybrid(F.col("local_score"), F.col("aggregate_score")))
-    order = Window.partitionBy("query").orderBy(F.desc(F.round("hybrid_score", 9)), "step")
+    hits = scored_docs.filter(F.col("rank") <= pre_limit(top)).select("query", F.col("doc").alias("node_id"), "score")
+    reach = beam_reach(nodes, materialize(hits, "hits"), queries, beam)
+    trace = materialize(best_first(reach, budget=budget), "trace")
+    found = trace.filter("event = 'answer'").select("query", "node_id", F.col("step").alias("visit")).join(reach.drop("rank"), ["query", "node_id"]).withColumn("hybrid_score", hybrid(F.col("local_score"), F.col("aggregate_score")))
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("hybrid_score", 9)), "visit")
     answers = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return answers.select("query", "rank", F.col("tree_id").alias("node_id"), "local_score", "aggregate_score", "hybrid_score"), trace.withColumn("node_id", F.substring_index("node_id", "\t", -1))
+    return answers.select("query", "rank", "node_id", "local_score", "aggregate_score", "hybrid_score"), trace
 
 
-Judge = Callable[[str, dict], tuple[bool, float, str]]
+#: (query, node) to (relevant, confidence, reason, whether it answers the query).
+Judge = Callable[[str, dict], tuple[bool, float, str, bool]]
+#: (query, parent, children) to (index of a child, score, reason) of the children to explore.
+Ranker = Callable[[str, dict, list[dict]], list[tuple[int, float, str]]]
 EXPLORE, SHOWN, KEPT = 0.15, 20, 5
 #: Queries that a task of the guided search has on average.
 BLOCK = 32
 
 
-def word_overlap(query: str, node: dict) -> tuple[bool, float, str]:
-    """The judge without a model: the share of the query's words in the node's text."""
+def word_overlap(query: str, node: dict) -> tuple[bool, float, str, bool]:
+    """The judge without a model: the share of the query's words in the node's text; any is an answer."""
     words, text = set(query.lower().split()), " ".join(str(node.get(k) or "") for k in ("path", "symbol", "summary")).lower()
     share = sum(w in text for w in words) / max(1, len(words))
-    return share > 0, share, f"{share:.2f} of the words"
+    return share > 0, share, f"{share:.2f} of the words", share > 0
+
+
+def overlap_ranking(query: str, parent: dict, children: list[dict]) -> list[tuple[int, float, str]]:
+    """The ranking without a model: children by word_overlap()."""
+    return [(k, *word_overlap(query, c)[1:3]) for k, c in enumerate(children)]
 
 
 def shown_reach(nodes: DataFrame, budget: int) -> DataFrame:
@@ -141,35 +171,53 @@ def shown_reach(nodes: DataFrame, budget: int) -> DataFrame:
     return out
 
 
-def guided(nodes: DataFrame, queries: DataFrame, judge: Judge = word_overlap, *, budget: int = 50, top: int = TOP, by: str = "query") -> DataFrame:
+def guided(nodes: DataFrame, queries: DataFrame, judge: Judge = word_overlap, rank: Ranker = overlap_ranking, *, budget: int = 50, by: str = "query") -> DataFrame:
     """Search of nodes (node_id, parent_id, ord, kind, path, symbol, summary) by a judge of relevance, for each of the queries (query, text).
 
-    The frontier's best is judged; functions, methods, constants and classes may
-    be answers; containers, and what the judge doesn't rule out, are expanded to
-    the judge's best five of their first twenty children. A judge that fails
-    counts as not relevant. Equal places (``ord``) are told apart by id. Queries
-    are searched in blocks of ``BLOCK``; a task sees the nodes within reach, at
-    most ``SHOWN`` to the power of the depth, once for a block.
+    Gives the trace (query, step, event, node_id, score, reason). A step takes the
+    frontier's best and judges it (``evaluate``). A function, block, constant or
+    class that the judge calls an answer is one (``answer``) and isn't gone into.
+    Containers always are, others where the judge is sure by more than EXPLORE: of
+    the first SHOWN children the ranking's best KEPT join the frontier (``expand``).
+    A judge that fails counts as not relevant, a ranking that fails as empty. Equal
+    places (``ord``) are told apart by id. Queries are searched in blocks of
+    ``BLOCK``; a task sees the nodes within reach, at most ``SHOWN`` to the power
+    of the depth, once for a block.
     """
 
-    def ask(query: str, node: dict) -> tuple[bool, float, str]:
+    def ask(query: str, node: dict) -> tuple[bool, float, str, bool]:
         try:
             return judge(query, node)
         except Exception as e:  # noqa: BLE001
-            return False, 0.0, str(e)
+            return False, 0.0, str(e), False
+
+    def ranked(query: str, node: dict, children: list[dict]) -> list[tuple[int, float, str]]:
+        try:
+            told = [x for x in rank(query, node, children) if 0 <= x[0] < len(children)]
+        except Exception:  # noqa: BLE001
+            return []
+        return sorted(told, key=lambda x: -x[1])[:KEPT]
 
     def search_one(text: str, below: dict) -> list[tuple]:
-        frontier, steps = [(1.0, r) for r in below[None]], []
-        while frontier and len(steps) < budget:
+        frontier, out, step = [(1.0, r) for r in below[None]], [], 0
+        seen = set()
+        while frontier and step < budget:
+            step += 1
             frontier.sort(key=lambda x: -x[0])
             _, node = frontier.pop(0)
-            relevant, sure, why = ask(text, node)
-            answer = relevant and node["kind"] in (*LEAVES, "class")
-            steps.append((len(steps), "answer" if answer else "evaluate", node["node_id"], float(sure), why))
-            if node["kind"] in ("repo", "pkg", "file") or sure > EXPLORE:
-                told = sorted(((ask(text, c)[1], c) for c in below.get(node["node_id"], [])[:SHOWN]), key=lambda x: -x[0])
-                frontier += told[:KEPT]
-        return steps
+            if node["node_id"] in seen:
+                continue
+            seen.add(node["node_id"])
+            _, sure, why, answers = ask(text, node)
+            out.append((step, "evaluate", node["node_id"], float(sure), why))
+            if answers and node["kind"] in (*LEAVES, "class"):
+                out.append((step, "answer", node["node_id"], float(sure), why))
+            elif node["kind"] in ("repo", "pkg", "file", "class") or sure > EXPLORE:
+                children = below.get(node["node_id"], [])[:SHOWN]
+                for k, score, why in ranked(text, node, children) if children else []:
+                    frontier.append((score, children[k]))
+                    out.append((step, "expand", children[k]["node_id"], float(score), why))
+        return out
 
     def run(asked: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
         below = defaultdict(list)
@@ -191,6 +239,12 @@ def guided(nodes: DataFrame, queries: DataFrame, judge: Judge = word_overlap, *,
     return dealt.groupBy("block").cogroup(each.groupBy("block")).applyInPandas(run, f"{by} {kind}, step int, event string, node_id string, score double, reason string")
 
 
+def statistics(trace: DataFrame, budget: int, by: str = "query") -> DataFrame:
+    """(query, steps, nodes_visited, answers_found, budget) of a guided search's trace."""
+    told = trace.groupBy(by).agg(F.max("step").alias("steps"), F.count_if(F.col("event") == "evaluate").alias("nodes_visited"), F.count_if(F.col("event") == "answer").alias("answers_found"))
+    return told.withColumn("budget", F.lit(budget))
+
+
 def sticky_last(trace: DataFrame, value: Column, when: Column, by: str, order: str) -> Column:
     """The last ``value`` before a row at which ``when`` held."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,7 @@ def find(spark: SparkSession, index: str, query: str, *, top: int = search.TOP,
     asked = spark.createDataFrame([(1, query)], "query int, text string")
     shown = nodes.select("node_id", "kind", "path", "symbol", "start_line", "end_line", "summary")
     if judge:
-        steps = search.guided(nodes.select("node_id", "parent_id", "ord", "kind", "path", "symbol", "summary"), asked, judge, budget=budget, top=top)
+        steps = search.guided(nodes.select("node_id", "parent_id", "ord", "kind", "path", "symbol", "summary"), asked, judge, budget=budget)
         best = steps.filter("event = 'answer'").orderBy(F.desc("score"), "step").limit(top)
         return best.join(shown, "node_id").orderBy(F.desc("score"), "step"), steps
     hits = bm25.Index(spark, f"{index}/bm25").search(asked, "query", F.col("text"), search.pre_limit(top))

@@ -209,11 +209,11 @@ def load_nodes(spark, sf_dir):
 
 
 SITE = f"{tables.SITE_PAGES}, {tables.SITE_NODES}, {index_sql('site', chr(39) + 'p' + chr(39) + ' || page_id', 'body')}, {TERMS}, {SCORES}"
-LOCAL = f"""{SITE}, local AS (SELECT b.item_id AS query, nodes.*, coalesce(s.score, 0.0) + 0.1 * len(list_filter(list_filter(regexp_split_to_array(lower(trim(b.text)), '\\s+'), lambda x: x <> ''),
-  lambda x: contains(lower(coalesce(symbol, '')), x) OR contains(lower(path), x))) AS local_score FROM nodes CROSS JOIN benchmark b LEFT JOIN (SELECT * FROM top WHERE rank <= 200) s ON s.query = b.item_id AND s.doc = node_id),
-up(query, node_id, ancestor, v) AS (SELECT query, node_id, node_id, local_score FROM local UNION ALL SELECT up.query, up.node_id, nodes.parent_id, v FROM up JOIN nodes ON up.ancestor = nodes.node_id WHERE nodes.parent_id IS NOT NULL),
-agg AS (SELECT query, ancestor AS node_id, sum(v) AS aggregate_score FROM up GROUP BY query, ancestor),
-both_ AS (SELECT local.*, aggregate_score FROM local JOIN agg USING (query, node_id)),
+LOCAL = f"""{SITE}, hits AS (SELECT query, doc AS node_id, score FROM top WHERE rank <= 200),
+up(query, node_id, v) AS (SELECT query, node_id, score FROM hits UNION ALL SELECT up.query, nodes.parent_id, v FROM up JOIN nodes ON up.node_id = nodes.node_id WHERE nodes.parent_id IS NOT NULL),
+agg AS (SELECT query, node_id, sum(v) AS below FROM up GROUP BY query, node_id),
+both_ AS (SELECT b.item_id AS query, nodes.*, coalesce(h.score, 0.0) AS local_score, coalesce(agg.below, 0.0) + 0.1 * len(list_filter(list_filter(regexp_split_to_array(lower(trim(b.text)), '\\s+'), lambda x: x <> ''),
+  lambda x: contains(lower(coalesce(symbol, '')), x) OR contains(lower(path), x))) AS aggregate_score FROM nodes CROSS JOIN benchmark b LEFT JOIN hits h ON h.query = b.item_id AND h.node_id = nodes.node_id LEFT JOIN agg ON agg.query = b.item_id AND agg.node_id = nodes.node_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query, parent_id ORDER BY round(aggregate_score, 9) DESC, node_id) AS place FROM both_),
 reach AS (SELECT query, node_id, 0 AS step FROM ranked WHERE parent_id IS NULL UNION ALL SELECT r.query, r.node_id, step + 1 FROM reach JOIN ranked r ON r.query = reach.query AND r.parent_id = reach.node_id WHERE r.place <= 10)"""
 
@@ -227,44 +227,40 @@ def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return tables.site_nodes(spark, sf_dir), top, items
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reached(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, top, items = _site(spark, sf_dir)
-    each = nodes.join(F.broadcast(items))  # the reports' queries: benchmark doesn't grow with pages
-    local = each.join(top.select("query", F.col("doc").alias("node_id"), "score"), ["query", "node_id"], "left")
-    local = local.withColumn("local_score", F.coalesce("score", F.lit(0.0)) + search.path_bonus(F.col("text"), F.col("symbol"), F.col("path"))).drop("score", "text")
-    key = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("\t", "query", c))
-    keyed = local.select("query", "kind", "local_score", "ord", key("node_id").alias("node_id"), key("parent_id").alias("parent_id"))
-    keyed = materialize(keyed, "local-scores")
-    return materialize(keyed.join(search.aggregate_scores(keyed, F.col("local_score")), "node_id"), "scored")
+    return search.beam_reach(nodes, materialize(top.select("query", F.col("doc").alias("node_id"), "score"), "hits"), items)
 
 
-def _plain(df: DataFrame) -> DataFrame:
-    return df.withColumn("node_id", F.substring_index("node_id", "\t", -1))
-
-
-@query(f"WITH RECURSIVE {LOCAL} SELECT query, node_id, round(local_score, 6) AS local_score, round(aggregate_score, 6) AS aggregate_score FROM both_")
+@query(f"WITH RECURSIVE {LOCAL} SELECT query, node_id, round(below, 6) AS below, round(aggregate_score, 6) AS aggregate_score FROM agg JOIN both_ USING (query, node_id)")
 def url_tree_rollup(spark, sf_dir):
-    return rounded(_plain(_scored(spark, sf_dir)).select("query", "node_id", "local_score", "aggregate_score"), "local_score", "aggregate_score")
+    """Each query's BM25 over the subtrees that hold a hit, and those nodes' scores."""
+    nodes, top, items = _site(spark, sf_dir)
+    totals = search.subtree_scores(nodes, top.select("query", F.col("doc").alias("node_id"), "score"))
+    told = totals.join(nodes, "node_id").join(items, "query")
+    told = told.withColumn("aggregate_score", search.node_score(F.col("below"), F.col("text"), F.col("symbol"), F.col("path")))
+    return rounded(told.select("query", "node_id", "below", "aggregate_score"), "below", "aggregate_score")
 
 
-@query(f"WITH RECURSIVE {LOCAL} SELECT query, node_id, place AS rank FROM ranked WHERE place <= 10 AND parent_id IS NOT NULL")
+@query(f"WITH RECURSIVE {LOCAL} SELECT query, node_id, place AS rank FROM ranked JOIN reach USING (query, node_id) WHERE parent_id IS NOT NULL")
 def beam_children(spark, sf_dir):
-    return _plain(search.beam_children(_scored(spark, sf_dir), by=("query",))).select("query", "node_id", F.col("rank").cast("long").alias("rank"))
+    """The children that each search may expand, by rank below their parent."""
+    return _reached(spark, sf_dir).filter("parent_id is not null").select("query", "node_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH RECURSIVE {LOCAL} SELECT query, node_id, step FROM reach")
 def beam_reach(spark, sf_dir):
-    return _plain(search.beam_reach(_scored(spark, sf_dir), by=("query",))).select("query", "node_id", "step")
+    return _reached(spark, sf_dir).select("query", "node_id", "step")
 
 
 @query(f"WITH RECURSIVE {LOCAL} SELECT query, node_id, rank, hybrid_score FROM (SELECT query, node_id, round(2 * local_score + aggregate_score, 6) AS hybrid_score, row_number() OVER (PARTITION BY query ORDER BY round(2 * local_score + aggregate_score, 9) DESC, node_id) AS rank FROM reach JOIN both_ USING (query, node_id) WHERE kind = 'func') WHERE rank <= 10")
 def hybrid_search(spark, sf_dir):
     """The answers of a search whose budget covers all that beams reach."""
-    found = search.beam_reach(_scored(spark, sf_dir), by=("query",)).filter(F.col("kind").isin(*search.LEAVES))
+    found = _reached(spark, sf_dir).filter(F.col("kind").isin(*search.LEAVES)).drop("rank")
     found = found.withColumn("hybrid_score", search.hybrid(F.col("local_score"), F.col("aggregate_score")))
     order = Window.partitionBy("query").orderBy(F.desc(F.round("hybrid_score", 9)), "node_id")
     top = found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= search.TOP)
-    return rounded(_plain(top).select("query", "node_id", "rank", "hybrid_score"), "hybrid_score")
+    return rounded(top.select("query", "node_id", "rank", "hybrid_score"), "hybrid_score")
 
 
 @query()

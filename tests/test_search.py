@@ -9,46 +9,60 @@ from pyspark.sql import functions as F
 from arbora.operators import bm25, search, tree
 
 
-def forest(seed, trees=6):
+def random_tree(seed):
+    """(node_id, parent_id, ord, kind, path, symbol) of one tree, BM25 hits (query, doc, score, rank), and queries with words of paths."""
     rng = random.Random(seed)
-    rows = []
-    for q in range(trees):
-        n = rng.randrange(2, 60)
-        kinds = ["repo"] + [rng.choice(["pkg", "file", "func", "const"]) for _ in range(n - 1)]
-        for i in range(n):
-            up = None if i == 0 else rng.choice([j for j in range(i) if kinds[j] not in search.LEAVES])
-            rows.append((q, f"{q}-{i:03}", None if up is None else f"{q}-{up:03}", kinds[i], i, rng.choice([0.0, 0.1, 0.5, rng.random()])))
-    return rows
-
-
-def sequential(rows, beam, budget):
-    """Steps of one tree's search."""
-    below, node = {}, {}
-    for r in rows:
-        below.setdefault(r[2], []).append(r)
-        node[r[1]] = r
-    total = lambda i: node[i][5] + sum(total(c[1]) for c in below.get(i, []))
-    score = {i: round(total(i), 9) for i in node}
-    heap, steps = [(-score[r[1]], r[1]) for r in below[None]], []
-    heapq.heapify(heap)
-    while heap and len(steps) < budget:
-        _, i = heapq.heappop(heap)
-        steps.append(i)
-        if node[i][3] not in search.LEAVES:
-            for c in sorted(below.get(i, []), key=lambda c: (-score[c[1]], c[4]))[:beam]:
-                heapq.heappush(heap, (-score[c[1]], c[1]))
-    return steps
-
-
-@pytest.mark.parametrize(("seed", "beam", "budget"), [(1, 3, 8), (2, 2, 1000), (3, 10, 20)])
-def test_best_first_on_random_trees(spark, seed, beam, budget):
-    rows = forest(seed)
-    df = spark.createDataFrame(rows, "query int, node_id string, parent_id string, kind string, ord int, local double")
-    scored = df.join(search.aggregate_scores(df, F.col("local")), "node_id").cache()
-    got = {}
-    for r in search.best_first(search.beam_reach(scored, beam, by=("query",)), budget=budget).orderBy("query", "step").collect():
-        got.setdefault(r.query, []).append(r.node_id)
-    assert got == {q: sequential([r for r in rows if r[0] == q], beam, budget) for q in {r[0] for r in rows}}
+    words = ["alpha", "beta", "gamma", "delta"]
+    kinds = ["repo"] + [rng.choice(["pkg", "file", "class", "func", "block", "const"]) for _ in range(119)]
+    nodes = []
+    for i in range(120):
+        up = None if i == 0 else rng.choice([j for j in range(i) if kinds[j] not in search.LEAVES][-9:])
+        nodes.append((f"n{i:03}", None if up is None else f"n{up:03}", i, kinds[i], "/".join(rng.sample(words, 2)), rng.choice([None, "", *words])))
+    queries = [(q, " ".join(rng.choice([*words, "Alpha", "none"]) for _ in range(3))) for q in range(5)]
+    hits = [(q, f"n{i:03}", rng.choice([0.5, 1.0, rng.random()]), k + 1) for q, _ in queries for k, i in enumerate(rng.sample(range(120), 40))]
+    return nodes, hits, queries
+
+
+def sequential(nodes, local, text, beam, budget, top):
+    """What the surveyed search does for one query: answers (node, own BM25, node score, hybrid), and the nodes in the order of visits."""
+    at, below = {n[0]: n for n in nodes}, {}
+    for n in nodes:
+        below.setdefault(n[1], []).append(n[0])
+
+    def under(i):
+        return local.get(i, 0.0) + sum(under(c) for c in below.get(i, []))
+
+    def score(i):
+        path, symbol = at[i][4], at[i][5]
+        bonus = sum(0.1 for w in text.lower().split() if (symbol and w in symbol.lower()) or (path and w in path.lower()))
+        return round(under(i) + bonus, 9)
+
+    heap, visits, answers = [(-score("n000"), "n000")], [], []
+    while heap and len(visits) < budget:
+        s, i = heapq.heappop(heap)
+        visits.append(i)
+        if at[i][3] in search.LEAVES:
+            answers.append((i, local.get(i, 0.0), -s, 2 * local.get(i, 0.0) - s))
+            continue
+        for c in sorted(below.get(i, []), key=lambda c: -score(c))[:beam]:
+            heapq.heappush(heap, (-score(c), c))
+    return sorted(answers, key=lambda x: -round(x[3], 9))[:top], visits
+
+
+@pytest.mark.parametrize(("seed", "beam", "budget"), [(1, 3, 20), (2, 2, 1000), (3, 10, 60)])
+def test_search_on_random_trees(spark, seed, beam, budget):
+    nodes, hits, queries = random_tree(seed)
+    df = spark.createDataFrame(nodes, "node_id string, parent_id string, ord int, kind string, path string, symbol string")
+    answers, trace = search.search(df, spark.createDataFrame(hits, "query int, doc string, score double, rank int"), spark.createDataFrame(queries, "query int, text string"), budget=budget, beam=beam)
+    got, visits = {q: [] for q, _ in queries}, {q: [] for q, _ in queries}
+    for r in answers.orderBy("query", "rank").collect():
+        got[r.query].append((r.node_id, *(round(x, 6) for x in (r.local_score, r.aggregate_score, r.hybrid_score))))
+    for r in trace.orderBy("query", "step").collect():
+        visits[r.query].append(r.node_id)
+    for q, text in queries:
+        want, order = sequential(nodes, {d: s for k, d, s, _ in hits if k == q}, text, beam, budget, search.TOP)
+        assert visits[q] == order
+        assert got[q] == [(i, *(round(x, 6) for x in rest)) for i, *rest in want]
 
 
 def test_worked_scores(spark):
@@ -103,15 +117,21 @@ def sequential_guided(rows, text, budget):
     for r in sorted(rows, key=lambda r: (r[2], r[0])):
         below.setdefault(r[1], []).append(r)
     tell = lambda r: search.word_overlap(text, {"path": r[4]})
-    frontier, steps = [(1.0, r) for r in below[None]], []
-    while frontier and len(steps) < budget:
+    frontier, out, step = [(1.0, r) for r in below[None]], [], 0
+    while frontier and step < budget:
+        step += 1
         frontier.sort(key=lambda x: -x[0])
         r = frontier.pop(0)[1]
-        relevant, sure, _ = tell(r)
-        steps.append(("answer" if relevant and r[3] in (*search.LEAVES, "class") else "evaluate", r[0], sure))
-        if r[3] in ("repo", "pkg", "file") or sure > search.EXPLORE:
-            frontier += sorted(((tell(c)[1], c) for c in below.get(r[0], [])[: search.SHOWN]), key=lambda x: -x[0])[: search.KEPT]
-    return steps
+        _, sure, _, answers = tell(r)
+        out.append((step, "evaluate", r[0], sure))
+        if answers and r[3] in (*search.LEAVES, "class"):
+            out.append((step, "answer", r[0], sure))
+            continue
+        if r[3] in ("repo", "pkg", "file", "class") or sure > search.EXPLORE:
+            best = sorted(((tell(c)[1], c) for c in below.get(r[0], [])[: search.SHOWN]), key=lambda x: -x[0])[: search.KEPT]
+            frontier += best
+            out += [(step, "expand", c[0], score) for score, c in best]
+    return out
 
 
 @pytest.mark.parametrize("budget", [2, 50])
@@ -121,9 +141,14 @@ def test_guided_looks_only_at_nodes_in_reach(spark, monkeypatch, budget):
     nodes = spark.createDataFrame(rows, "node_id string, parent_id string, ord int, kind string, path string").withColumns({"symbol": F.lit(None).cast("string"), "summary": F.lit(None).cast("string")})
     asked = [(k, t) for k, t in enumerate(["alpha", "beta gamma", "x alpha y", "none", "gamma", "y y beta", "alpha beta gamma"])]
     got = {}
-    for r in search.guided(nodes, spark.createDataFrame(asked, "query int, text string"), budget=budget).orderBy("query", "step").collect():
-        got.setdefault(r.query, []).append((r.event, r.node_id, r.score))
-    assert got == {q: sequential_guided(rows, t, budget) for q, t in asked}
+    trace = search.guided(nodes, spark.createDataFrame(asked, "query int, text string"), budget=budget).cache()
+    for r in trace.collect():
+        got.setdefault(r.query, []).append((r.step, r.event, r.node_id, r.score))
+    want = {q: sequential_guided(rows, t, budget) for q, t in asked}
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+    for r in search.statistics(trace, budget).collect():
+        kinds = [x[1] for x in want[r.query]]
+        assert (r.steps, r.nodes_visited, r.answers_found) == (want[r.query][-1][0], kinds.count("evaluate"), kinds.count("answer"))
     reach = search.shown_reach(nodes, budget)
     most = reach.filter("parent_id is not null").groupBy("parent_id").count().agg(F.max("count")).first()[0]
     assert most <= search.SHOWN and reach.count() < len(rows) / 2
