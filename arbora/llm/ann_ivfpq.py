@@ -15,7 +15,9 @@ answer can need, copies add no work and lose no answer.
 
 Defined results: vectors that are null, empty, zero, of another length than
 most of the sample, or that hold null or non-finite components take no part,
-neither as queries nor as answers; rows with equal id and vector count once; a
+neither as queries nor as answers; rows with equal id and vector count once; rows
+of one id with different vectors are queries of their own, told apart by query_key,
+a hash of the vector, and none of them is an answer to another; a
 null id takes no part; ties go to the smaller id; a query with fewer candidates
 gets all of them; an empty table gives no rows; other columns are ignored.
 """
@@ -68,7 +70,7 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def fit(sample: np.ndarray, rows: int, k: int = 20) -> Model:
     """Fits to a sample of ``rows`` distinct vectors."""
-    cells = min(MOST_CELLS, len(sample) // 8, int(2 * rows**0.5)) if rows > 1000 else 1
+    cells = min(MOST_CELLS, len(sample) // 8, int(2 * rows**0.5))
     centres = _k_means(sample, max(1, cells))
     own = _nearest(sample, centres)
     left, d = sample - centres[own], sample.shape[1]
@@ -105,7 +107,7 @@ def _probed(q: np.ndarray, model: Model, sizes: np.ndarray) -> list[np.ndarray]:
 
 
 def search(table: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows of ``table`` that ``queries`` picks (a condition on the column ``vec_id``), against all other rows."""
+    """(query_id, rank, vec_id, score, query_key) for the rows of ``table`` that ``queries`` picks (a condition on the column ``vec_id``), against all other rows."""
     spark = table.sparkSession
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toPandas()["v"]  # bounded by FIT_ROWS
@@ -114,10 +116,10 @@ def search(table: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec
     rows = rows.filter(F.size("v") == d).distinct()
     # the least k + 1 ids of each vector; taken in each task before the shuffle
     held = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
-    base = materialize(held.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]), "vectors")
+    base = materialize(held.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumns({"rep": F.col("ids")[0], "vec": F.xxhash64("v")}), "vectors")
     count = base.count()
     if not count:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_key long")
     model = fit(np.unique(np.stack(sample[lengths == d]).astype(np.float32), axis=0), count, k)
     cells = len(model.centres)
     shared = spark.sparkContext.broadcast(model)
@@ -130,9 +132,9 @@ def search(table: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec
             width = m.books.shape[2]
             left = np.pad(x - m.centres[cell], ((0, 0), (0, SLICES * width - d)))
             code = np.stack([_nearest(left[:, s * width : (s + 1) * width], m.books[s]) for s in range(SLICES)], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["rep", "cell", "code", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("vec"), b.column("rep"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["vec", "rep", "cell", "code", "x"])
 
-    index = materialize(base.select("rep", "v").mapInArrow(assign, "rep long, cell int, code binary, x binary"), "ivf")
+    index = materialize(base.select("vec", "rep", "v").mapInArrow(assign, "vec long, rep long, cell int, code binary, x binary"), "ivf")
     sizes = np.zeros(cells, np.int64)
     for r in index.groupBy("cell").count().collect():  # one row for each cell, MOST_CELLS at most
         sizes[r["cell"]] = r["count"]
@@ -146,14 +148,14 @@ def search(table: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec
         if room <= 0:
             block, room = block + int(parts[c]), BLOCK_ROWS
     table_of = lambda a: F.array(*[F.lit(int(v)) for v in a])
-    placed = index.withColumn("block", F.get(table_of(first), F.col("cell")) + F.pmod(F.xxhash64("rep"), F.get(table_of(parts), F.col("cell"))).cast("int"))
+    placed = index.withColumn("block", F.get(table_of(first), F.col("cell")) + F.pmod("vec", F.get(table_of(parts), F.col("cell"))).cast("int"))
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             x = _floats(b.column("v"), d)
             who, where, which, what = [], [], [], []
-            for q, vec, near in zip(b.column("rep").to_pylist(), x, _probed(x, m, sizes), strict=True):
+            for q, vec, near in zip(b.column("vec").to_pylist(), x, _probed(x, m, sizes), strict=True):
                 by: dict[int, list[int]] = {}
                 for c in near.tolist():
                     for p in range(parts[c]):
@@ -166,19 +168,21 @@ def search(table: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec
             yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(where, pa.int32()), pa.array(which, pa.binary()), pa.array(what, pa.binary())], ["q", "block", "cells", "x"])
 
     asked = rows.filter(queries).select("vec_id", "v")
-    asked_vectors = asked.select("v").distinct().join(base.select("v", "rep"), "v")
-    sent = materialize(asked_vectors.select("rep", "v").mapInArrow(send, "q long, block int, cells binary, x binary"), "ivf-queries")
+    asked_vectors = asked.select("v").distinct().join(base.select("v", "vec"), "v")
+    sent = materialize(asked_vectors.select("vec", "v").mapInArrow(send, "q long, block int, cells binary, x binary"), "ivf-queries")
     copies = sent.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("copies"))
     left = placed.join(copies, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     right = sent.join(copies, "block").withColumn("part", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int")).drop("copies")
-    depth = k + 1
+    # an id's own vectors are no answers to it: one of more vectors needs that much more depth
+    own = asked.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+    depth = k + own
 
     def scan(rows: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         m = shared.value
         out = []
         if len(rows) and len(qs):
-            rows = rows.sort_values("rep")
-            rep, cell = rows["rep"].to_numpy(), rows["cell"].to_numpy()
+            rows = rows.sort_values(["rep", "vec"])
+            vec, rep, cell = (rows[c].to_numpy() for c in ("vec", "rep", "cell"))
             code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(-1, SLICES)
             x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, d).astype(np.float64)
             width = m.books.shape[2]
@@ -199,15 +203,15 @@ def search(table: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec
                 exact[np.take_along_axis(s, best, 1) == -np.inf] = -np.inf
                 order = np.lexsort((rep[best], -exact), axis=1)[:, :depth]
                 score = np.take_along_axis(exact, order, 1)
-                found = rep[np.take_along_axis(best, order, 1)]
-                out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), order.shape[1]), "rep": found.ravel(), "score": score.ravel()}))
-        got = pd.concat(out) if out else pd.DataFrame({"q": [], "rep": [], "score": []})
+                found = np.take_along_axis(best, order, 1).ravel()
+                out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), order.shape[1]), "vec": vec[found], "rep": rep[found], "score": score.ravel()}))
+        got = pd.concat(out) if out else pd.DataFrame({"q": [], "vec": [], "rep": [], "score": []})
         return got[got["score"] > -np.inf]
 
-    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(scan, "q long, rep long, score double")
-    best = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).filter(F.col("n") <= depth).drop("n")
-    answers = best.join(base.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
+    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(scan, "q long, vec long, rep long, score double")
+    best = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep", "vec"))).filter(F.col("n") <= depth).drop("n", "rep")
+    answers = best.join(base.select("vec", "ids"), "vec").select("q", "score", F.explode("ids").alias("vec_id"))
     answers = materialize(answers.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= depth).drop("n"), "answers")
-    of = materialize(asked.join(base.select("v", F.col("rep").alias("q")), "v").select(F.col("vec_id").alias("query_id"), "q"), "queries")
+    of = materialize(asked.join(base.select("v", F.col("vec").alias("q")), "v").select(F.col("vec_id").alias("query_id"), "q", F.col("q").alias("query_key")), "queries")
     pairs = of.join(answers, "q").filter("vec_id <> query_id")
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_key")

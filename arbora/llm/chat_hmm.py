@@ -11,13 +11,15 @@ A conversation of any length is decoded in blocks of PARTS parts. A block is
 summed up by the best score from each state before it to each of its last
 states; up to PARTS blocks combine to a block of the next level, until one is
 left, whose best path then fixes the states at its blocks' ends, downwards. No
-task sees more than PARTS parts or sums.
+task sees more than PARTS part numbers or sums.
 
 Defined results: a row without a conversation or part number is a conversation
 of its own; rows with equal conversation, part and text are one; different texts
 of one part follow each other in the order of their text; a null text is empty;
 an empty text is one blank line; a block's first line counts as following a
-blank one; an empty table gives no rows; other columns are ignored.
+blank one; part numbers may be negative or lie far apart; of equally good paths
+the one through lower states is taken; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -144,9 +146,11 @@ def decode(parts: DataFrame, model: Model) -> DataFrame:
     rows = parts.select(F.col("conv").cast("long").alias("conv"), F.col("part").cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     rows = rows.withColumn("key", F.when(lost, F.concat_ws("/", F.lit("row"), "conv", "part", F.sha2("text", 256))).otherwise(F.concat_ws("/", F.lit("conv"), "conv")))
     rows = rows.withColumn("at", F.when(lost, F.lit(0)).otherwise(F.col("part")))
-    rows = rows.withColumn("block", F.floor(F.col("at") / PARTS))
-    reach = materialize(rows.groupBy("key").agg(F.min("block").alias("first"), F.max("block").alias("last")), "conversations")
-    rows = materialize(rows.join(reach, "key"), "transcripts")
+    # blocks are numbered from a conversation's first part, so that every series of levels ends in block 0
+    reach = materialize(rows.groupBy("key").agg(F.min("at").alias("_low"), F.max("at").alias("_high")), "conversations")
+    block = lambda x: F.floor((F.col(x) - F.col("_low")) / PARTS)
+    rows = rows.join(reach, "key").withColumns({"block": block("at"), "first": F.lit(0).cast("long"), "last": block("_high")}).drop("_low", "_high")
+    rows = materialize(rows, "transcripts")
     # only conversations of several blocks need sums; the others' one block is decoded as it is
     several = rows.filter("first < last")
     levels: list[DataFrame] = []

@@ -7,7 +7,8 @@ list itself, which removes false positives. Neither step leaves the JVM.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path
 and no canonical form, so no rule and no list entry fits it; an empty list
-blocks nothing; repeated rows are judged alike; other columns are ignored.
+blocks nothing; repeated rows are judged alike; of rules of equal length the later
+one wins; URLs of any length are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,31 +69,30 @@ def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     return listed.select(_block(F.col(key), blocks).alias("block"), *bits).groupBy("block").agg(*[F.bit_or(f"b{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
-def split_by_list(rows: DataFrame, key: str, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose ``key`` is in ``listed`` (one column, same name), and the others.
+def flag_listed(rows: DataFrame, key: str, listed: DataFrame, flag: str) -> DataFrame:
+    """``rows`` and whether their ``key`` is in ``listed`` (one column, same name), as column ``flag``.
 
     The filter is broadcast up to BROADCAST_BLOCKS rows and joined by its block
-    number beyond.
+    number beyond. Probed rows are written once; only those that pass are shuffled
+    for the exact join.
     """
-    listed = materialize(listed.select(key).filter(F.col(key).isNotNull()).distinct(), "listed-urls")
+    listed = materialize(listed.select(F.col(key).alias("_url_listed")).filter("_url_listed is not null").distinct(), "listed-urls")
     blocks = max(1, math.ceil(listed.count() * BITS_PER_KEY / (64 * WORDS)))
-    table = bloom(listed, key, blocks)
+    table = bloom(listed, "_url_listed", blocks)
+    table = table.withColumnsRenamed({c: f"_url_{c}" for c in table.columns})
     table = F.broadcast(table) if blocks <= BROADCAST_BLOCKS else table
-    probe = rows.withColumn("block", _block(F.coalesce(F.col(key), F.lit("")), blocks)).join(table, "block", "left")
-    possible = F.col(key).isNotNull() & F.col("w0").isNotNull()
+    probe = rows.withColumn("_url_block", _block(F.coalesce(F.col(key), F.lit("")), blocks)).join(table, "_url_block", "left")
+    possible = F.col(key).isNotNull() & F.col("_url_w0").isNotNull()
     for i in range(WORDS):
-        possible &= F.call_function("shiftrightunsigned", F.col(f"w{i}"), _bit(F.col(key), i)).bitwiseAND(F.lit(1)) == 1
-    probe = probe.withColumn("_may", F.coalesce(possible, F.lit(False))).drop("block", *[f"w{i}" for i in range(WORDS)])
-    passed = probe.filter("_may").drop("_may").join(listed.withColumn("_in", F.lit(True)), key, "left")
-    yes = passed.filter("_in").drop("_in")
-    no = probe.filter("not _may").drop("_may").unionByName(passed.filter("_in is null").drop("_in"))
-    return yes.select(*rows.columns), no.select(*rows.columns)
+        possible &= F.call_function("shiftrightunsigned", F.col(f"_url_w{i}"), _bit(F.col(key), i)).bitwiseAND(F.lit(1)) == 1
+    probe = materialize(probe.withColumn("_url_may", F.coalesce(possible, F.lit(False))).select(*rows.columns, "_url_may"), "probed-urls")
+    passed = probe.filter("_url_may").join(listed.hint("merge"), F.col(key) == F.col("_url_listed"), "left").withColumn(flag, F.col("_url_listed").isNotNull())
+    return probe.filter("not _url_may").withColumn(flag, F.lit(False)).select(*rows.columns, flag).unionByName(passed.select(*rows.columns, flag))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], *, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, listed. ``listed`` has one column of canonical URLs, ``canon``."""
     rows = pages.select(F.col(page_id).alias("page_id"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"), canonical(F.col(url)).alias("canon"))
     rows = rows.withColumn("r", matching_rule(F.col("host"), F.col("path"), rules))
-    yes, no = split_by_list(rows, "canon", listed)
-    told = lambda df, hit: df.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.lit("block" if hit else "allow")).alias("verdict"), F.lit(hit).alias("listed"))
-    return told(yes, True).unionByName(told(no, False))
+    told = flag_listed(rows, "canon", listed, "listed")
+    return told.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")

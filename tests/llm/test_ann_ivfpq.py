@@ -39,7 +39,7 @@ def check(got, want, recall, vectors):
     assert hits / max(total, 1) >= recall, hits / total
 
 
-@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
 def test_recall_of_query(spark, sf):
     folder = SMALL.replace("0.001", sf)
     vectors = {r.vec_id: list(r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
@@ -60,6 +60,25 @@ def test_copies_splits_and_bad_vectors(spark, monkeypatch, tmp_path):
     check(queries.op6_ivf_pq(spark, str(tmp_path)).collect(), exact(good), 0.95, dict(good))
 
 
+def test_small_tables_have_cells_and_probe_some_of_them(spark):
+    for sf in ("0.001", "0.01"):
+        vectors = [r.embedding for r in spark.read.parquet(f"{SMALL.replace('0.001', sf)}/embeddings.parquet").collect()]
+        model = ann_ivfpq.fit(np.unique(np.array(vectors, np.float32), axis=0), len(vectors))
+        assert len(model.centres) > 20 and model.probes < len(model.centres)
+
+
+def test_rows_of_one_id(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(60)] + [(20, [9.0, 0.0, 0.0, 0.0]), (20, [0.0, 9.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann_ivfpq.search(df, F.col("vec_id") == 20).collect():
+        got[r.query_key].append(r)
+    assert len(got) == 3
+    for answers in got.values():
+        assert sorted(r.rank for r in answers) == list(range(1, 21)) and all(r.vec_id != 20 for r in answers)
+
+
 def test_few_rows(spark):
     rows = [(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (40, [0.0, -2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

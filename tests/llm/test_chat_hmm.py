@@ -90,3 +90,14 @@ def test_cases(spark, model, tmp_path):
     assert chat_hmm.decode(parts.limit(0), model).count() == 0
     df.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
     assert queries.op5_transcript_hmm(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_negative_and_distant_parts(spark, model):
+    rows = [(1, -1, "user: a?"), (1, 0, "assistant: b"), (2, -900, "user: a?"), (2, 70_000, "x"), (3, -130, "me: q"), (3, -2, "bot: r")]
+    df = spark.createDataFrame(rows, "conv long, part long, text string")
+    got = {(r.conv, r.part): r for r in chat_hmm.decode(df, model).collect()}
+    assert set(got) == {r[:2] for r in rows}
+    for c in (1, 2, 3):
+        mine = sorted((p, t) for k, p, t in rows if k == c)
+        best, _ = viterbi(model, [t for _, t in mine])
+        assert path_score(model, [t for _, t in mine], got_states([got[c, p] for p, _ in mine])) == pytest.approx(best, abs=1e-6)

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import re
 
 from arbora.llm import queries, url_filter
@@ -50,6 +51,17 @@ def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", 0)
     rows = spark.range(2000).selectExpr("id", "concat('u', id) as k")
     listed = spark.range(0, 4000, 3).selectExpr("concat('u', id) as k")
-    yes, no = url_filter.split_by_list(rows, "k", listed)
-    assert {r.id for r in yes.collect()} == set(range(0, 2000, 3))
-    assert yes.count() + no.count() == 2000
+    got = url_filter.flag_listed(rows, "k", listed, "hit").collect()
+    assert {r.id for r in got if r.hit} == set(range(0, 2000, 3)) and len(got) == 2000
+
+
+def test_long_urls_repeated_rows_and_clashing_columns(spark):
+    long = "http://x.net/" + "a/" * 50_000 + "?ref=1&" + "q" * 50_000
+    rows = [(1, long), (1, long), (2, "http://y.net/b")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 as block", "'w' as w0", "true as listed", "2 as r", "'c' as canon")
+    listed = pages.select(url_filter.canonical(F.col("url")).alias("canon")).filter("length(canon) > 100")
+    got = url_filter.judge(pages, listed, [("net", "/", "allow"), ("net", "/", "block")]).collect()
+    assert sorted((r.page_id, r.listed, r.verdict, r.rule) for r in got) == [(1, True, "block", "net/"), (1, True, "block", "net/"), (2, False, "block", "net/")]
+    odd = spark.range(3).selectExpr("cast(id as string) as k", "1 as block", "2 as w0", "3 as _may")
+    flagged = url_filter.flag_listed(odd, "k", odd.filter("k = '1'"), "hit")
+    assert flagged.columns == [*odd.columns, "hit"] and [r.k for r in flagged.collect() if r.hit] == ["1"]
