@@ -424,11 +424,16 @@ def similar_sets(docs: DataFrame, prints: DataFrame, bits: int, *, doc_id: str =
         return roots
     placed = names.join(roots, "set_key", "left").select("node", "set_key", "keys", F.coalesce("root", "set_key").alias("root"))
     heads = materialize(placed.join(crowds.select(F.col("b").alias("node")).distinct(), "node").groupBy(F.col("node").alias("head")).agg(F.min("root").alias("main")), "heads")
-    members = crowds.select(F.col("a").alias("node"), F.col("b").alias("head")).join(heads, "head").select("main", "node").distinct()
+    within = crowds.select(F.col("a").alias("node"), F.col("b").alias("head"))
+    # a head that is in a larger component's crowds too counts with that, so that few pairs meet twice
+    told = materialize(within.join(heads, "head").select("main", "node").distinct(), "crowds")
+    sizes = materialize(told.groupBy("main").agg(F.count("*").alias("n")), "crowd-sizes")
+    larger = told.join(heads.select(F.col("head").alias("node")), "node").join(sizes, "main").groupBy(F.col("node").alias("head")).agg(F.max_by("main", F.struct("n", "main")).alias("main"))
+    members = within.join(materialize(larger, "heads"), "head").select("main", "node").distinct()
     members = materialize(members.join(placed, "node"), "crowds")
     out = members.filter("root <> main").select("main", *[F.col(x).alias(f"x_{x}") for x in ("node", "set_key", "keys", "root")])
     members = members.withColumnsRenamed({x: f"y_{x}" for x in ("node", "set_key", "keys", "root")})
-    apart = out.join(members, "main").filter(f"x_root <> y_root and {_close_sql('x_node', 'y_node', _classes(similar))} and {_alike_sql('x_node', 'y_node', 'x_keys', 'y_keys', bits, similar)}")
+    apart = out.join(members, "main").filter(f"x_root <> y_root and (y_root = main or x_set_key < y_set_key) and {_close_sql('x_node', 'y_node', _classes(similar))} and {_alike_sql('x_node', 'y_node', 'x_keys', 'y_keys', bits, similar)}")
     more = apart.select(F.least("x_set_key", "y_set_key").alias("a"), F.greatest("x_set_key", "y_set_key").alias("b")).distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "candidates")
     if more.isEmpty():
