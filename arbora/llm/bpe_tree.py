@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a leaf of a text, characters of a leaf of a long pre-token, and runs on either side of a join's first window.
-LEAF, RUNS = 512, 2
+LEAF, RUNS = 1024, 2
 #: Encoded runs that a worker remembers, at about 300 bytes each, and the longest of them in bytes.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: A stop or comma that ends a run after a letter or digit; a pre-token of its own there.
 CLOSING = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
 #: What tells runs apart, as blanks.
@@ -165,8 +165,9 @@ class TreeEncoder:
         found = self.full.encode_batch([t.decode() for t in texts], add_special_tokens=False)
         return [(" ".join(map(str, e.ids)).encode(), self.decode(e.ids).encode()) for e in found]
 
-    def concatenate(self, pairs: list[tuple[list[bytes], list[bytes], bool]], table: dict) -> list[list[bytes]]:
-        """Joins pairs of parts (runs, runs, whether the last and the first touch). New windows are added to the table."""
+    def concatenate(self, pairs: list[tuple[list[bytes], list[bytes], bool]], known: dict, once: dict) -> list[list[bytes]]:
+        """Joins pairs of parts (runs, runs, whether the last and the first touch), whose runs are in one of the tables; windows are added to ``once``."""
+        ids = lambda w: (known.get(w) or once[w])[0]
         done: list[list[bytes] | None] = [None] * len(pairs)
         todo, k = [i for i, (left, right, _) in enumerate(pairs)], RUNS
         while todo:
@@ -178,10 +179,10 @@ class TreeEncoder:
             for n, window, told in zip(todo, windows, self.encoded(windows), strict=True):
                 left, right, _ = pairs[n]
                 i, j = len(left) - k, k
-                from_left = i <= 0 or (k > 1 and (told[0] + b" ").startswith(table[left[i]][0] + b" "))
-                to_right = j >= len(right) or (k > 1 and (b" " + told[0]).endswith(b" " + table[right[j - 1]][0]))
+                from_left = i <= 0 or (k > 1 and (told[0] + b" ").startswith(ids(left[i]) + b" "))
+                to_right = j >= len(right) or (k > 1 and (b" " + told[0]).endswith(b" " + ids(right[j - 1])))
                 if from_left and to_right:
-                    table[window] = told
+                    once[window] = told
                     done[n] = left[: max(0, i)] + [window] + right[j:]
                 else:
                     grown.append(n)
@@ -197,20 +198,21 @@ class TreeEncoder:
         if len(self.known) + len(seen) > REMEMBERED:
             self.known = {w: x for w in seen if (x := self.known.get(w))}
         new = self.runs([w for w in seen if w not in self.known])
-        self.known.update((w, x) for w, x in new.items() if len(w) <= LONGEST)  # long runs are used once and not remembered
-        table = {w: self.known.get(w) or new[w] for w in seen}
+        known = self.known
+        known.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
+        once = {w: x for w, x in new.items() if len(w) > LONGEST}  # long runs and windows aren't remembered
         while any(len(parts) > 1 for parts in nodes):
             pairs = []
             for body, parts in zip(bodies, nodes, strict=True):
                 for left, right in zip(parts[::2], parts[1::2]):  # noqa: B905
                     if left[0] and right[0]:
                             pairs.append((left[0], right[0], body[left[2] - 1] != 32 and body[right[1]] != 32))
-            joined = iter(self.concatenate(pairs, table))
+            joined = iter(self.concatenate(pairs, known, once))
             for parts in nodes:
                 up = [(next(joined) if left[0] and right[0] else left[0] + right[0], left[1], right[2]) for left, right in zip(parts[::2], parts[1::2])]  # noqa: B905
                 parts[:] = up + parts[2 * len(up) :]
         for parts, leaves in zip(nodes, each, strict=True):
-            found = [x for w in parts[0][0] if (x := table[w])[0]]
+            found = [x for w in parts[0][0] if (x := known.get(w) or once[w])[0]]
             yield b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found]), len(leaves) - 1
 
 
