@@ -33,10 +33,12 @@ def innermost(points: DataFrame, spans: DataFrame, keys: list[str], *, at: Colum
     ``width`` that they touch, points under their own.
     """
     listed = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    asked = points.withColumns({"_at": at, "_bin": F.floor(at / width)})
+    each = points.groupBy(*points.columns).agg(F.count("*").alias("_copies"))  # equal points are looked up once
+    asked = each.withColumns({"_at": at, "_bin": F.floor(at / width)})
     met = asked.join(listed, [*keys, "_bin"]).filter((F.col(start) <= F.col("_at")) & (F.col("_at") <= F.col(end)))
     order = Window.partitionBy(*points.columns).orderBy(F.col(end) - F.col(start), tie)
-    return met.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_bin", "_at")
+    best = met.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return best.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_n", "_bin", "_at", "_copies")
 
 
 def capped(rows: DataFrame, by: list[str], order: list[Column], cap: int) -> DataFrame:

@@ -82,6 +82,15 @@ def test_tokens(spark):
     assert {r.t: " ".join(r.w) for r in df.select("t", tokens(F.col("t")).alias("w")).collect()} == cases
 
 
+def test_innermost_keeps_repeated_points(spark):
+    from arbora.operators import resolve
+
+    points = spark.createDataFrame([("f", 5), ("f", 5), ("f", 9), (None, 5)], "k string, x int")
+    spans = spark.createDataFrame([("f", 1, 10), ("f", 4, 6)], "k string, a int, b int")
+    got = resolve.innermost(points, spans, ["k"], at=F.col("x"), start="a", end="b", tie="a")
+    assert sorted(map(tuple, got.select("k", "x", "a").collect())) == [("f", 5, 4), ("f", 5, 4), ("f", 9, 1)]
+
+
 def test_cycles_are_told(spark):
     df = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("r", None, 1.0)], "node_id string, parent_id string, v double")
     with pytest.raises(ValueError, match="cycle"):
