@@ -122,6 +122,7 @@ def describe(spark: SparkSession, index: str, out: str, config: DescribeConfig |
     tree_rows = arch.directory_summary(nodes).withColumn("text", stats_text(files=F.col("files"), classes=F.col("classes"), functions=F.col("functions"))).orderBy("path").collect()
     clusters = role_clusters(inside).orderBy("role").collect()
     top = nodes.filter("kind = 'file'").select("path", ellipsis(F.col("summary"), 140).alias("summary")).orderBy("path").limit(200).collect()
+    unlisted = nodes.filter("kind = 'file'").count() - len(top)
     write_text(spark, f"{out}/structure.json", json.dumps([r.asDict() for r in tree_rows], ensure_ascii=False, indent=2))
     write_text(spark, f"{out}/diagrams/structure.mmd", mindmap(tree_rows) + "\n")
     pairs = [("roles", r["role"], c) for r in clusters for c in r["components"]]
@@ -132,7 +133,7 @@ def describe(spark: SparkSession, index: str, out: str, config: DescribeConfig |
     for title, focus, words in config.guides:
         write_text(spark, f"{out}/guides/{title.lower().replace(' ', '-')}.md", guide(title, focus, words, comps))
     lines = ["# Overview", "", *[f"- [{n}](components/{n}.md)" for n in names], "", "## Folders", "", *[f"- `{r['path']}`: {r['text']}" for r in tree_rows], "", "## Roles", "", *[f"- {r['role']}: {', '.join(r['components'])}" for r in clusters]]
-    lines += ["", "## Files", "", *[f"- `{r['path']}` {r['summary'] or ''}".rstrip() for r in top], "", "```mermaid", diagrams["system"], "```"]
+    lines += ["", "## Files", "", *[f"- `{r['path']}` {r['summary'] or ''}".rstrip() for r in top], *([f"- and {unlisted} more files"] if unlisted else []), "", "```mermaid", diagrams["system"], "```"]
     write_text(spark, f"{out}/index.md", "\n".join(lines) + "\n")
     counts = files.read("meta").first().asDict() | {"components": len(names)}
     write_text(spark, f"{out}/meta.json", json.dumps(counts, default=str))
