@@ -53,15 +53,15 @@ def role_clusters(nodes: DataFrame) -> DataFrame:
 
 def drafted(spark: SparkSession, name: str, labels: list[str], ends: list[tuple[str, str]], config: DescribeConfig, rendered: str) -> str:
     """A model's diagram that passes, after redrafts if need be; else the rendered one, or an error in mode ``model``."""
-    allowed, known = spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame(ends, "src string, dst string")
+    allowed = spark.createDataFrame([(x,) for x in labels], "label string")
     faults = None
     for _ in range(max(1, config.redrafts)):
         text = config.draft(name, labels, ends, faults)
-        told = mermaid.validate(spark.createDataFrame([(name, text)], "name string, text string"), allowed, known)
-        row = told.withColumn("passes", mermaid.passes(told, config.coverage)).first()
-        if row["passes"]:
+        one = spark.createDataFrame([(name, text)], "name string, text string")
+        told = mermaid.summary(one, allowed, config.coverage).first()
+        if told["passes"]:
             return text
-        faults = row.asDict()
+        faults = told.asDict() | mermaid.validate(one, allowed).first().asDict()
     if config.mode == "hybrid":
         return rendered
     raise RuntimeError(f"no draft of {name} passed: {faults}")

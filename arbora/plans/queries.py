@@ -479,16 +479,29 @@ def mermaid_render(spark, sf_dir):
     return mermaid.render(*tables.order_diagrams(spark, sf_dir))
 
 
-@query(f"WITH {ORDER_LABELS} SELECT name, src, dst FROM od")
+@query(f"WITH {tables.ORDER_TEXTS} SELECT name, src, dst, row_number() OVER (PARTITION BY name, src, dst) AS times FROM drawn")
 def mermaid_parse(spark, sf_dir):
-    """Edges by label of the rendered diagrams: what they were made from."""
-    each = mermaid.lines(mermaid.render(*tables.order_diagrams(spark, sf_dir)))
-    return mermaid.labelled_edges(mermaid.nodes(each), mermaid.edges(each)).select("name", "src", "dst")
+    """Edges by label of the diagrams' texts: what the orders they were made from say."""
+    each = mermaid.lines(tables.order_texts(spark, sf_dir))
+    return mermaid.labelled_edges(mermaid.nodes(each), mermaid.edges(each)).select("name", "src", "dst", F.col("times").cast("long").alias("times"))
 
 
-@query(f"""WITH {ORDER_LABELS}, n AS (SELECT count(DISTINCT label) AS n FROM labels_ WHERE label <> 'P'), l AS (SELECT name, count(*) FILTER (label <> 'P') AS covered, count(*) FILTER (label = 'P') AS unknown_nodes FROM labels_ GROUP BY name)
-SELECT name, true AS has_header, covered, unknown_nodes, count(*) FILTER (dst = 'P') AS unknown_edges, 0::BIGINT AS repeated_edges, round(covered / n, 6) AS coverage FROM od JOIN l USING (name), n GROUP BY name, covered, unknown_nodes, n""")
+def _allowed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").filter("o_orderpriority <> '5-LOW'").select(F.explode(F.array("o_orderpriority", "o_orderstatus")).alias("label"))
+
+
+@query(f"""WITH {tables.ORDER_TEXTS}, l AS (SELECT name, count(*) FILTER (label IN (FROM ok)) AS covered, count(*) FILTER (label NOT IN (FROM ok)) AS unknown_nodes FROM told GROUP BY name),
+e AS (SELECT name, count(*) FILTER (src NOT IN (FROM ok) OR dst NOT IN (FROM ok)) AS unknown_edges, count(*) - count(DISTINCT (src, dst)) AS repeated_edges FROM drawn GROUP BY name),
+v AS (SELECT name, errors, coalesce(covered, 0) AS covered, coalesce(unknown_nodes, 0) AS unknown_nodes, coalesce(unknown_edges, 0) AS unknown_edges, coalesce(repeated_edges, 0) AS repeated_edges FROM wrong LEFT JOIN l USING (name) LEFT JOIN e USING (name))
+SELECT *, errors = '' AND unknown_nodes = 0 AND unknown_edges = 0 AS valid FROM v""")
 def mermaid_validate(spark, sf_dir):
-    labels, ends = tables.order_diagrams(spark, sf_dir)
-    told = mermaid.validate(mermaid.render(labels, ends), labels.select("label").filter("label <> 'P'"), ends.select("src", "dst").filter("dst <> 'P'"))
-    return rounded(told, "coverage")
+    told = mermaid.validate(tables.order_texts(spark, sf_dir), _allowed_labels(spark, sf_dir))
+    return told.withColumn("errors", F.array_join("errors", ";"))
+
+
+@query(f"""WITH {tables.ORDER_TEXTS}, every AS (SELECT label FROM told UNION SELECT src FROM drawn UNION SELECT dst FROM drawn),
+one AS (SELECT (SELECT count(*) FROM ok) AS allowed, (SELECT count(*) FROM ok WHERE label IN (SELECT label FROM told)) AS covered, (SELECT count(*) FROM every WHERE label NOT IN (FROM ok)) AS unknown, (SELECT count(*) FROM wrong WHERE errors <> '') AS with_errors)
+SELECT *, round(covered / allowed, 6) AS coverage, covered / allowed >= 0.95 AND unknown = 0 AND with_errors = 0 AS passes FROM one""")
+def mermaid_summary(spark, sf_dir):
+    """All diagrams as one set."""
+    return rounded(mermaid.summary(tables.order_texts(spark, sf_dir), _allowed_labels(spark, sf_dir)), "coverage")

@@ -103,3 +103,28 @@ def order_diagrams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     o = read(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"), "o_orderpriority", "o_orderstatus").distinct()
     labels = o.select("name", F.col("o_orderpriority").alias("label")).unionByName(o.select("name", F.col("o_orderstatus").alias("label")))
     return labels, o.select("name", F.col("o_orderpriority").alias("src"), F.col("o_orderstatus").alias("dst"))
+
+
+def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, text): for each customer a diagram of all orders, with hyphens in ids, a subgraph, a comment, empty labels, several edges a line, chains and repeated edges.
+
+    One in five customers has no header, one in eleven no text.
+    """
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    pri, state = F.concat(F.lit("p-"), F.left("o_orderpriority", F.lit(1))), F.concat(F.lit("s-"), "o_orderstatus")
+    arrow = F.get(F.array(*map(F.lit, (" --> ", " -.-> ", " --|to|> "))), (F.col("o_orderkey") % 3).cast("int"))
+    tail = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("; "), state, F.lit(" --> z-"), (F.col("o_orderkey") % 3).cast("string"))).when(F.col("o_orderkey") % 4 == 1, " --> end").otherwise("")
+    shape = F.when(F.col("o_orderstatus") == "F", F.concat(state, F.lit("((F))"))).when(F.col("o_orderstatus") == "O", F.concat(state, F.lit("{ 'O' }"))).otherwise(F.concat(state, F.lit("[]")))
+    line = lambda k, key, x: F.struct(F.lit(k).alias("k"), key.alias("key"), F.concat(F.lit("  "), x).alias("line"))
+    three = F.array(line(1, F.lit(0).cast("long"), F.concat(pri, F.lit('["'), "o_orderpriority", F.lit('"]'))), line(2, F.lit(0).cast("long"), shape), line(3, F.col("o_orderkey"), F.concat(pri, arrow, state, tail)))
+    body = o.select("o_custkey", F.explode(three).alias("x")).distinct().groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("body"))
+    head = F.when(F.col("o_custkey") % 5 == 0, "%% no header\n").otherwise("graph LR\n")
+    text = F.when(F.col("o_custkey") % 11 == 0, "").otherwise(F.concat(head, F.lit("subgraph all-orders\n\n"), "body"))
+    return body.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"), text.alias("text"))
+
+
+ORDER_TEXTS = """met AS (SELECT 'c' || o_custkey AS name, o_custkey, o_orderkey, o_orderpriority AS pri, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE 's-' || o_orderstatus END AS state FROM orders WHERE o_custkey % 11 <> 0),
+drawn AS (SELECT name, pri AS src, state AS dst FROM met UNION ALL SELECT name, state, 'z-' || o_orderkey % 3 FROM met WHERE o_orderkey % 4 = 0),
+told AS (SELECT DISTINCT name, unnest([pri, state]) AS label FROM met),
+ok AS (SELECT DISTINCT unnest([o_orderpriority, o_orderstatus]) AS label FROM orders WHERE o_orderpriority <> '5-LOW'),
+wrong AS (SELECT 'c' || o_custkey AS name, CASE WHEN o_custkey % 11 = 0 THEN 'empty diagram' ELSE concat_ws(';', CASE WHEN o_custkey % 5 = 0 THEN 'missing header' END, CASE WHEN bool_or(o_orderstatus NOT IN ('F', 'O')) THEN 'missing label: s-P' END) END AS errors FROM orders GROUP BY o_custkey)"""

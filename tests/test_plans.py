@@ -67,13 +67,13 @@ def test_drafts(spark, index, tmp_path):
     def draft(name, labels, ends, faults):
         seen.append(faults)
         ids = "\n".join(f'{x}["{x}"]' for x in labels)
-        return "graph TD\n" + ids + ("\nusers --> orders" if not faults else "".join(f"\n{a} --> {b}" for a, b in ends))
+        return "graph TD\n" + ids + ("\nusers --> nowhere" if not faults else "".join(f"\n{a} --> {b}" for a, b in ends))
 
     describe.describe(spark, index, str(tmp_path / "a"), describe.DescribeConfig(draft=draft, mode="hybrid", guides=(("Order flow", ("orders",), ("routes",)),)))
     told = (tmp_path / "a/guides/order-flow.md").read_text()
     assert "Depends on: users." in told and "src/orders/cli.py" in told and "web_routes" in told
     assert (tmp_path / "a/diagrams/structure.mmd").read_text().startswith("mindmap") and "roles" not in (tmp_path / "a/diagrams/roles.mmd").read_text().splitlines()[0]
-    assert seen[0] is None and seen[1]["unknown_edges"] == 1 and len(seen) == 2
+    assert seen[0] is None and seen[1]["unknown_edges"] == 1 and seen[1]["unknown"] == 1 and len(seen) == 2
     with pytest.raises(RuntimeError):
         describe.describe(spark, index, str(tmp_path / "b"), describe.DescribeConfig(draft=lambda *a: "graph TD", mode="model"))
 
