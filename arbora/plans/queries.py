@@ -439,12 +439,37 @@ def component_dependencies(spark, sf_dir):
     return graph.component_edges(ends).groupBy("src").agg(F.count("*").alias("n_deps"), F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("deps"))
 
 
-@query(f"WITH {NODES}, {tables.CALL_EDGES}, {COMP}, {FLOWS} SELECT c.component, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind IN ('func', 'block')) AS functions, (SELECT count(*) FROM placed p WHERE p.component = c.component AND place <= 12) AS n_flows FROM comp c GROUP BY c.component")
+PATH_NAME = "lower(regexp_replace({0}, '[^A-Za-z0-9]+', '_', 'g'))"
+TAGS = {
+    "frontend": "regexp_matches(component, 'app|web|ui|vendor') OR regexp_matches(path, '[.][tj]sx$|components/')",
+    "backend": "regexp_matches(component, 'backend|api|server')",
+    "worker": "regexp_matches(component, 'worker|temporal') OR regexp_matches(path, '/worker|/workflow')",
+    "lambda": "contains(component, 'lambda')",
+    "infrastructure": "regexp_matches(component, 'infra|terraform') OR regexp_matches(path, 'infra|terraform')",
+    "tests": "regexp_matches(component, 'test|e2e|integration') OR regexp_matches(path, 'tests|spec')",
+    "api": "regexp_matches(path, 'routes|router|api/')",
+}
+
+
+@query(f"""WITH {NODES}, {tables.CALL_EDGES}, {tables.NATION_EDGES}, {COMP}, {FLOWS},
+tagged AS (SELECT component, unnest(list_filter([{", ".join(f"CASE WHEN {rule} THEN '{role}' END" for role, rule in TAGS.items())}], lambda x: x IS NOT NULL)) AS role FROM comp),
+rs AS (SELECT component, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM (SELECT * FROM tagged UNION ALL SELECT component, 'other' FROM comp WHERE component NOT IN (SELECT component FROM tagged)) GROUP BY component),
+best AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY loc DESC, list_last(string_split(path, '/'))) AS place FROM comp WHERE kind = 'file'),
+fs AS (SELECT component, string_agg(path || ' ' || loc, ',' ORDER BY place) AS important_files FROM best WHERE place <= 5 GROUP BY component),
+ds AS (SELECT {PATH_NAME.format('src')} AS component, array_to_string(list_sort(list(DISTINCT {PATH_NAME.format('dst')})), ',') AS deps FROM nedges WHERE src <> dst GROUP BY 1),
+fl AS (SELECT component, count(*) AS n_flows, string_agg(category || ' ' || path || ' ' || symbol || ' ' || coalesce(calls, ''), ';' ORDER BY place) AS flows FROM placed LEFT JOIN called ON src = node_id WHERE place <= 12 GROUP BY component),
+st AS (SELECT component, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'class') AS classes, count(*) FILTER (kind IN ('func', 'block')) AS functions, coalesce(sum(loc) FILTER (kind = 'file'), 0)::BIGINT AS loc FROM comp GROUP BY component)
+SELECT component, files, classes, functions, loc, roles, coalesce(important_files, '') AS important_files, coalesce(deps, '') AS deps, coalesce(n_flows, 0) AS n_flows, coalesce(flows, '') AS flows FROM st LEFT JOIN rs USING (component) LEFT JOIN fs USING (component) LEFT JOIN ds USING (component) LEFT JOIN fl USING (component)""")
 def component_records(spark, sf_dir):
     n = tables.code_nodes(spark, sf_dir)
-    ends = tables.nation_edges(spark, sf_dir)
-    r = arch.component_records(n, tables.call_edges(spark, sf_dir), ends)
-    return r.select("component", "files", "functions", F.coalesce(F.size("flows"), F.lit(0)).cast("long").alias("n_flows"))
+    path = lambda c: F.concat(F.lit("src/"), F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"))).alias(c)
+    r = arch.component_records(n, tables.call_edges(spark, sf_dir), tables.nation_edges(spark, sf_dir).select(path("src"), path("dst")))
+    joined = lambda c, mark, shown: F.coalesce(F.array_join(F.transform(c, shown), mark), F.lit("")).alias(c)
+    words = lambda *x: F.concat_ws(" ", *x)
+    return r.select(
+        "component", "files", "classes", "functions", "loc", joined("roles", ",", lambda x: x), joined("important_files", ",", lambda x: words(x["path"], x["loc"].cast("string"))), joined("deps", ",", lambda x: x),
+        F.coalesce(F.size("flows"), F.lit(0)).cast("long").alias("n_flows"), joined("flows", ";", lambda x: words(x["category"], x["entry_path"], x["entry_symbol"], F.array_join(x["calls"], ","))),
+    )
 
 
 @query("SELECT count(*) AS funcs_total, count(*) FILTER (l_discount > 0) AS funcs_with_params, sum(l_linenumber)::BIGINT AS callsites_total, count(*) FILTER (l_returnflag = 'R') AS cap_hits, round(count(*) FILTER (l_discount > 0) / count(*), 6) AS params_ratio, count(*) FILTER (l_discount > 0) / count(*) < 0.6 AS alert FROM lineitem")

@@ -47,12 +47,11 @@ CALL_EDGES = "edges AS (SELECT 'o' || l_orderkey AS src, 'o' || l_partkey AS dst
 
 
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): nations of suppliers and of the customers they deliver to, distinct, urgent orders alone."""
+    """(src, dst): nations of suppliers and of the customers they deliver to, distinct."""
     line, orders, supplier, customer, nation = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier", "customer", "nation"))
-    urgent = orders.filter("o_totalprice > 400000").select("o_orderkey", "o_custkey")
     pairs = (
         line.select("l_orderkey", "l_suppkey")
-        .join(urgent, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
         .select("s_nationkey", "c_nationkey")
@@ -63,7 +62,7 @@ def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NATION_EDGES = """nedges AS (SELECT DISTINCT a.n_name AS src, b.n_name AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN customer ON o_custkey = c_custkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey WHERE o_totalprice > 400000)"""
+  JOIN customer ON o_custkey = c_custkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey)"""
 
 HOST = r"^[a-z]+://([^/?#]+)"
 PATH = r"^[a-z]+://[^/?#]+/?([^?#]*)"
