@@ -11,6 +11,7 @@ from arbora.functions import paths, text
 from arbora.operators import arch, bm25, graph, mermaid, resolve, search, tree
 from arbora.plans import tables
 from arbora.plans.tables import read
+from arbora.sources import extract
 from arbora.sources.shared import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -472,11 +473,10 @@ def component_records(spark, sf_dir):
     )
 
 
-@query("SELECT count(*) AS funcs_total, count(*) FILTER (l_discount > 0) AS funcs_with_params, sum(l_linenumber)::BIGINT AS callsites_total, count(*) FILTER (l_returnflag = 'R') AS cap_hits, round(count(*) FILTER (l_discount > 0) / count(*), 6) AS params_ratio, count(*) FILTER (l_discount > 0) / count(*) < 0.6 AS alert FROM lineitem")
+@query("SELECT count(*) AS funcs_total, count(*) FILTER (l_discount > 0) AS funcs_with_params, sum(l_linenumber)::BIGINT AS callsites_total, count(*) FILTER (l_returnflag = 'R') AS cap_hits, round(count(*) FILTER (l_discount > 0) / count(*), 6) AS params_ratio, count(*) FILTER (l_discount > 0) / count(*) < 0.6 AS alert, count(*) > 100 AND sum(l_linenumber) = 0 AS alert_callsites FROM lineitem")
 def metrics_sum(spark, sf_dir):
     one = read(spark, sf_dir, "lineitem").agg(F.count("*").alias("funcs_total"), F.count_if(F.col("l_discount") > 0).alias("funcs_with_params"), F.sum("l_linenumber").alias("callsites_total"), F.count_if(F.col("l_returnflag") == "R").alias("cap_hits"))
-    ratio = F.col("funcs_with_params") / F.col("funcs_total")
-    return one.withColumns({"params_ratio": F.round(ratio, 6), "alert": ratio < 0.6})
+    return rounded(extract.alerts(one), "params_ratio")
 
 
 @query(f"WITH {NODES}, {tables.CALL_EDGES} SELECT count(*) AS nodes, (SELECT count(*) FROM edges) AS edges, count(*) FILTER (kind = 'pkg') AS packages, count(DISTINCT CASE WHEN path = '' THEN 'root' ELSE split_part(path, '/', 2) END) AS components FROM nodes")

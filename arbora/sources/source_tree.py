@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from arbora.functions.paths import excluded_folder, source_file
 from arbora.functions.text import stable_id
 
-SCHEMA = "path string, folder string, content binary"
+SCHEMA = "path string, folder string, content binary, error string"
 
 
 class _Files(InputPartition):
@@ -38,11 +38,13 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         for path in partition.paths:
+            content = error = None
             try:
                 with open(os.path.join(self.root, path), "rb") as f:
-                    yield path.replace(os.sep, "/"), os.path.dirname(path).replace(os.sep, "/"), f.read()
-            except OSError:
-                continue
+                    content = f.read()
+            except OSError as e:
+                error = e.strerror or type(e).__name__
+            yield path.replace(os.sep, "/"), os.path.dirname(path).replace(os.sep, "/"), content, error
 
 
 class SourceTree(DataSource):
@@ -59,11 +61,22 @@ class SourceTree(DataSource):
         return _Reader(self.options["path"], int(self.options.get("filesPerTask", 64)))
 
 
-def read_tree(spark: SparkSession, root: str, files_per_task: int = 64) -> DataFrame:
-    """(path, folder, text): files in UTF-8, line ends as ``\\n``; others are left out."""
+def _listed(spark: SparkSession, root: str, files_per_task: int) -> DataFrame:
     spark.dataSource.register(SourceTree)
     files = spark.read.format("source_tree").option("filesPerTask", files_per_task).load(root)
-    return files.filter(F.is_valid_utf8(F.col("content").cast("string"))).select("path", "folder", F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n").alias("text"))
+    fault = F.when(F.col("error").isNull() & ~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
+    return files.withColumn("error", F.coalesce("error", fault))
+
+
+def read_tree(spark: SparkSession, root: str, files_per_task: int = 64) -> DataFrame:
+    """(path, folder, text): files in UTF-8, line ends as ``\\n``; others are left out, and skipped() lists them."""
+    files = _listed(spark, root, files_per_task).filter("error is null")
+    return files.select("path", "folder", F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n").alias("text"))
+
+
+def skipped(spark: SparkSession, root: str, files_per_task: int = 64) -> DataFrame:
+    """(path, error): source files that can't be opened or aren't UTF-8."""
+    return _listed(spark, root, files_per_task).filter("error is not null").select("path", "error")
 
 
 def folder_nodes(files: DataFrame, root: str) -> DataFrame:
