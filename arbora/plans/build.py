@@ -58,7 +58,7 @@ def build(spark: SparkSession, root: str, out: str, config: BuildConfig | None =
     edges = target.write("edges", found["edges"])
     target.write("callsites", found["callsites"])
     target.write("stats", found["stats"])
-    target.write("errors", found["errors"])
+    target.write("errors", found["errors"].unionByName(source_tree.skipped(spark, root)))
     inside = nodes.filter("kind not in ('repo', 'pkg')")
     texts = target.write("texts", inside.select("node_id", node_text(F.col("path"), F.col("symbol"), F.col("signature"), F.col("summary")).alias("text")))
     bm25.Index.build(texts, "node_id", F.col("text"), f"{out}/bm25", vocabulary=config.vocabulary)

@@ -21,6 +21,8 @@ def index(spark, tmp_path_factory):
     for path, body in FILES.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text(body)
+    (root / "src/users/old.py").write_bytes(b"# \xe9")
+    (root / "src/users/torn.py").write_text("def (")
     assert cli.main(["build", str(root), "--out", str(out), "--summarizer", "first-words"], spark) == 0
     return str(out)
 
@@ -34,6 +36,7 @@ def test_build(spark, index):
     assert file.parent_id == pkg.node_id and pkg.parent_id == repo.node_id and repo.parent_id is None
     assert file.summary == "Keeps users." and rows["file", "src/orders/__init__.py", "__init__.py"].loc == 0
     assert IndexFiles(spark, index).read("meta").first().files == 4
+    assert {r.path: r.error == "not UTF-8" for r in IndexFiles(spark, index).read("errors").collect()} == {"src/users/old.py": True, "src/users/torn.py": False}
     ords = [r.ord for r in rows.values() if r.kind not in ("pkg", "repo")]
     assert len(set(ords)) == len(ords)
 
