@@ -14,6 +14,16 @@ gone AS (SELECT rid, list(DISTINCT k) AS ks FROM (SELECT rid, unnest(range(p, p
 kept AS (SELECT w.rid, array_to_string(list(word ORDER BY k), ' ') AS body FROM (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM w) w LEFT JOIN gone USING (rid) WHERE ks IS NULL OR NOT list_contains(ks, k) GROUP BY w.rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM w LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)"""
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ts FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS ts FROM benchmark),
+c AS (SELECT count(*)::BIGINT AS docs, sum(len(ts))::BIGINT AS total FROM d WHERE len(ts) > 0),
+q AS (SELECT iid, item_id, term, count(*)::BIGINT AS k FROM (SELECT iid, item_id, unnest(ts) AS term FROM i) GROUP BY ALL),
+p AS (SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term),
+s AS (SELECT iid, item_id, rid, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score FROM p JOIN w USING (term) JOIN q USING (term), c GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20"""
+
 _FIRST = "CASE " + " ".join(f"WHEN {scale} * {what} > {c} * n_words THEN {i}" for i, (what, scale, c) in enumerate(quality_rules.STEPS)) + f" ELSE {len(quality_rules.STEPS)} END"
 OP4 = rf"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
 grams AS (SELECT rid, p, array_to_string(ws[p:p + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS p FROM w WHERE len(ws) >= 5)),

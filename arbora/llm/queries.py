@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_ivfpq, bpe_tree, chat_hmm, compaction, oracles, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from . import ann_ivfpq, best_position, bpe_tree, chat_hmm, compaction, oracles, packing, prefix_hash, quality_rules, secret_scan, simhash, substring_dedup, turn_repair, url_filter
 from .common import new_path, table, words
 
 #: The rules of op8, (host, path, verdict).
@@ -106,5 +106,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_tree, op3_compaction, op4_quality_rules, op5_transcript_hmm, op6_ivf_pq, op7_substring_dedup, op8_url_filter, op9_best_fit, op10_simhash)}
-SQL: dict[str, str] = {"op1_secret_scan": oracles.op1(), "op4_quality_rules": oracles.OP4, "op7_substring_dedup": oracles.OP7, "op8_url_filter": oracles.op8(URL_RULES, THIN_PAGE_CHARS)}
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turn_repair.damage(table(spark, sf_dir, "conversations"))
+    return turn_repair.repair(turns, F.col("copies"))
+
+
+def op12_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_position.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+def op13_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.chain(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_tree, op3_compaction, op4_quality_rules, op5_transcript_hmm, op6_ivf_pq, op7_substring_dedup, op8_url_filter, op9_best_fit, op10_simhash, op11_turn_repair, op12_best_position, op13_prefix_hash)}
+SQL: dict[str, str] = {"op1_secret_scan": oracles.op1(), "op4_quality_rules": oracles.OP4, "op7_substring_dedup": oracles.OP7, "op8_url_filter": oracles.op8(URL_RULES, THIN_PAGE_CHARS), "op12_best_position": oracles.OP12}
