@@ -29,8 +29,9 @@ allows are candidates, and each candidate pair of sets is verified by its
 similarity, if all their bits allow it. Up to CROWD nodes under a variant are
 compared each with each. More are a crowd, whose members near its head, a node next
 to their bits' majority, are compared with that alone; those that aren't make crowds
-of their own. Where a crowd's members end in another component than its head, they
-are then compared with all members of the crowds of the head's component.
+of their own. Members of crowds that end in different components are then joined by
+their rare shingles, of which any two similar sets share one (see ``_sharing``), so
+that texts over one boilerplate don't meet each other by that.
 
 Defined results: a null or empty text, or one of blanks, has fingerprint 0 and
 links like any other, and such texts are copies of each other by similarity; a
@@ -237,6 +238,8 @@ SPREAD = 2.6
 SIZE_STEP = 1.1
 #: Nodes under a variant that are compared each with each.
 CROWD = 4
+#: Numbers of the table by which shingles of crowds are put in order.
+BUCKETS = 1 << 18
 SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64)
 
 
@@ -310,11 +313,6 @@ def _close(a: np.ndarray, b: np.ndarray, classes: int) -> np.ndarray:
     return (np.bitwise_count((a ^ b) >> np.uint64(16)) <= CHECK_RADIUS) & (np.abs(size(a) - size(b)) <= classes)
 
 
-def _close_sql(a: str, b: str, classes: int) -> str:
-    size = lambda x: f"(shiftrightunsigned({x}, 8) & 255)"
-    return f"bit_count(shiftrightunsigned({a} ^ {b}, 16)) <= {CHECK_RADIUS} and abs({size(a)} - {size(b)}) <= {classes}"
-
-
 def _alike_sql(a: str, b: str, a_keys: str, b_keys: str, bits: int, similar: float) -> str:
     """Whether all bits that two sets have allow the similarity: SPREAD standard deviations more may differ than do on average there."""
     keys, p = keys_for(bits, similar), _flips(similar)
@@ -333,7 +331,7 @@ def _head(nodes: np.ndarray) -> np.uint64:
 
 
 def _candidates(key: np.ndarray, node: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, kind): pairs of nodes to verify (0), members of crowds near their head b (1), and members far from it (2). Rows come sorted by key, whole keys only."""
+    """(a, b, kind): pairs of nodes to verify (0), members of crowds near a head b (1), and all members of crowds (2, a = b). Rows come sorted by key, whole keys only."""
     none = (node[:0], node[:0])
     kinds: tuple[list, list, list] = [none], [none], [none]
     begins = np.flatnonzero(np.insert(key[1:] != key[:-1], 0, True))
@@ -345,13 +343,12 @@ def _candidates(key: np.ndarray, node: np.ndarray, classes: int) -> tuple[np.nda
         near = _close(a, b, classes)
         kinds[0].append((np.minimum(a, b)[near], np.maximum(a, b)[near]))
     for k in np.flatnonzero(sizes > CROWD):
-        crowd = rest = np.unique(node[begins[k] : begins[k] + sizes[k]])
+        rest = np.unique(node[begins[k] : begins[k] + sizes[k]])
+        kinds[2].append((rest, rest))
         while len(rest) > CROWD:
             head = _head(rest)
             near = _close(rest, head, classes)
             kinds[1].append((rest[near], np.full(near.sum(), head)))
-            if rest is crowd:
-                kinds[2].append((rest[~near], np.full((~near).sum(), head)))
             rest = rest[~near]
         for i in range(1, len(rest)):
             near = rest[:i][_close(rest[:i], rest[i], classes)]
@@ -391,15 +388,69 @@ def _shingles(docs: DataFrame, sets: DataFrame, wanted: DataFrame, doc_id: str,
     return materialize(texts.mapInArrow(run, "set_key long, shingles array<long>"), "shingles")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, text: str, width: int, similar: float) -> DataFrame:
+def _verified(pairs: DataFrame, shingles: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b) of sets that are similar."""
-    wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-    shingles = _shingles(docs, sets, wanted, doc_id, text, width)
     left, right = (shingles.select(F.col("set_key").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
     return materialize(both.filter(F.col("c") >= similar * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b"), "similar")
 
 
+def _counted(shingles: DataFrame) -> np.ndarray:
+    """How many of the sets' shingles fall in each of BUCKETS buckets."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            total += np.bincount(_bucket(b.column("shingles").flatten().to_numpy()), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["b", "n"])
+
+    told = shingles.select("shingles").mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BUCKETS, np.int64)
+    out[told["b"].to_numpy(np.int64)] = told["n"].to_numpy(np.int64)
+    return out
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def _sharing(shingles: DataFrame, placed: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of sets of different roots that may be similar, none of the similar ones left out.
+
+    Every set's shingles are put into one order, rare ones first. Of two sets with
+    the similarity, the smaller one's first n - ceil(2 s n / (1 + s)) + 1 shingles
+    and the larger one's first n - ceil(s n) + 1 share one, so sets meet under these
+    alone; where they first do, enough shingles must be left in both. Boilerplate
+    stands last in the order, so that texts over it don't meet by it. Under a
+    shingle, sets of its most frequent root meet those of other roots alone.
+    """
+    spark = shingles.sparkSession
+    counts = spark.sparkContext.broadcast(_counted(shingles))  # BUCKETS numbers; any order is right, this one is short
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = []
+            for key, root, own in zip(*(b.column(c).to_pylist() for c in ("set_key", "root")), b.column("shingles"), strict=True):
+                own = own.values.to_numpy()
+                n = len(own)
+                probe, index = (n - math.ceil(x * n - 1e-9) + 1 for x in (similar, 2 * similar / (1 + similar)))
+                order = np.lexsort((own, counts.value[_bucket(own)]))[:probe] if n else np.zeros(0, np.int64)
+                at = np.arange(len(order))
+                each.append((np.full(len(order), key), np.full(len(order), root), np.full(len(order), n), own[order], at, at < index))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*each, strict=True)] if each else [pa.array([], t) for t in (*(pa.int64(),) * 5, pa.bool_())], ["set_key", "root", "size", "shingle", "at", "index"])
+
+    rows = materialize(shingles.join(placed, "set_key").select("set_key", "root", "shingles").mapInArrow(run, "set_key long, root long, size long, shingle long, at long, index boolean"), "prefixes")
+    most = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.bool_or("index").alias("index")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.bool_or("index").alias("any"))
+    rows = materialize(rows.join(most.filter("roots > 1 and any").drop("roots", "any"), "shingle"), "prefixes")
+    side = lambda x: [F.col("shingle"), *[F.col(c).alias(f"{x}_{c}") for c in ("set_key", "root", "size", "at", "index")]]
+    both = rows.filter("root <> main").select(*side("l")).join(rows.select(*side("r"), "main"), "shingle")
+    need, left = f"{similar / (1 + similar)} * (l_size + r_size) - 1e-9", "least(l_size - l_at, r_size - r_at)"
+    smaller = "(l_size < r_size or (l_size = r_size and l_set_key < r_set_key))"
+    met = both.filter(f"l_root <> r_root and (r_root = main or l_set_key < r_set_key) and if({smaller}, l_index, r_index) and least(l_size, r_size) >= {similar} * greatest(l_size, r_size) - 1e-9 and {left} >= {need}")
+    return met.select(F.least("l_set_key", "r_set_key").alias("a"), F.greatest("l_set_key", "r_set_key").alias("b")).distinct()
+
+
 def similar_sets(docs: DataFrame, prints: DataFrame, bits: int, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
     """(set_key, root) of the sets that have a link to another: those of set_prints()."""
     one = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("k"))).alias("one")
@@ -415,30 +466,24 @@ def similar_sets(docs: DataFrame, prints: DataFrame, bits: int, *, doc_id: str =
         both = pairs.join(name("a"), "a").join(name("b"), "b").filter(_alike_sql("a", "b", "a_keys", "b_keys", bits, similar))
         return both.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
 
-    plain = meetings.filter("kind < 2 and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crowded = materialize(meetings.filter("kind = 2").select(F.col("a").alias("node")).distinct(), "crowded")
+    # pairs of two members of crowds are found by their shingles, if not through a head
+    member = lambda x: crowded.select(F.col("node").alias(x), F.lit(True).alias(f"{x}_in"))
+    single = meetings.filter("kind = 0").join(member("a"), "a", "left").join(member("b"), "b", "left").filter("a_in is null or b_in is null").select("a", "b")
+    plain = meetings.filter("kind = 1 and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(single).distinct()
     pairs = materialize(named(plain).unionByName(same), "candidates")
-    linked = _verified(pairs, docs, sets, doc_id, text, width, similar)
+    wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+    linked = _verified(pairs, _shingles(docs, sets, wanted, doc_id, text, width), similar)
     roots = materialize(components(linked), "set-roots").withColumnRenamed("node", "set_key")
-    crowds = meetings.filter("kind > 0")
-    if crowds.isEmpty():
+    if crowded.isEmpty():
         return roots
-    placed = names.join(roots, "set_key", "left").select("node", "set_key", "keys", F.coalesce("root", "set_key").alias("root"))
-    heads = materialize(placed.join(crowds.select(F.col("b").alias("node")).distinct(), "node").groupBy(F.col("node").alias("head")).agg(F.min("root").alias("main")), "heads")
-    within = crowds.select(F.col("a").alias("node"), F.col("b").alias("head"))
-    # a head that is in a larger component's crowds too counts with that, so that few pairs meet twice
-    told = materialize(within.join(heads, "head").select("main", "node").distinct(), "crowds")
-    sizes = materialize(told.groupBy("main").agg(F.count("*").alias("n")), "crowd-sizes")
-    larger = told.join(heads.select(F.col("head").alias("node")), "node").join(sizes, "main").groupBy(F.col("node").alias("head")).agg(F.max_by("main", F.struct("n", "main")).alias("main"))
-    members = within.join(materialize(larger, "heads"), "head").select("main", "node").distinct()
-    members = materialize(members.join(placed, "node"), "crowds")
-    out = members.filter("root <> main").select("main", *[F.col(x).alias(f"x_{x}") for x in ("node", "set_key", "keys", "root")])
-    members = members.withColumnsRenamed({x: f"y_{x}" for x in ("node", "set_key", "keys", "root")})
-    apart = out.join(members, "main").filter(f"x_root <> y_root and (y_root = main or x_set_key < y_set_key) and {_close_sql('x_node', 'y_node', _classes(similar))} and {_alike_sql('x_node', 'y_node', 'x_keys', 'y_keys', bits, similar)}")
-    more = apart.select(F.least("x_set_key", "y_set_key").alias("a"), F.greatest("x_set_key", "y_set_key").alias("b")).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "candidates")
+    placed = names.join(crowded, "node").join(roots, "set_key", "left").select("set_key", F.coalesce("root", "set_key").alias("root"))
+    placed = materialize(placed, "crowds")
+    shingles = _shingles(docs, sets, placed.select("set_key"), doc_id, text, width)
+    more = materialize(_sharing(shingles, placed, similar).join(pairs, ["a", "b"], "left_anti"), "candidates")
     if more.isEmpty():
         return roots
-    return materialize(components(linked.unionByName(_verified(more, docs, sets, doc_id, text, width, similar))), "set-roots").withColumnRenamed("node", "set_key")
+    return materialize(components(linked.unionByName(_verified(more, shingles, similar))), "set-roots").withColumnRenamed("node", "set_key")
 
 
 def keep_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:

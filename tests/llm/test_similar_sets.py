@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 import corpus_pipeline
 from arbora.llm import simhash
 
@@ -62,8 +64,9 @@ def test_stage_takes_edited_copies(spark, make_docs):
     assert {r.doc_id for r in kept.collect()} == want
 
 
-def test_stage_against_all_pairs(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+@pytest.mark.parametrize("folder", [SMALL, SMALL.replace("0.001", "0.01")])
+def test_stage_against_all_pairs(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
     want = expect([(r.doc_id, r.text) for r in docs.collect()])
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect()} == want
 
@@ -79,3 +82,28 @@ def test_dense_group_and_odd_rows(spark, make_docs):
     ids = [None, None, *range(2, len(texts))]
     assert sorted(r.doc_id for r in simhash.keep_similar(make_docs(texts, ids)).collect()) == [2, 60, 63, 65, 66]
     assert simhash.keep_similar(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("own", [30, 60])
+def test_texts_over_one_boilerplate_make_candidates_in_proportion(spark, make_docs, monkeypatch, own):
+    """Texts that share most words, too few to be alike, and some pairs among them that are."""
+    made, real = {}, simhash.materialize
+
+    def counted(df, label):
+        out = real(df, label)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    counts = []
+    for n in (500, 1000, 2000):
+        rng = random.Random(n)
+        shared = [f"b{k}" for k in range(170)]
+        texts = [shared[:85] + [f"o{rng.random()}" for _ in range(own)] + shared[85:] for _ in range(n)]
+        texts += [edited(rng, t, 0.9) for t in texts[::10]]
+        texts = [" ".join(t) for t in texts]
+        made.clear()
+        kept = {r.doc_id for r in simhash.keep_similar(make_docs(texts)).collect()}
+        assert kept == set(range(n))
+        counts.append(made["candidates"])
+    assert counts[2] < 2.5 * counts[1] < 6.25 * counts[0], counts
