@@ -26,10 +26,10 @@ of pairs at 0.8 without a meeting. A node that is shuffled with a variant holds
 48-bit fingerprint of its own, the set's size class and 8 bits of its hash: of
 nodes that meet, only those within CHECK_RADIUS and of sizes that the similarity
 allows are candidates, and each candidate pair of sets is verified by its
-similarity, if all their bits allow it. Up to CROWD nodes under a variant are
-compared each with each. More are a crowd, whose members near its head, a node next
-to their bits' majority, are compared with that alone; those that aren't make crowds
-of their own. Members of crowds that end in different components are then joined by
+similarity, if all their bits allow it. A node with
+up to CROWD near ones under a variant is compared with each. Those with more are a
+crowd, whose members near its head, a node next to their bits' majority, are compared
+with that alone; those that aren't make crowds of their own. Members of crowds that end in different components are then joined by
 their rare shingles, of which any two similar sets share one (see ``_sharing``), so
 that texts over one boilerplate don't meet each other by that.
 
@@ -236,10 +236,12 @@ CHECK_BITS, CHECK_RADIUS = 48, 15
 SPREAD = 2.6
 #: A size class is a tenth larger than the one before.
 SIZE_STEP = 1.1
-#: Nodes under a variant that are compared each with each.
-CROWD = 4
-#: Numbers of the table by which shingles of crowds are put in order.
-BUCKETS = 1 << 18
+#: Near nodes under a variant that a node is compared with, and nodes whose nearness is looked up each with each.
+CROWD, LISTED = 4, 64
+#: Heads that a member of crowds is compared with.
+HEADS = 16
+#: Numbers of the table by which shingles of crowds are put in order, and sets that are handled at once.
+BUCKETS, AT_ONCE = 1 << 14, 256
 SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64)
 
 
@@ -344,15 +346,18 @@ def _candidates(key: np.ndarray, node: np.ndarray, classes: int) -> tuple[np.nda
         kinds[0].append((np.minimum(a, b)[near], np.maximum(a, b)[near]))
     for k in np.flatnonzero(sizes > CROWD):
         rest = np.unique(node[begins[k] : begins[k] + sizes[k]])
+        if len(rest) <= LISTED:  # only nodes with many near ones are a crowd
+            near = _close(rest[:, None], rest, classes)
+            many = near.sum(axis=0) > CROWD + 1
+            i, j = np.nonzero(np.triu(near & ~(many[:, None] & many), 1))
+            kinds[0].append((rest[i], rest[j]))
+            rest = rest[many]
         kinds[2].append((rest, rest))
         while len(rest) > CROWD:
             head = _head(rest)
             near = _close(rest, head, classes)
             kinds[1].append((rest[near], np.full(near.sum(), head)))
             rest = rest[~near]
-        for i in range(1, len(rest)):
-            near = rest[:i][_close(rest[:i], rest[i], classes)]
-            kinds[0].append((near, np.full(len(near), rest[i])))
     each = [np.unique(np.stack([np.concatenate(x) for x in zip(*pairs, strict=True)]), axis=1) for pairs in kinds]
     a, b = np.concatenate(each, axis=1)
     return a, b, np.repeat(np.arange(3, dtype=np.int8), [x.shape[1] for x in each])
@@ -401,7 +406,8 @@ def _counted(shingles: DataFrame) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            total += np.bincount(_bucket(b.column("shingles").flatten().to_numpy()), minlength=BUCKETS)
+            for k in range(0, b.num_rows, AT_ONCE):
+                total += np.bincount(_bucket(b.column("shingles").slice(k, AT_ONCE).flatten().to_numpy()), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["b", "n"])
 
@@ -429,7 +435,7 @@ def _sharing(shingles: DataFrame, placed: DataFrame, similar: float) -> DataFram
     counts = spark.sparkContext.broadcast(_counted(shingles))  # BUCKETS numbers; any order is right, this one is short
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part.slice(k, AT_ONCE) for part in batches for k in range(0, part.num_rows, AT_ONCE)):
             each = []
             for key, root, own in zip(*(b.column(c).to_pylist() for c in ("set_key", "root")), b.column("shingles"), strict=True):
                 own = own.values.to_numpy()
@@ -438,7 +444,7 @@ def _sharing(shingles: DataFrame, placed: DataFrame, similar: float) -> DataFram
                 order = np.lexsort((own, counts.value[_bucket(own)]))[:probe] if n else np.zeros(0, np.int64)
                 at = np.arange(len(order))
                 each.append((np.full(len(order), key), np.full(len(order), root), np.full(len(order), n), own[order], at, at < index))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*each, strict=True)] if each else [pa.array([], t) for t in (*(pa.int64(),) * 5, pa.bool_())], ["set_key", "root", "size", "shingle", "at", "index"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*each, strict=True)], ["set_key", "root", "size", "shingle", "at", "index"])
 
     rows = materialize(shingles.join(placed, "set_key").select("set_key", "root", "shingles").mapInArrow(run, "set_key long, root long, size long, shingle long, at long, index boolean"), "prefixes")
     most = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.bool_or("index").alias("index")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.bool_or("index").alias("any"))
@@ -470,7 +476,10 @@ def similar_sets(docs: DataFrame, prints: DataFrame, bits: int, *, doc_id: str =
     # pairs of two members of crowds are found by their shingles, if not through a head
     member = lambda x: crowded.select(F.col("node").alias(x), F.lit(True).alias(f"{x}_in"))
     single = meetings.filter("kind = 0").join(member("a"), "a", "left").join(member("b"), "b", "left").filter("a_in is null or b_in is null").select("a", "b")
-    plain = meetings.filter("kind = 1 and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(single).distinct()
+    far = F.expr("bit_count(shiftrightunsigned(a ^ b, 16))").alias("far")
+    chosen = F.slice(F.array_sort(F.collect_set(F.struct(far, "b"))), 1, HEADS)  # the nearest
+    led = meetings.filter("kind = 1 and a <> b").groupBy("a").agg(chosen.alias("b")).select("a", F.explode("b.b").alias("b"))
+    plain = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(single).distinct()
     pairs = materialize(named(plain).unionByName(same), "candidates")
     wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
     linked = _verified(pairs, _shingles(docs, sets, wanted, doc_id, text, width), similar)
