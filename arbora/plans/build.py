@@ -44,7 +44,8 @@ def summarized(nodes: DataFrame, files: DataFrame, config: BuildConfig) -> DataF
 def build(spark: SparkSession, root: str, out: str, config: BuildConfig | None = None) -> DataFrame:
     """Builds the index of the tree at ``root`` in the folder ``out``; gives its meta row."""
     config, target = config or BuildConfig(), IndexFiles(spark, out)
-    files = target.write("files", source_tree.read_tree(spark, root))
+    read = source_tree.contents(spark, root)
+    files = target.write("files", source_tree.texts(read))
     found = extract.index(files, cap=config.callsites)
     folders = source_tree.folder_nodes(files, root).withColumnRenamed("path", "_path")
     owner = folders.filter("kind = 'pkg'").select(F.col("node_id").alias("_pkg"), "_path")
@@ -58,7 +59,7 @@ def build(spark: SparkSession, root: str, out: str, config: BuildConfig | None =
     edges = target.write("edges", found["edges"])
     target.write("callsites", found["callsites"])
     target.write("stats", found["stats"])
-    target.write("errors", found["errors"].unionByName(source_tree.skipped(spark, root)))
+    target.write("errors", found["errors"].unionByName(source_tree.faults(read)))
     inside = nodes.filter("kind not in ('repo', 'pkg')")
     texts = target.write("texts", inside.select("node_id", node_text(F.col("path"), F.col("symbol"), F.col("signature"), F.col("summary")).alias("text")))
     bm25.Index.build(texts, "node_id", F.col("text"), f"{out}/bm25", vocabulary=config.vocabulary)

@@ -20,10 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, removed when the session's process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again, which cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, df.sparkSession, path)
+    path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
