@@ -1,41 +1,134 @@
 """Model-assisted steps behind plain callables, with deterministic defaults.
 
-A model is any function of text; it runs in tasks on batches of rows, and where
-it fails the result is null.
+A model is any function; it runs in tasks on batches of rows, and where it fails
+for good the result is null. Finished answers are kept in a store, so that calls
+that cost time or money aren't made twice.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import random
+import threading
+import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from typing import Any, NamedTuple
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 
 Summarize = Callable[[str], str | None]
 MOST_CHARS, AT_ONCE = 4000, 10
 
 
+_turn = threading.Lock()
+
+
+class Told(NamedTuple):
+    value: Any
+    error: str | None
+
+
+@dataclass
+class Answers:
+    """Durable answers by the hash of what was asked, one small file each, in a folder that all tasks reach.
+
+    A file is written beside its place and moved there, so that it is whole or
+    absent: a task that is run again, a second build or another task finds every
+    finished call. Calls that fail are tried again, waiting twice as long each time
+    with some chance; a call that failed for good leaves no file. ``gap``: the
+    least seconds between two calls of one task, its share of a rate for all.
+    """
+
+    path: str
+    tries: int = 3
+    wait: float = 0.5
+    gap: float = 0.0
+
+    def __post_init__(self) -> None:
+        self._at = 0.0
+
+    def _place(self, key: Any) -> tuple[fs.FileSystem, str]:
+        name = hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()
+        where, base = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        return where, f"{base}/{name[:2]}/{name}.json"
+
+    def ask(self, key: Any, call: Callable[[], Any]) -> Told:
+        """The stored answer to ``key``, or the call's, which is stored; it must be what JSON can hold."""
+        where, place = self._place(key)
+        if where.get_file_info(place).type == fs.FileType.File:
+            with where.open_input_stream(place) as f:
+                return Told(json.loads(f.read()), None)
+        error = ""
+        for k in range(max(1, self.tries)):
+            if k:
+                time.sleep(self.wait * 2 ** (k - 1) * (1 + random.random()))
+            self._pace()
+            try:
+                value = call()
+            except Exception as e:  # a failed call is told, not raised  # noqa: BLE001
+                error = str(e) or type(e).__name__
+                continue
+            folder = place.rsplit("/", 1)[0]
+            where.create_dir(folder, recursive=True)
+            draft = f"{folder}/.{uuid.uuid4().hex}"
+            with where.open_output_stream(draft) as f:
+                f.write(json.dumps(value).encode())
+            where.move(draft, place)
+            return Told(value, None)
+        return Told(None, error)
+
+    def _pace(self) -> None:
+        if self.gap:
+            with _turn:
+                self._at = max(time.monotonic(), self._at + self.gap)
+                wait = self._at - time.monotonic()
+            time.sleep(max(0.0, wait))
+
+
+def share(per_second: float | None, rows: DataFrame) -> float:
+    """Seconds between two calls of a task, where all tasks that run at once keep to a rate."""
+    return rows.sparkSession.sparkContext.defaultParallelism / per_second if per_second else 0.0
+
+
 def first_words(text: str) -> str | None:
     """The summary without a model: the first line with letters, at most 20 words."""
     line = next((x.strip(" #/*\"'") for x in text.splitlines() if any(c.isalpha() for c in x)), "")
     return " ".join(line.split()[:20]) or None
 
 
-def summarize(rows: DataFrame, text: str, model: Summarize = first_words, *, into: str = "summary", at_once: int = AT_ONCE) -> DataFrame:
-    """``rows`` with the column ``into`` from the model; a task has ``at_once`` calls under way, in the rows' order."""
+def summarize(rows: DataFrame, text: str, model: Summarize = first_words, *, into: str = "summary", at_once: int = AT_ONCE, store: str | None = None, tries: int = 3, wait: float = 0.5, per_second: float | None = None) -> DataFrame:
+    """``rows`` with the column ``into`` from the model; a task has ``at_once`` calls under way, in the rows' order.
+
+    With a ``store``, a folder that all tasks reach, equal texts are asked once, by
+    the model's name and the text that it sees, and failed calls are tried again.
+    """
     names = [c for c in rows.columns if c != into]
     schema = rows.select(*names).schema.add(into, "string")
+    who = getattr(model, "__qualname__", type(model).__name__)
+    kept = Answers(store, tries, wait, share(per_second, rows)) if store else None
 
     def ask(body: str | None) -> str | None:
+        if body is None:
+            return None
+        body = body[:MOST_CHARS]
+        if kept:
+            return kept.ask(["summary", who, body], lambda: model(body)).value
         try:
-            return None if body is None else model(body[:MOST_CHARS])
+            return model(body)
         except Exception:  # a failed call leaves no summary  # noqa: BLE001
             return None
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(at_once) as pool:
             for batch in batches:
-                yield batch.assign(**{into: list(pool.map(ask, batch[text]))})
+                told = {body: pool.submit(ask, body) for body in dict.fromkeys(batch[text])}  # equal texts of a batch are asked once
+                yield batch.assign(**{into: [told[body].result() for body in batch[text]]})
 
-    return rows.select(*names).mapInPandas(run, schema)
+    wanted = rows.select(*names)
+    return (wanted.repartition(text) if store else wanted).mapInPandas(run, schema)  # equal texts in one task

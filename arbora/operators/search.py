@@ -2,23 +2,25 @@
 
 In a tree each node is pushed once, by its parent, so a budget that covers all
 nodes reachable through beams makes the visiting order immaterial to the answer;
-then the search is a join of levels. Where the budget binds, order matters, and
-the reachable nodes of each query, at most ``beam`` to the power of the depth,
-are searched as one group.
+then the search is a join of levels. Where the budget binds, order matters: then
+each query is a row that holds its heap, and rounds fetch what heaps need next.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.functions import models
 from arbora.operators import tree
-from arbora.sources.shared import materialize
+from arbora.sources.shared import materialize, new_path
 
 TOP, BUDGET, BEAM, WORD_BONUS = 10, 120, 10, 0.1
 LEAVES = ("func", "block", "const")
@@ -62,6 +64,29 @@ def hybrid(local: Column, aggregate: Column) -> Column:
     return 2 * local + aggregate
 
 
+class _Scores:
+    """A tree's children, and the scores of those that searches for queries (query, text) look at."""
+
+    def __init__(self, nodes: DataFrame, hits: DataFrame, beam: int, most: int) -> None:
+        self.totals = materialize(subtree_scores(nodes, hits, most=most), "subtree-scores")
+        each = nodes.select("node_id", "parent_id", "ord", "kind", "path", "symbol")
+        self.kids = materialize(each.filter(F.col("parent_id").isNotNull()), "children")
+        self.root = each.filter(F.col("parent_id").isNull()).orderBy("ord", "node_id").limit(1)  # one row
+        self.beam = beam
+
+    def first(self, queries: DataFrame) -> DataFrame:
+        return self.best(queries.select("query", "text").crossJoin(F.broadcast(self.root)))
+
+    def below(self, parents: DataFrame) -> DataFrame:
+        """The best children of parents (query, text, parent_id)."""
+        return self.best(parents.join(self.kids, "parent_id"))
+
+    def best(self, rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query", "parent_id").orderBy(F.desc(F.round("aggregate_score", 9)), "ord")
+        told = rows.join(self.totals, ["query", "node_id"], "left").withColumn("aggregate_score", node_score(F.col("below"), F.col("text"), F.col("symbol"), F.col("path")))
+        return told.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= self.beam)
+
+
 def beam_reach(nodes: DataFrame, hits: DataFrame, queries: DataFrame, beam: int = BEAM, *, most: int = tree.MOST_LEVELS) -> DataFrame:
     """What beams reach from the first root for queries (query, text): (query, node_id, parent_id, kind, rank, step, local_score, aggregate_score).
 
@@ -69,22 +94,16 @@ def beam_reach(nodes: DataFrame, hits: DataFrame, queries: DataFrame, beam: int
     parent's ``beam`` best stay, ties by ``ord``. Only children of kept nodes meet
     the queries.
     """
-    totals = materialize(subtree_scores(nodes, hits, most=most), "subtree-scores")
-    each = nodes.select("node_id", "parent_id", "ord", "kind", "path", "symbol")
-    kids = materialize(each.filter(F.col("parent_id").isNotNull()), "children")
-    root = each.filter(F.col("parent_id").isNull()).orderBy("ord", "node_id").limit(1)  # one row
-    order = Window.partitionBy("query", "parent_id").orderBy(F.desc(F.round("aggregate_score", 9)), "ord")
+    scores = _Scores(nodes, hits, beam, most)
     own = hits.groupBy("query", "node_id").agg(F.sum("score").alias("local_score"))
 
-    def scored(rows: DataFrame, step: int) -> DataFrame:
-        told = rows.join(totals, ["query", "node_id"], "left").withColumn("aggregate_score", node_score(F.col("below"), F.col("text"), F.col("symbol"), F.col("path")))
-        best = told.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= beam).withColumn("step", F.lit(step))
-        return materialize(best.select("query", "text", "node_id", "parent_id", "kind", "rank", "step", "aggregate_score"), "reach")
+    def kept(rows: DataFrame, step: int) -> DataFrame:
+        return materialize(rows.withColumn("step", F.lit(step)).select("query", "text", "node_id", "parent_id", "kind", "rank", "step", "aggregate_score"), "reach")
 
-    level = out = scored(queries.select("query", "text").crossJoin(F.broadcast(root)), 0)
+    level = out = kept(scores.first(queries), 0)
     for step in range(1, most + 1):
         above = level.filter(~F.col("kind").isin(*LEAVES)).select("query", "text", F.col("node_id").alias("parent_id"))
-        level = scored(above.join(kids, "parent_id"), step)
+        level = kept(scores.below(above), step)
         if level.isEmpty():
             found = out.drop("text").join(own, ["query", "node_id"], "left")
             return materialize(found.withColumn("local_score", F.coalesce("local_score", F.lit(0.0))), "reach")
@@ -92,29 +111,73 @@ def beam_reach(nodes: DataFrame, hits: DataFrame, queries: DataFrame, beam: int
     raise ValueError(f"paths are longer than {most} levels, or there is a cycle")
 
 
-def best_first(reach: DataFrame, *, by: str = "query", budget: int = BUDGET) -> DataFrame:
-    """(query, step, event, node_id, score): what each query's search pops, best aggregate score first, ties by id; leaves are answers, others are expanded."""
+#: Places of a heap whose children the first round fetches; twice as many in each round after it.
+AHEAD = 8
+STEPS = "array<struct<event:string,node_id:string,score:double>>"
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        below = defaultdict(list)
-        for r in group.itertuples():
-            below[r.parent_id].append(r)
-        heap = [(-r.aggregate_score, r.node_id, r.kind) for r in below[None]]
-        heapq.heapify(heap)
-        steps = []
-        while heap and len(steps) < budget:
-            score, node, kind = heapq.heappop(heap)
-            leaf = kind in LEAVES
-            steps.append((len(steps), "answer" if leaf else "expand", node, -score))
-            for r in [] if leaf else below.get(node, []):
-                heapq.heappush(heap, (-r.aggregate_score, r.node_id, r.kind))
-        out = pd.DataFrame(steps, columns=["step", "event", "node_id", "score"])
-        out.insert(0, by, group[by].iloc[0])
-        return out
 
-    kind = reach.schema[by].dataType.simpleString()
-    narrow = reach.select(by, "node_id", "parent_id", "kind", F.round("aggregate_score", 9).alias("aggregate_score"))
-    return narrow.groupBy(by).applyInPandas(run, f"{by} {kind}, step int, event string, node_id string, score double")
+def _advance(state: dict, found: list[dict], ahead: int, budget: int) -> list[str]:
+    """Pops a search's heap as far as the children of what it pops are known; gives the nodes whose children it needs next.
+
+    ``state``: steps [event, node, score] so far; the heap [-score, node, kind], of
+    which no more places are kept than steps are left; the known children of nodes in it.
+    """
+    known, heap, steps = state["known"], [tuple(x) for x in state["heap"]], state["steps"]
+    for p in state["asked"]:
+        known[p] = []
+    for r in found:
+        known[r["parent_id"]].append((-r["score"], r["node_id"], r["kind"]))
+    heapq.heapify(heap)
+    while heap and len(steps) < budget:
+        score, node, kind = heap[0]
+        if kind not in LEAVES and node not in known:
+            break
+        heapq.heappop(heap)
+        steps.append(("answer" if kind in LEAVES else "expand", node, -score))
+        for child in known.pop(node, []):
+            heapq.heappush(heap, tuple(child))
+    state["heap"] = heap = heapq.nsmallest(budget - len(steps), heap)
+    state["known"] = {n: known[n] for _, n, _ in heap if n in known}
+    state["asked"] = [n for _, n, kind in heap if kind not in LEAVES and n not in known][:ahead]
+    return state["asked"]
+
+
+def best_first(nodes: DataFrame, hits: DataFrame, queries: DataFrame, *, budget: int = BUDGET, beam: int = BEAM, most: int = tree.MOST_LEVELS) -> DataFrame:
+    """(query, step, event, node_id, score): what each query's search pops, best score first, ties by id; leaves are answers, others are expanded.
+
+    A query's search is one row: its steps and a heap of no more places than steps
+    are left. A round fetches and scores the children of the best places of every
+    heap, and each search goes on until it pops a node whose children weren't
+    fetched. So only nodes near the tops of heaps are joined, some twice ``budget``
+    for a query in all, and a round is a few joins for all queries together.
+    """
+    scores = _Scores(nodes, hits, beam, most)
+    start = F.to_json(F.struct(F.array().cast(STEPS).alias("steps"), F.array(F.array((-F.round("aggregate_score", 9)).cast("string"), "node_id", "kind")).alias("heap"), F.array("node_id").alias("asked")))
+    state = materialize(scores.first(queries).select("query", "text", F.array(F.when(~F.col("kind").isin(*LEAVES), F.col("node_id"))).alias("ask"), start.alias("state")), "searches")
+    kind = queries.schema["query"].dataType.simpleString()
+    done, ahead = [], AHEAD
+    while not state.isEmpty():
+        asked = state.select("query", "text", F.explode("ask").alias("parent_id")).filter("parent_id is not null")
+        found = scores.below(asked).groupBy("query").agg(F.collect_list(F.struct("parent_id", "node_id", "kind", F.round("aggregate_score", 9).alias("score"))).alias("x")).select("query", F.to_json("x").alias("found"))
+
+        def run(batches: Iterable[pd.DataFrame], ahead: int = ahead) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                asks = []
+                for k, (text, found) in enumerate(zip(b["state"], b["found"], strict=True)):
+                    state = json.loads(text)
+                    if "known" not in state:
+                        state |= {"known": {}, "heap": [[float(x), *rest] for x, *rest in state["heap"]]}
+                    asks.append(_advance(state, json.loads(found) if found else [], ahead, budget))
+                    b.iat[k, b.columns.get_loc("state")] = json.dumps(state)
+                yield b.drop(columns="found").assign(ask=asks)
+
+        rows = state.drop("ask").join(found, "query", "left").mapInPandas(run, f"query {kind}, text string, state string, ask array<string>")
+        state = materialize(rows, "searches")
+        done.append(state.filter(F.size("ask") == 0).select("query", "state"))
+        state, ahead = state.filter(F.size("ask") > 0), min(2 * ahead, budget)
+    told = F.posexplode(F.from_json("state", "steps array<array<string>>")["steps"])
+    steps = reduce(DataFrame.unionByName, done) if done else state.select("query", "state")
+    return steps.select("query", told.alias("step", "x")).select("query", "step", F.col("x")[0].alias("event"), F.col("x")[1].alias("node_id"), F.col("x")[2].cast("double").alias("score"))
 
 
 def search(nodes: DataFrame, scored_docs: DataFrame, queries: DataFrame, *, top: int = TOP, budget: int = BUDGET, beam: int = BEAM) -> tuple[DataFrame, DataFrame]:
@@ -123,9 +186,11 @@ def search(nodes: DataFrame, scored_docs: DataFrame, queries: DataFrame, *, top:
     Answers: (query, rank, node_id, local_score, aggregate_score, hybrid_score).
     """
     hits = scored_docs.filter(F.col("rank") <= pre_limit(top)).select("query", F.col("doc").alias("node_id"), "score")
-    reach = beam_reach(nodes, materialize(hits, "hits"), queries, beam)
-    trace = materialize(best_first(reach, budget=budget), "trace")
-    found = trace.filter("event = 'answer'").select("query", "node_id", F.col("step").alias("visit")).join(reach.drop("rank"), ["query", "node_id"]).withColumn("hybrid_score", hybrid(F.col("local_score"), F.col("aggregate_score")))
+    hits = materialize(hits, "hits")
+    trace = materialize(best_first(nodes, hits, queries, budget=budget, beam=beam), "trace")
+    own = hits.groupBy("query", "node_id").agg(F.sum("score").alias("local_score"))
+    found = trace.filter("event = 'answer'").select("query", "node_id", F.col("step").alias("visit"), F.col("score").alias("aggregate_score")).join(own, ["query", "node_id"], "left")
+    found = found.withColumn("local_score", F.coalesce("local_score", F.lit(0.0))).withColumn("hybrid_score", hybrid(F.col("local_score"), F.col("aggregate_score")))
     order = Window.partitionBy("query").orderBy(F.desc(F.round("hybrid_score", 9)), "visit")
     answers = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return answers.select("query", "rank", "node_id", "local_score", "aggregate_score", "hybrid_score"), trace
@@ -136,8 +201,6 @@ Judge = Callable[[str, dict], tuple[bool, float, str, bool]]
 #: (query, parent, children) to (index of a child, score, reason) of the children to explore.
 Ranker = Callable[[str, dict, list[dict]], list[tuple[int, float, str]]]
 EXPLORE, SHOWN, KEPT = 0.15, 20, 5
-#: Queries that a task of the guided search has on average.
-BLOCK = 32
 
 
 def word_overlap(query: str, node: dict) -> tuple[bool, float, str, bool]:
@@ -171,7 +234,19 @@ def shown_reach(nodes: DataFrame, budget: int) -> DataFrame:
     return out
 
 
-def guided(nodes: DataFrame, queries: DataFrame, judge: Judge = word_overlap, rank: Ranker = overlap_ranking, *, budget: int = 50, by: str = "query") -> DataFrame:
+def _next(state: dict, budget: int) -> str | None:
+    """Takes the frontier's best place that wasn't judged yet, a step for each; gives its node."""
+    while state["frontier"] and state["step"] < budget:
+        state["step"] += 1
+        k = max(range(len(state["frontier"])), key=lambda k: (state["frontier"][k][0], -k))
+        _, node = state["frontier"].pop(k)
+        if node not in state["seen"]:
+            state["seen"].append(node)
+            return node
+    return None
+
+
+def guided(nodes: DataFrame, queries: DataFrame, judge: Judge = word_overlap, rank: Ranker = overlap_ranking, *, budget: int = 50, by: str = "query", answers: str | None = None, tries: int = 1) -> DataFrame:
     """Search of nodes (node_id, parent_id, ord, kind, path, symbol, summary) by a judge of relevance, for each of the queries (query, text).
 
     Gives the trace (query, step, event, node_id, score, reason). A step takes the
@@ -180,63 +255,71 @@ def guided(nodes: DataFrame, queries: DataFrame, judge: Judge = word_overlap, ra
     Containers always are, others where the judge is sure by more than EXPLORE: of
     the first SHOWN children the ranking's best KEPT join the frontier (``expand``).
     A judge that fails counts as not relevant, a ranking that fails as empty. Equal
-    places (``ord``) are told apart by id. Queries are searched in blocks of
-    ``BLOCK``; a task sees the nodes within reach, at most ``SHOWN`` to the power
-    of the depth, once for a block.
+    places (``ord``) are told apart by id.
+
+    A query's search is one row with its frontier. A round takes every query's next
+    node together with its first children, judges all of them in tasks and goes on
+    to the next: as many rounds as the longest search has steps. Each finished
+    judgement and ranking is a row of the store ``answers`` (see models.Answers;
+    without a path, one in the shared folder for this call), keyed by what was
+    asked, so that a task that is run again asks for what is missing alone.
     """
-
-    def ask(query: str, node: dict) -> tuple[bool, float, str, bool]:
-        try:
-            return judge(query, node)
-        except Exception as e:  # noqa: BLE001
-            return False, 0.0, str(e), False
-
-    def ranked(query: str, node: dict, children: list[dict]) -> list[tuple[int, float, str]]:
-        try:
-            told = [x for x in rank(query, node, children) if 0 <= x[0] < len(children)]
-        except Exception:  # noqa: BLE001
-            return []
-        return sorted(told, key=lambda x: -x[1])[:KEPT]
-
-    def search_one(text: str, below: dict) -> list[tuple]:
-        frontier, out, step = [(1.0, r) for r in below[None]], [], 0
-        seen = set()
-        while frontier and step < budget:
-            step += 1
-            frontier.sort(key=lambda x: -x[0])
-            _, node = frontier.pop(0)
-            if node["node_id"] in seen:
-                continue
-            seen.add(node["node_id"])
-            _, sure, why, answers = ask(text, node)
-            out.append((step, "evaluate", node["node_id"], float(sure), why))
-            if answers and node["kind"] in (*LEAVES, "class"):
-                out.append((step, "answer", node["node_id"], float(sure), why))
-            elif node["kind"] in ("repo", "pkg", "file", "class") or sure > EXPLORE:
-                children = below.get(node["node_id"], [])[:SHOWN]
-                for k, score, why in ranked(text, node, children) if children else []:
-                    frontier.append((score, children[k]))
-                    out.append((step, "expand", children[k]["node_id"], float(score), why))
-        return out
-
-    def run(asked: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
-        below = defaultdict(list)
-        for r in tree.sort_values(["ord", "node_id"]).drop(columns="block").to_dict("records"):
-            below[r["parent_id"]].append(r)
-        out = [pd.DataFrame(columns=[by, "step", "event", "node_id", "score", "reason"])]
-        for k, text in enumerate(asked["text"]):
-            steps = pd.DataFrame(search_one(text, below), columns=["step", "event", "node_id", "score", "reason"])
-            steps.insert(0, by, asked[by].iloc[[k] * len(steps)].array)
-            out.append(steps)
-        return pd.concat([x for x in out if len(x)] or out)
-
-    reach = shown_reach(nodes.select("node_id", "parent_id", "ord", "kind", "path", "symbol", "summary"), budget)
-    asked = materialize(queries.select(by, "text").distinct(), "asked")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64(by, "text"), F.lit(blocks)))
-    each = reach.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    names = ["node_id", "kind", "path", "symbol", "summary"]
+    reach = materialize(shown_reach(nodes.select("node_id", "parent_id", "ord", "kind", "path", "symbol", "summary"), budget), "reach")
+    below = reach.filter("parent_id is not null").groupBy("parent_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("ord").isNull().alias("a"), "ord", *names)))).alias("children"))  # SHOWN at most
+    shown = materialize(reach.select(*names).join(below.withColumnRenamed("parent_id", "node_id"), "node_id", "left"), "shown")
+    roots = reach.filter("parent_id is null").orderBy(F.col("ord").asc_nulls_last(), "node_id").select("node_id").limit(budget)
+    first = [r.node_id for r in roots.collect()]  # no more than the budget
+    named = lambda f: getattr(f, "__qualname__", type(f).__name__)
+    store = models.Answers(answers or new_path(nodes.sparkSession, "answers"), tries)
     kind = queries.schema[by].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(each.groupBy("block")).applyInPandas(run, f"{by} {kind}, step int, event string, node_id string, score double, reason string")
+    schema = f"{by} {kind}, text string, node_id string, state string"
+
+    def begin(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            states = [{"frontier": [[1.0, r] for r in first], "seen": [], "step": 0, "out": []} for _ in range(len(b))]
+            at = [_next(x, budget) for x in states]
+            yield b.assign(node_id=at, state=[json.dumps(x) for x in states])
+
+    def judged(text: str, node: dict, state: dict) -> None:
+        plain = {k: node[k] for k in names}
+        told = store.ask(["judge", named(judge), text, plain], lambda: judge(text, plain))
+        _, sure, why, answers = (False, 0.0, told.error, False) if told.error else told.value
+        node_id, step = node["node_id"], state["step"]
+        state["out"].append((step, "evaluate", node_id, float(sure), why))
+        if answers and node["kind"] in (*LEAVES, "class"):
+            state["out"].append((step, "answer", node_id, float(sure), why))
+        elif (node["kind"] in ("repo", "pkg", "file", "class") or sure > EXPLORE) and node["children"]:
+            children = [{k: c.get(k) for k in names} for c in json.loads(node["children"])]
+            told = store.ask(["rank", named(rank), text, plain, children], lambda: rank(text, plain, children))
+            best = sorted((x for x in (told.value or ()) if 0 <= x[0] < len(children)), key=lambda x: -x[1])[:KEPT]
+            for k, score, why in best:
+                state["frontier"].append([float(score), children[k]["node_id"]])
+                state["out"].append((step, "expand", children[k]["node_id"], float(score), why))
+
+    def round_of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(node: dict) -> tuple[str | None, str]:
+            state = json.loads(node["state"])
+            judged(node["text"], node, state)
+            return _next(state, budget), json.dumps(state)
+
+        with ThreadPoolExecutor(models.AT_ONCE) as pool:
+            for b in batches:
+                rows = b.astype(object).where(b.notna(), None).to_dict("records")
+                told = list(pool.map(one, rows))
+                yield pd.DataFrame({by: b[by], "text": b["text"], "node_id": [n for n, _ in told], "state": [x for _, x in told]})
+
+    state = materialize(queries.select(by, "text").distinct().mapInPandas(begin, schema), "searches")
+    done = []
+    while True:
+        done.append(state.filter("node_id is null").select(by, "state"))
+        going = state.filter("node_id is not null")
+        if going.isEmpty():
+            break
+        state = materialize(going.join(shown, "node_id").mapInPandas(round_of, schema), "searches")
+    row = F.explode(F.from_json("state", "out array<array<string>>")["out"])
+    steps = reduce(DataFrame.unionByName, done).select(by, row.alias("x"))
+    return steps.select(by, F.col("x")[0].cast("int").alias("step"), F.col("x")[1].alias("event"), F.col("x")[2].alias("node_id"), F.col("x")[3].cast("double").alias("score"), F.col("x")[4].alias("reason"))
 
 
 def statistics(trace: DataFrame, budget: int, by: str = "query") -> DataFrame:

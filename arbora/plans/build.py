@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +16,14 @@ from arbora.sources.sinks import IndexFiles, meta
 
 @dataclass
 class BuildConfig:
-    """summarize: None for none. scope: ``files`` or ``structured`` (files, classes and functions)."""
+    """summarize: None for none. scope: ``files`` or ``structured`` (files, classes and functions). answers: the folder of the model's finished answers; by default below the index."""
 
     summarize: models.Summarize | None = None
     min_loc: int = 20
     scope: str = "structured"
     callsites: int = extract.CALLSITES
     vocabulary: int | None = bm25.VOCABULARY
+    answers: str | None = None
 
     def __post_init__(self) -> None:
         if self.scope not in ("files", "structured"):
@@ -36,7 +37,7 @@ def summarized(nodes: DataFrame, files: DataFrame, config: BuildConfig) -> DataF
     work = extract.summary_work(nodes, config.min_loc)
     work = work.filter("kind = 'file'") if config.scope == "files" else work
     body = F.when(F.col("kind") == "file", compress(F.col("text"))).otherwise(snippet(F.col("text"), F.col("start_line"), F.col("end_line")))
-    told = models.summarize(work.select("node_id", "path", "kind", "start_line", "end_line").join(files.select("path", "text"), "path").select("node_id", body.alias("body")), "body", config.summarize, into="_told")
+    told = models.summarize(work.select("node_id", "path", "kind", "start_line", "end_line").join(files.select("path", "text"), "path").select("node_id", body.alias("body")), "body", config.summarize, into="_told", store=config.answers)
     both = nodes.join(told.select("node_id", "_told").dropDuplicates(["node_id"]), "node_id", "left")
     return both.withColumn("summary", F.coalesce("summary", "_told")).select(*nodes.columns)
 
@@ -44,6 +45,7 @@ def summarized(nodes: DataFrame, files: DataFrame, config: BuildConfig) -> DataF
 def build(spark: SparkSession, root: str, out: str, config: BuildConfig | None = None) -> DataFrame:
     """Builds the index of the tree at ``root`` in the folder ``out``; gives its meta row."""
     config, target = config or BuildConfig(), IndexFiles(spark, out)
+    config = replace(config, answers=config.answers or f"{out}/answers")
     read = source_tree.contents(spark, root)
     files = target.write("files", source_tree.texts(read))
     found = extract.index(files, cap=config.callsites)

@@ -264,9 +264,25 @@ def hybrid_search(spark, sf_dir):
     return rounded(top.select("query", "node_id", "rank", "hybrid_score"), "hybrid_score")
 
 
+_LEAF = "IN ('func', 'block', 'const')"
+
+
+@query(
+    f"""WITH RECURSIVE {LOCAL}, kids AS (SELECT query, parent_id, list({{'s': -round(aggregate_score, 9), 'n': node_id, 'k': kind}}) AS x FROM ranked WHERE place <= 3 AND parent_id IS NOT NULL GROUP BY query, parent_id),
+run(query, step, popped, heap) AS (SELECT query, 0, {{'s': 0.0::DOUBLE, 'n': '', 'k': ''}}, [{{'s': -round(aggregate_score, 9), 'n': node_id, 'k': kind}}] FROM ranked WHERE parent_id IS NULL
+  UNION ALL SELECT run.query, step + 1, heap[1], list_sort(CASE WHEN heap[1].k {_LEAF} OR x IS NULL THEN heap[2:] ELSE list_concat(heap[2:], x) END) FROM run LEFT JOIN kids ON kids.query = run.query AND kids.parent_id = heap[1].n WHERE step < 12 AND len(heap) > 0)
+SELECT query, step - 1 AS step, CASE WHEN popped.k {_LEAF} THEN 'answer' ELSE 'expand' END AS event, popped.n AS node_id, round(-popped.s, 6) AS score FROM run WHERE step > 0"""
+)
+def best_first_trace(spark, sf_dir):
+    """What each search pops within a budget of twelve steps and beams of three."""
+    nodes, top, items = _site(spark, sf_dir)
+    hits = materialize(top.select("query", F.col("doc").alias("node_id"), "score"), "hits")
+    return rounded(search.best_first(nodes, hits, items, budget=12, beam=3), "score")
+
+
 @query()
 def best_first_search(spark, sf_dir):
-    """Search with a budget that binds: the order of visits matters, which SQL can't tell."""
+    """Search with a budget that binds over many steps; best_first_trace holds a short one against SQL."""
     nodes, top, items = _site(spark, sf_dir)
     answers, _ = search.search(nodes, materialize(top, "bm25"), items)
     return rounded(answers, "local_score", "aggregate_score", "hybrid_score")

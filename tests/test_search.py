@@ -1,11 +1,16 @@
 """Tree search against small sequential models on random trees."""
 
 import heapq
+import json
+import os
 import random
+import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from arbora.functions import models
 from arbora.operators import bm25, search, tree
 
 
@@ -144,8 +149,7 @@ def sequential_guided(rows, text, budget):
 
 
 @pytest.mark.parametrize("budget", [2, 50])
-def test_guided_looks_only_at_nodes_in_reach(spark, monkeypatch, budget):
-    monkeypatch.setattr(search, "BLOCK", 3)
+def test_guided_looks_only_at_nodes_in_reach(spark, budget):
     rows = wide_tree()
     nodes = spark.createDataFrame(rows, "node_id string, parent_id string, ord int, kind string, path string").withColumns({"symbol": F.lit(None).cast("string"), "summary": F.lit(None).cast("string")})
     asked = [(k, t) for k, t in enumerate(["alpha", "beta gamma", "x alpha y", "none", "gamma", "y y beta", "alpha beta gamma"])]
@@ -162,3 +166,64 @@ def test_guided_looks_only_at_nodes_in_reach(spark, monkeypatch, budget):
     most = reach.filter("parent_id is not null").groupBy("parent_id").count().agg(F.max("count")).first()[0]
     assert most <= search.SHOWN and reach.count() < len(rows) / 2
     assert reach.filter("parent_id is null").count() == min(budget, 4)
+
+
+def test_guided_asks_for_each_place_once(spark, tmp_path):
+    """Calls leave a file each; a search that breaks off and is begun again asks only for what is missing."""
+    rows = wide_tree()
+    nodes = spark.createDataFrame(rows, "node_id string, parent_id string, ord int, kind string, path string").withColumns({"symbol": F.lit(None).cast("string"), "summary": F.lit(None).cast("string")})
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(["alpha", "beta gamma", "none"])], "query int, text string")
+    calls, armed = tmp_path / "calls", tmp_path / "armed"
+    calls.mkdir()
+    armed.mkdir()
+
+    def judge(text, node):
+        if node["node_id"].count(".") == 2 and text == "beta gamma" and armed.exists():
+            armed.rmdir()
+            os._exit(1)  # the worker is lost with what it holds
+        (calls / uuid.uuid4().hex).write_text(json.dumps([text, node["node_id"]]))
+        return search.word_overlap(text, node)
+
+    run = lambda: search.guided(nodes, asked, judge, budget=25, answers=str(tmp_path / "answers")).collect()
+    with pytest.raises(Exception, match="crash|exit|EOF|fail"):
+        run()
+    before = len(list(calls.iterdir()))
+    got = {}
+    for r in run():
+        got.setdefault(r.query, []).append((r.step, r.event, r.node_id, r.score))
+    want = {q: sequential_guided(rows, t, 25) for q, t in [(0, "alpha"), (1, "beta gamma"), (2, "none")]}
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+    made = Counter(f.read_text() for f in calls.iterdir())
+    assert before and max(made.values()) == 1
+    assert len(made) == sum(e == "evaluate" for x in want.values() for _, e, *_ in x)
+
+
+def test_answers_are_kept_and_tried_again(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def model(text):
+        (calls / uuid.uuid4().hex).write_text(text)
+        if text.startswith("bad") or (text == "late" and sum(f.read_text() == "late" for f in calls.iterdir()) < 3):
+            raise RuntimeError("busy")
+        return text.upper()
+
+    texts = ["a", "b", "a", "late", "bad", None, "b" * 9000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    ask = lambda: {r.k: r.summary for r in models.summarize(rows, "t", model, store=str(tmp_path / "store"), tries=3, wait=0.01).collect()}
+    want = {k: None if t is None or t == "bad" else t[: models.MOST_CHARS].upper() for k, t in enumerate(texts)}
+    assert ask() == want
+    assert Counter(f.read_text()[:9] for f in calls.iterdir()) == {"a": 1, "b": 1, "late": 3, "bad": 3, "b" * 9: 1}
+    assert ask() == want  # only what failed for good is asked again
+    assert Counter(f.read_text()[:9] for f in calls.iterdir()) == {"a": 1, "b": 1, "late": 3, "bad": 6, "b" * 9: 1}
+
+
+def test_calls_keep_to_a_rate(tmp_path):
+    import time
+
+    store, began = models.Answers(str(tmp_path), gap=0.05), time.monotonic()
+    assert [store.ask(k, lambda k=k: k).value for k in range(5)] == list(range(5))
+    assert time.monotonic() - began >= 0.2
+    began = time.monotonic()
+    assert [store.ask(k, None).value for k in range(5)] == list(range(5))
+    assert time.monotonic() - began < 0.2
