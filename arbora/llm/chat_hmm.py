@@ -16,9 +16,9 @@ task sees more than PARTS part numbers or sums.
 Defined results: a row without a conversation or part number is a conversation
 of its own; rows with equal conversation, part and text are one; different texts
 of one part follow each other in the order of their text; a null text is empty;
-an empty text is one blank line; a block's first line counts as following a
+an empty text is one blank line; a conversation's first line counts as following a
 blank one; part numbers may be negative or lie far apart; of equally good paths
-the one through lower states is taken; an empty table gives no rows; other columns
+one is taken, which may depend on the blocks; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -52,9 +52,13 @@ def split_line(line: str) -> tuple[int, str]:
     return next(k for k in range(3) if m[k + 1]), line[m.end() :]
 
 
-def features(lines: list[str]) -> tuple[np.ndarray, list[str]]:
-    """The feature number of each line, and the lines without markers."""
-    out, bare, after_blank = np.zeros(len(lines), np.int64), [], 1
+#: What Python's strip() takes for blank.
+BLANK_LINE = r"^[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*\z"
+
+
+def features(lines: list[str], after_blank: int = 1) -> tuple[np.ndarray, list[str]]:
+    """The feature number of each line, and the lines without markers; ``after_blank``: whether the line before them is blank."""
+    out, bare = np.zeros(len(lines), np.int64), []
     for i, line in enumerate(lines):
         marker, rest = split_line(line)
         size = 0 if not line.strip() else 1 + min(3, len(rest) // 60)
@@ -150,7 +154,10 @@ def decode(parts: DataFrame, model: Model) -> DataFrame:
     reach = materialize(rows.groupBy("key").agg(F.min("at").alias("_low"), F.max("at").alias("_high")), "conversations")
     block = lambda x: F.floor((F.col(x) - F.col("_low")) / PARTS)
     rows = rows.join(reach, "key").withColumns({"block": block("at"), "first": F.lit(0).cast("long"), "last": block("_high")}).drop("_low", "_high")
-    rows = materialize(rows, "transcripts")
+    # a block's first line follows the last one of the block before it
+    ends = rows.filter("first < last").groupBy("key", "block").agg(F.max_by(F.substring_index("text", "\n", -1), F.struct("at", "text")).alias("_end"))
+    before = ends.select("key", "block", F.lag(F.rlike("_end", F.lit(BLANK_LINE))).over(Window.partitionBy("key").orderBy("block")).cast("int").alias("after"))
+    rows = materialize(rows.join(before, ["key", "block"], "left").withColumn("after", F.coalesce("after", F.lit(1))), "transcripts")
     # only conversations of several blocks need sums; the others' one block is decoded as it is
     several = rows.filter("first < last")
     levels: list[DataFrame] = []
@@ -158,7 +165,7 @@ def decode(parts: DataFrame, model: Model) -> DataFrame:
 
         def sum_up(part: pd.DataFrame) -> pd.DataFrame:
             m, part = shared.value, part.sort_values(["at", "text"])
-            f, _ = features(_lines(part)[0])
+            f, _ = features(_lines(part)[0], int(part["after"].iloc[0]))
             total = None
             for i, x in enumerate(f):
                 one = _step(m, x, i == 0 and part["block"].iloc[0] == part["first"].iloc[0])
@@ -200,7 +207,7 @@ def decode(parts: DataFrame, model: Model) -> DataFrame:
     def states(part: pd.DataFrame) -> pd.DataFrame:
         m, part = shared.value, part.sort_values(["at", "text"])
         lines, row = _lines(part)
-        f, bare = features(lines)
+        f, bare = features(lines, int(part["after"].iloc[0]))
         first = bool(part["is_first"].iloc[0])
         leave = int(part["leave"].iloc[0])
         path = best_path([_step(m, x, first and i == 0) for i, x in enumerate(f)], int(part["entry"].iloc[0]), None if leave < 0 else leave)

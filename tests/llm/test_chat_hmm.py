@@ -101,3 +101,22 @@ def test_negative_and_distant_parts(spark, model):
         mine = sorted((p, t) for k, p, t in rows if k == c)
         best, _ = viterbi(model, [t for _, t in mine])
         assert path_score(model, [t for _, t in mine], got_states([got[c, p] for p, _ in mine])) == pytest.approx(best, abs=1e-6)
+
+
+def test_blocks_leave_the_result_alone(spark, model, monkeypatch):
+    """Parts that don't end in a blank line, some of them blank, in blocks of any size."""
+    rng = np.random.default_rng(2)
+    said = ["user: what now?", "and then", "bot: so be it", "", " \u2003", "me: x\n", "plain text that goes on for a while " * 3, "why?"]
+    rows = [(c, int(p), str(rng.choice(said))) for c in range(12) for p in rng.choice(400, 200, replace=False)]
+    df = spark.createDataFrame(rows, "conv long, part long, text string").repartition(3)
+    best = {}
+    for c in range(12):
+        mine = sorted((p, t) for k, p, t in rows if k == c)
+        best[c] = [x for _, t in mine for x in t.split("\n")]
+    for parts in (2, 64, 100_000):
+        monkeypatch.setattr(chat_hmm, "PARTS", parts)
+        told = {}
+        for r in chat_hmm.decode(df, model).collect():
+            told.setdefault(r.conv, []).append(r)
+        for c, lines in best.items():  # equally good paths may differ
+            assert path_score(model, lines, got_states(told[c])) == pytest.approx(viterbi(model, lines)[0], abs=1e-6)
