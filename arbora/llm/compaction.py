@@ -110,7 +110,10 @@ class Store:
         """Manifest rows of the shards in a folder; files without rows are left out."""
         try:
             found = self.spark.read.parquet(f"{self.path}/data/{folder}")
-        except AnalysisException:  # nothing was written
+        except AnalysisException:
+            fs, p = file_system(self.spark, f"{self.path}/data/{folder}")
+            if fs.exists(p) and any(x.isFile() and x.getPath().getName()[0] not in "_." for x in fs.listStatus(p)):
+                raise  # there are shards, but they can't be read
             return self.spark.createDataFrame([], MANIFEST)
         file = found.metadataColumn("_metadata")  # also where a column has that name
         told = found.select(F.regexp_extract(file["file_path"], NAME, 1).alias("shard"), file["file_size"].alias("bytes"))

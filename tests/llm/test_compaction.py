@@ -112,3 +112,15 @@ def test_empty_arrivals_and_repeated_rows(spark, make_docs, tmp_path):
     assert rows_of(store.read()) == rows_of(docs.union(docs).union(docs).union(docs).union(docs))
     docs.drop("shard", "run", "rows").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert queries.op3_compaction(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_unreadable_shards_are_told(spark, tmp_path, make_docs):
+    store = compaction.Store(spark, f"file://{tmp_path}/store")
+    store.append(make_docs(["a", "b"]))
+    folder = tmp_path / "store" / "data" / "broken"
+    folder.mkdir()
+    assert store._written("broken").count() == 0
+    (folder / "part-0.zstd.parquet").write_bytes(b"not a shard")
+    with pytest.raises(Exception, match="(?i)footer|schema|read|corrupt"):
+        store._written("broken").count()
+    assert store.read(store.version()).count() == 2
