@@ -92,6 +92,29 @@ def directory_summary(nodes: DataFrame) -> DataFrame:
     return nodes.filter("kind in ('pkg', 'repo')").select("node_id", "parent_id", "path").join(counts, "node_id")
 
 
+def walked_folders(folders: DataFrame) -> DataFrame:
+    """directory_summary() rows with depth, place in a walk by path, and the line of a Mermaid mind map, from a column ``text``."""
+    walk = tree.preorder(folders.select("node_id", "parent_id", "path"), F.col("path"))
+    shown = F.concat(F.lit('("'), F.coalesce(F.nullif("path", F.lit("")), F.lit("root")), F.lit(": "), "text", F.lit('")'))
+    return folders.join(walk, "node_id").withColumn("line", F.concat(F.repeat(F.lit("  "), F.col("depth") + 1), shown))
+
+
+def guide_flows(flows: DataFrame, focus: tuple[str, ...], words: tuple[str, ...], most: int = CALLS) -> DataFrame:
+    """The first flows of a guide, with ``rank`` from 1: those of components in focus, then those of others whose path has one of the words; by place, then path, then component."""
+    low, mine = F.lower(F.coalesce("entry_path", F.lit(""))), F.col("component").isin(*focus)
+    fits = [F.contains(low, F.lit(w)) for w in words]
+    kept = flows.withColumn("_other", ~mine).filter(mine | (F.greatest(*fits) if len(fits) > 1 else fits[0] if fits else F.lit(False)))
+    order = [F.col("_other"), F.col("place"), F.coalesce("entry_path", F.lit("")), F.col("component")]
+    first = kept.orderBy(*order).limit(most)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).drop("_other")  # ``most`` rows
+
+
+def focus_dependencies(dependencies: DataFrame, focus: tuple[str, ...]) -> DataFrame:
+    """One row (deps): what the nodes in focus depend on beside themselves, from graph.dependencies()."""
+    out = dependencies.filter(F.col("node").isin(*focus)).select(F.explode("deps").alias("dep")).filter(~F.col("dep").isin(*focus))
+    return out.agg(F.array_sort(F.collect_set("dep")).alias("deps"))
+
+
 def component_records(nodes: DataFrame, edges: DataFrame, package_edges: DataFrame) -> DataFrame:
     """One row for each component: stats, roles, important files, dependencies and flows."""
     from arbora.operators import graph

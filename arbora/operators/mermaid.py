@@ -108,9 +108,27 @@ def summary(diagrams: DataFrame, allowed: DataFrame, threshold: float = 0.95) ->
     return one.withColumn("passes", (F.col("coverage") >= threshold) & (F.col("unknown") == 0) & (F.col("with_errors") == 0))
 
 
-def render(labels: DataFrame, ends: DataFrame, *, by: str = "name", header: str = "graph TD") -> DataFrame:
-    """(by, text): a diagram for each group from labels (by, label) and edges (by, src, dst)."""
+def drawn(labels: DataFrame, ends: DataFrame, *, by: str = "name") -> DataFrame:
+    """(by, k, line): the lines of a diagram for each group from labels (by, label) and edges (by, src, dst), nodes first."""
     one = labels.select(by, F.lit(1).alias("k"), F.concat(F.lit("    "), diagram_id(F.col("label")), F.lit('["'), "label", F.lit('"]')).alias("line"))
     two = ends.select(by, F.lit(2).alias("k"), F.concat(F.lit("    "), diagram_id(F.col("src")), F.lit(" --> "), diagram_id(F.col("dst"))).alias("line"))
-    body = one.unionByName(two).distinct().groupBy(by).agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("x"))
+    return one.unionByName(two).distinct()
+
+
+def render(labels: DataFrame, ends: DataFrame, *, by: str = "name", header: str = "graph TD") -> DataFrame:
+    """(by, text): drawn() as one text for each group."""
+    body = drawn(labels, ends, by=by).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("x"))
     return body.select(by, F.concat(F.lit(header + "\n"), F.array_join(F.transform("x", lambda r: r["line"]), "\n")).alias("text"))
+
+
+def faults(diagrams: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(name, errors, unknown_nodes, unknown_edges) of diagrams that have any: what a redraft must mend, as sorted lists."""
+    met = references(diagrams, allowed)
+    of_nodes = met.filter("defined and not known").groupBy("name").agg(F.array_sort(F.collect_set("label")).alias("unknown_nodes"))
+    each = lines(diagrams)
+    ends = labelled_edges(nodes(each), edges(each)).select("name", "src", "dst", F.struct("line_no", "place", "times").alias("edge"))
+    bad = met.filter("not defined and not known").select("name", "edge").distinct()
+    of_edges = ends.join(bad, ["name", "edge"], "left_semi").groupBy("name").agg(F.array_sort(F.collect_set(F.concat("src", F.lit("->"), "dst"))).alias("unknown_edges"))
+    wrong = errors(diagrams).groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "error"))), lambda x: x["error"]).alias("errors"))
+    some = wrong.join(of_nodes, "name", "full").join(of_edges, "name", "full")
+    return some.select("name", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("errors", "unknown_nodes", "unknown_edges")])

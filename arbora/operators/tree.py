@@ -76,6 +76,33 @@ def rollup(nodes: DataFrame, values: dict[str, Column], merge: Callable[[Column]
     return out
 
 
+def preorder(nodes: DataFrame, key: Column, *, most: int = MOST_LEVELS) -> DataFrame:
+    """(node_id, depth, place): a depth-first walk from place 0; siblings, and roots, go by ``key``, then id.
+
+    Sizes of subtrees rise by rollup(); places descend a level at a time. Siblings are
+    dealt over ranges of the order, and only the ranges' sums meet, so that a
+    node with very many children is no task of its own.
+    """
+    kept = nodes.select("node_id", "parent_id", key.alias("_key"))
+    sizes = rollup(kept, {"_size": F.lit(1).cast("long")}, most=most)
+    order = ("_up", "_key", "node_id")
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    above, out = None, None
+    for depth, level in enumerate(levels(kept, most)):
+        up = F.lit(None).cast(kept.schema["parent_id"].dataType) if above is None else F.col("parent_id")
+        dealt = materialize(level.join(sizes, "node_id").select("node_id", up.alias("_up"), "_key", "_size").repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "siblings")
+        sums = dealt.groupBy("_up", "_range").agg(F.sum("_size").alias("_n"))
+        ahead = sums.select(F.col("_up").alias("_u"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier("_up").orderBy("_range")), F.lit(0)).alias("_ahead"))
+        within = F.coalesce(F.sum("_size").over(earlier("_up", "_range").orderBy("_key", "node_id")), F.lit(0))
+        placed = dealt.withColumn("_within", within).join(ahead, F.col("_up").eqNullSafe(F.col("_u")) & (F.col("_range") == F.col("_r")))
+        start = F.lit(0)
+        if above is not None:
+            placed, start = placed.join(above.select(F.col("node_id").alias("_a"), F.col("place").alias("_start")), F.col("_up") == F.col("_a")), F.col("_start") + 1
+        above = materialize(placed.select("node_id", F.lit(depth).alias("depth"), (start + F.col("_ahead") + F.col("_within")).cast("long").alias("place")), "preorder")
+        out = above if out is None else out.unionByName(above)
+    return out
+
+
 def descendants(pairs: DataFrame, of: Column) -> DataFrame:
     """Nodes below those that ``of`` picks by ``ancestor``, from ancestors()."""
     return pairs.filter(of & (F.col("depth") > 0)).select("ancestor", "node_id", "depth")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from importlib import import_module
 
 from pyspark.sql import SparkSession
 
@@ -33,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
     a = verbs.add_parser("arch", help="describe an index's architecture")
     a.add_argument("--index", default="index")
     a.add_argument("--out", default="architecture")
+    a.add_argument("--diagram-mode", choices=describe.MODES, default="deterministic")
+    a.add_argument("--drafter", default="arbora.plans.redraft:plain_draft", help="module:function that drafts a diagram")
     a.add_argument("--diagram-coverage", type=float, default=0.95)
     a.add_argument("--diagram-redrafts", type=int, default=2)
     return p
@@ -53,7 +56,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(page if exists(spark, page) else "no search has been made")
         return 0 if exists(spark, page) else 1
     else:
-        print(json.dumps(describe.describe(spark, args.index, args.out, describe.DescribeConfig(coverage=args.diagram_coverage, redrafts=args.diagram_redrafts)), default=str))
+        module, _, name = args.drafter.partition(":")
+        draft = None if args.diagram_mode == "deterministic" else getattr(import_module(module), name)
+        config = describe.DescribeConfig(draft=draft, mode=args.diagram_mode, coverage=args.diagram_coverage, redrafts=args.diagram_redrafts)
+        print(json.dumps(describe.describe(spark, args.index, args.out, config), default=str))
     return 0
 
 

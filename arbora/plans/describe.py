@@ -1,26 +1,27 @@
-"""Architecture documents of an index: Markdown and diagrams, checked and redrafted."""
+"""Architecture documents of an index: Markdown and diagrams, written line by line from tasks."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.functions.text import ellipsis, stats_text
 from arbora.operators import arch, graph, mermaid, tree
+from arbora.plans.redraft import Draft, latest, redraft
+from arbora.sources.documents import fixed, lines, write_documents
 from arbora.sources.shared import materialize
 from arbora.sources.sinks import IndexFiles, write_text
 
-#: Drafts a component's diagram from its records and the faults of the draft before: (name, labels, edges, faults) -> text.
-Draft = Callable[[str, list[str], list[tuple[str, str]], dict | None], str]
+MODES = ("deterministic", "hybrid", "model")
 
 
 @dataclass
 class DescribeConfig:
-    """draft: None for the rendered diagrams. mode: ``model``, ``hybrid`` (rendered where drafts fail) or ``deterministic``."""
+    """draft: a drafter of diagrams for the modes ``model`` and ``hybrid`` (rendered ones where the drafts fail); ``deterministic`` renders all."""
 
     draft: Draft | None = None
     mode: str = "deterministic"
@@ -29,6 +30,10 @@ class DescribeConfig:
     #: Guides to write: a title, the components in focus, and words that flows of others must have.
     guides: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = ()
 
+    def __post_init__(self) -> None:
+        if self.mode not in MODES or self.mode != "deterministic" and self.draft is None:
+            raise ValueError(f"mode {self.mode!r} is none of {MODES}, or lacks a drafter")
+
 
 def package_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst) paths of packages: imports as resolved by alias, and calls between files' packages."""
@@ -46,95 +51,133 @@ def package_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
 
 
-def role_clusters(nodes: DataFrame) -> DataFrame:
-    """(role, components)."""
-    return arch.component_roles(nodes).groupBy("role").agg(F.array_sort(F.collect_set("component")).alias("components"))
+def role_pairs(nodes: DataFrame) -> DataFrame:
+    """(role, component), distinct."""
+    return arch.component_roles(nodes).select("role", "component").distinct()
+
+
+def _told(names: Column, without: str) -> Column:
+    return F.coalesce(F.nullif(F.array_join(names, ", "), F.lit("")), F.lit(without))
+
+
+def component_pages(records: DataFrame) -> DataFrame:
+    """Lines of components/NAME.md from component_records() with stats and used_by."""
+    texts = lambda c, shown: F.coalesce(F.transform(c, shown), F.array().cast("array<string>"))
+    head = F.array(
+        F.concat(F.lit("# "), "component"),
+        F.lit(""),
+        F.concat("stats", F.lit(", "), F.col("loc").cast("string"), F.lit(" lines. Roles: "), _told(F.col("roles"), "other"), F.lit(".")),
+        F.lit(""),
+        F.concat(F.lit("Depends on: "), _told(F.col("deps"), "nothing"), F.lit(". Used by: "), _told(F.col("used_by"), "nothing"), F.lit(".")),
+        *map(F.lit, ("", "## Files", "")),
+    )
+    files = texts("important_files", lambda x: F.concat(F.lit("- `"), x["path"], F.lit("` ("), F.coalesce(x["loc"].cast("string"), F.lit("0")), F.lit(" lines)")))
+    flows = texts("flows", lambda x: F.concat(F.lit("- "), x["category"], F.lit(": `"), x["entry_path"], F.lit("` "), F.coalesce(x["entry_symbol"], F.lit("")), F.lit(" calls "), _told(x["calls"], "nothing")))
+    each = records.select("component", F.posexplode(F.flatten(F.array(head, files, F.array(*map(F.lit, ("", "## Flows", ""))), flows))).alias("n", "line"))
+    return lines(each, F.concat(F.lit("components/"), "component", F.lit(".md")), 0, F.col("line"), n=F.col("n"))
+
+
+def diagram_pages(drawn: DataFrame) -> DataFrame:
+    """Lines of diagrams/NAME.mmd from mermaid.drawn()."""
+    file = F.concat(F.lit("diagrams/"), "name", F.lit(".mmd"))
+    return lines(drawn.select("name").distinct(), file, 0, F.lit("graph TD")).unionByName(lines(drawn, file, 1, F.col("line"), n=F.col("k")))
 
 
-def drafted(spark: SparkSession, name: str, labels: list[str], ends: list[tuple[str, str]], config: DescribeConfig, rendered: str) -> str:
-    """A model's diagram that passes, after redrafts if need be; else the rendered one, or an error in mode ``model``."""
-    allowed = spark.createDataFrame([(x,) for x in labels], "label string")
-    faults = None
-    for _ in range(max(1, config.redrafts)):
-        text = config.draft(name, labels, ends, faults)
-        one = spark.createDataFrame([(name, text)], "name string, text string")
-        told = mermaid.summary(one, allowed, config.coverage).first()
-        if told["passes"]:
-            return text
-        faults = told.asDict() | mermaid.validate(one, allowed).first().asDict()
-    if config.mode == "hybrid":
-        return rendered
-    raise RuntimeError(f"no draft of {name} passed: {faults}")
+def draft_pages(drafts: DataFrame) -> DataFrame:
+    """Lines of diagrams/NAME.mmd from (name, text)."""
+    each = drafts.select("name", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lines(each, F.concat(F.lit("diagrams/"), "name", F.lit(".mmd")), 0, F.col("line"), n=F.col("n"))
 
 
-def mindmap(rows: list) -> str:
-    """A Mermaid mindmap of the folders in directory_summary() rows."""
-    below: dict = {}
-    for r in rows:
-        below.setdefault(r["parent_id"], []).append(r)
+def wanted_diagrams(names: DataFrame, links: DataFrame) -> DataFrame:
+    """(name, labels, ends) for a drafter: the system with all components (name), and each component with what it depends on and what uses it."""
+    near = links.select(F.col("src").alias("name"), "src", "dst").unionByName(links.select(F.col("dst").alias("name"), "src", "dst"))
+    near = near.unionByName(links.select(F.lit("system").alias("name"), "src", "dst"))
+    shown = names.select("name", F.col("name").alias("label")).unionByName(names.select(F.lit("system").alias("name"), F.col("name").alias("label")))
+    shown = shown.unionByName(near.select("name", F.explode(F.array("src", "dst")).alias("label")))
+    listed = lambda c: F.array_sort(F.collect_set(c))
+    ends = near.groupBy("name").agg(listed(F.struct("src", "dst")).alias("ends"))
+    return shown.groupBy("name").agg(listed("label").alias("labels")).join(ends, "name", "left")
 
-    def grow(up: str | None, depth: int) -> list[str]:
-        return [x for r in below.get(up, []) for x in ("  " * depth + f'("{r["path"] or "root"}: {r["text"]}")', *grow(r["node_id"], depth + 1))]
 
-    return "\n".join(["mindmap", *grow(None, 1)])
+def guide_pages(spark: SparkSession, records: DataFrame, title: str, focus: tuple[str, ...], words: tuple[str, ...]) -> DataFrame:
+    """Lines of a guide: what its focus depends on, then arch.guide_flows()."""
+    file = f"guides/{title.lower().replace(' ', '-')}.md"
+    flows = arch.guide_flows(records.select("component", F.explode("flows").alias("x")).select("component", "x.*"), focus, words)
+    shown = F.concat(F.lit("- "), "component", F.lit(", "), "category", F.lit(": `"), "entry_path", F.lit("` "), F.coalesce("entry_symbol", F.lit("")))
+    deps = arch.focus_dependencies(records.select(F.col("component").alias("node"), "deps"), focus)
+    told = F.concat(F.lit(f"In focus: {', '.join(focus)}. Depends on: "), _told(F.col("deps"), "nothing"), F.lit("."))
+    return fixed(spark, file, 0, f"# {title}", "").unionByName(lines(deps, F.lit(file), 1, told)).unionByName(fixed(spark, file, 2, "")).unionByName(lines(flows, F.lit(file), 3, shown, n=F.col("rank")))
 
 
-def guide(title: str, focus: tuple[str, ...], words: tuple[str, ...], comps: list, most: int = 15) -> str:
-    """Flows of the components in focus, then of others with one of the words, and what the focus depends on."""
-    found = [(r["component"] not in focus, r["component"], x) for r in comps for x in r["flows"] or [] if r["component"] in focus or any(w in (x["entry_path"] or "").lower() for w in words)]
-    found.sort(key=lambda f: (f[0], f[2]["place"], f[2]["entry_path"] or ""))
-    deps = sorted({d for r in comps if r["component"] in focus for d in r["deps"] or []} - set(focus))
-    lines = [f"# {title}", "", f"In focus: {', '.join(focus)}. Depends on: {', '.join(deps) or 'nothing'}.", ""]
-    return "\n".join(lines + [f"- {c}, {x['category']}: `{x['entry_path']}` {x['entry_symbol'] or ''}" for _, c, x in found[:most]]) + "\n"
+def folder_pages(folders: DataFrame, last: int) -> DataFrame:
+    """Lines of the mind map, of structure.json and of the overview's folders from arch.walked_folders(); ``last``: the greatest place."""
+    shown, place = F.coalesce(F.nullif("path", F.lit("")), F.lit("root")), F.col("place")
+    record = F.to_json(F.struct("node_id", "parent_id", "path", "files", "classes", "functions", "text"), {"ignoreNullFields": "false"})
+    each = lines(folders, F.lit("structure.json"), 1, F.concat(F.lit("  "), record, F.when(place < last, ",").otherwise("")), n=place)
+    each = each.unionByName(lines(folders, F.lit("diagrams/structure.mmd"), 1, F.col("line"), n=place))
+    return each.unionByName(lines(folders, F.lit("index.md"), 3, F.concat(F.lit("- `"), shown, F.lit("`: "), "text"), n=place))
 
 
 def describe(spark: SparkSession, index: str, out: str, config: DescribeConfig | None = None) -> dict[str, int]:
-    """Writes overview, component documents, diagrams and meta.json; gives the counts in it.
+    """Writes overview, file list, component documents, diagrams, guides and meta.json; gives the counts in it.
 
-    Documents are one for each component: what reaches the driver grows with the
-    architecture, not with the code.
+    Tasks write the documents; counts, and the names of written files, are all
+    that reaches the driver. An index without components but the root describes that.
     """
     config, files = config or DescribeConfig(), IndexFiles(spark, index)
     nodes, edges = tree.load_nodes(files.read("nodes")), files.edges()
     inside = nodes.filter("kind <> 'repo'")
     ends = materialize(package_edges(nodes, edges), "package-edges")
-    between = graph.component_edges(ends)
-    records = arch.component_records(inside, edges, ends).withColumn("stats", stats_text(files=F.col("files"), classes=F.col("classes"), functions=F.col("functions")))
-    comps = sorted(records.collect(), key=lambda r: r["component"])
-    used = {r["node"]: r["dependents"] for r in graph.dependents(between).collect()}
-    names = [r["component"] for r in comps if r["component"] not in ("root", ".")] or ["root"]
-    links = sorted((r["src"], r["dst"]) for r in between.collect())
-    system = spark.createDataFrame([("system", n) for n in names], "name string, label string")
-    drawn = mermaid.render(system, spark.createDataFrame([("system", a, b) for a, b in links], "name string, src string, dst string")).first()["text"]
-    diagrams = {"system": drawn}
+    between = materialize(graph.component_edges(ends), "component-edges")
+    counted = stats_text(files=F.col("files"), classes=F.col("classes"), functions=F.col("functions"))
+    used = graph.dependents(between).select(F.col("node").alias("component"), F.col("dependents").alias("used_by"))
+    records = materialize(arch.component_records(inside, edges, ends).withColumn("stats", counted).join(used, "component", "left"), "components")
+    names = records.filter("component not in ('root', '.')").select(F.col("component").alias("name"))
+    components = names.count()
+    if not components:
+        names, components = spark.createDataFrame([("root",)], "name string"), 1
+    folders = materialize(arch.walked_folders(arch.directory_summary(nodes).withColumn("text", counted)), "folders")
+    roles = role_pairs(inside).select(F.lit("roles").alias("name"), F.col("role").alias("src"), F.col("component").alias("dst"))
+
+    label = lambda name, c: names.select(F.lit(name).alias("name"), F.col(c).alias("label"))
+    system = mermaid.drawn(label("system", "name"), between.select(F.lit("system").alias("name"), "src", "dst"))
     by_pkg = arch.with_component(inside.filter("kind = 'pkg'")).select(F.col("component").alias("name"), F.col("path").alias("label"))
     own = arch.with_component(ends.withColumnRenamed("src", "path")).select(F.col("component").alias("name"), F.col("path").alias("src"), "dst")
-    diagrams |= {r["name"]: r["text"] for r in mermaid.render(by_pkg, own).collect()}
-    if config.draft and config.mode != "deterministic":
-        diagrams["system"] = drafted(spark, "system", names, links, config, drawn)
-    for r in comps:
-        part = [f"# {r['component']}", "", f"{r['stats']}, {r['loc']} lines. Roles: {', '.join(r['roles'] or []) or 'other'}.", "", f"Depends on: {', '.join(r['deps'] or []) or 'nothing'}. Used by: {', '.join(used.get(r['component'], [])) or 'nothing'}.", "", "## Files", ""]
-        part += [f"- `{x['path']}` ({x['loc']} lines)" for x in r["important_files"] or []]
-        part += ["", "## Flows", ""] + [f"- {x['category']}: `{x['entry_path']}` {x['entry_symbol'] or ''} calls {', '.join(x['calls']) or 'nothing'}" for x in r["flows"] or []]
-        write_text(spark, f"{out}/components/{r['component']}.md", "\n".join(part) + "\n")
-    for name, text in diagrams.items():
-        write_text(spark, f"{out}/diagrams/{name}.mmd", text + "\n")
-    tree_rows = arch.directory_summary(nodes).withColumn("text", stats_text(files=F.col("files"), classes=F.col("classes"), functions=F.col("functions"))).orderBy("path").collect()
-    clusters = role_clusters(inside).orderBy("role").collect()
-    top = nodes.filter("kind = 'file'").select("path", ellipsis(F.col("summary"), 140).alias("summary")).orderBy("path").limit(200).collect()
-    unlisted = nodes.filter("kind = 'file'").count() - len(top)
-    write_text(spark, f"{out}/structure.json", json.dumps([r.asDict() for r in tree_rows], ensure_ascii=False, indent=2))
-    write_text(spark, f"{out}/diagrams/structure.mmd", mindmap(tree_rows) + "\n")
-    pairs = [("roles", r["role"], c) for r in clusters for c in r["components"]]
-    if pairs:
-        ends_of = spark.createDataFrame(pairs, "name string, src string, dst string")
-        labels_of = spark.createDataFrame(sorted({("roles", x) for p in pairs for x in p[1:]}), "name string, label string")
-        write_text(spark, f"{out}/diagrams/roles.mmd", mermaid.render(labels_of, ends_of).first()["text"] + "\n")
-    for title, focus, words in config.guides:
-        write_text(spark, f"{out}/guides/{title.lower().replace(' ', '-')}.md", guide(title, focus, words, comps))
-    lines = ["# Overview", "", *[f"- [{n}](components/{n}.md)" for n in names], "", "## Folders", "", *[f"- `{r['path']}`: {r['text']}" for r in tree_rows], "", "## Roles", "", *[f"- {r['role']}: {', '.join(r['components'])}" for r in clusters]]
-    lines += ["", "## Files", "", *[f"- `{r['path']}` {r['summary'] or ''}".rstrip() for r in top], *([f"- and {unlisted} more files"] if unlisted else []), "", "```mermaid", diagrams["system"], "```"]
-    write_text(spark, f"{out}/index.md", "\n".join(lines) + "\n")
-    counts = files.read("meta").first().asDict() | {"components": len(names)}
+    diagrams = diagram_pages(system.unionByName(mermaid.drawn(by_pkg, own)))
+    if config.mode != "deterministic":
+        drafts, passed = redraft(wanted_diagrams(names, between), names.select(F.col("name").alias("label")), config.draft, coverage=config.coverage, most=config.redrafts, store=f"{index.rstrip('/')}/answers")
+        if passed:
+            diagrams = draft_pages(latest(drafts))
+        elif config.mode == "model":
+            raise RuntimeError(f"no drafts passed after {config.redrafts} rounds")
+    diagrams = materialize(diagrams, "diagrams")
+
+    by_role = roles.groupBy(F.col("src").alias("role")).agg(F.array_sort(F.collect_set("dst")).alias("components"))
+    listed = nodes.filter("kind = 'file'").select("path", F.coalesce(ellipsis(F.col("summary"), 140), F.lit("")).alias("summary"))
+    index_md = F.lit("index.md")
+    drawn_in = diagrams.filter("file = 'diagrams/system.mmd'")
+    pages = [
+        component_pages(records),
+        diagrams,
+        diagram_pages(mermaid.drawn(roles.select("name", F.explode(F.array("src", "dst")).alias("label")), roles)),
+        folder_pages(folders, folders.count() - 1),
+        fixed(spark, "structure.json", 0, "["),
+        fixed(spark, "structure.json", 2, "]"),
+        fixed(spark, "diagrams/structure.mmd", 0, "mindmap"),
+        fixed(spark, "index.md", 0, "# Overview", "", "All files: [files.md](files.md)", ""),
+        lines(names, index_md, 1, F.concat(F.lit("- ["), "name", F.lit("](components/"), "name", F.lit(".md)")), key=F.col("name")),
+        fixed(spark, "index.md", 2, "", "## Folders", ""),
+        fixed(spark, "index.md", 4, "", "## Roles", ""),
+        lines(by_role, index_md, 5, F.concat(F.lit("- "), "role", F.lit(": "), F.array_join("components", ", ")), key=F.col("role")),
+        fixed(spark, "index.md", 6, "", "```mermaid"),
+        drawn_in.withColumns({"file": index_md, "part": F.col("part") + 7}),
+        fixed(spark, "index.md", 9, "```"),
+        fixed(spark, "files.md", 0, "# Files", ""),
+        lines(listed, F.lit("files.md"), 1, F.rtrim(F.concat(F.lit("- `"), "path", F.lit("` "), "summary")), key=F.col("path")),
+        *[guide_pages(spark, records, *g) for g in config.guides],
+    ]
+    write_documents(reduce(DataFrame.unionByName, pages), out)
+    counts = files.read("meta").first().asDict() | {"components": components}
     write_text(spark, f"{out}/meta.json", json.dumps(counts, default=str))
     return counts

@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import pytest
 
@@ -62,13 +63,17 @@ def test_arch(spark, index, tmp_path, capsys):
     text = (tmp_path / "index.md").read_text()
     assert "graph TD" in text and "components/users.md" in text
     assert "orders --> users" in (tmp_path / "diagrams/system.mmd").read_text()
+    assert [r["path"] for r in json.loads((tmp_path / "structure.json").read_text())] == ["", ".", "src", "src/orders", "src/users"]
+    listed = [x for x in (tmp_path / "files.md").read_text().splitlines() if x.startswith("- ")]
+    assert listed == ["- `src/orders/__init__.py`", "- `src/orders/cli.py` from users import store", "- `src/users/store.py` Keeps users.", "- `src/users/web_routes.ts` export function get(req: Request) {"]
 
 
 def test_drafts(spark, index, tmp_path):
-    seen = []
+    asked = tmp_path / "asked"
+    asked.mkdir()
 
     def draft(name, labels, ends, faults):
-        seen.append(faults)
+        (asked / uuid.uuid4().hex).write_text(json.dumps([name, faults]))
         ids = "\n".join(f'{x}["{x}"]' for x in labels)
         return "graph TD\n" + ids + ("\nusers --> nowhere" if not faults else "".join(f"\n{a} --> {b}" for a, b in ends))
 
@@ -76,9 +81,14 @@ def test_drafts(spark, index, tmp_path):
     told = (tmp_path / "a/guides/order-flow.md").read_text()
     assert "Depends on: users." in told and "src/orders/cli.py" in told and "web_routes" in told
     assert (tmp_path / "a/diagrams/structure.mmd").read_text().startswith("mindmap") and "roles" not in (tmp_path / "a/diagrams/roles.mmd").read_text().splitlines()[0]
-    assert seen[0] is None and seen[1]["unknown_edges"] == 1 and seen[1]["unknown"] == 1 and len(seen) == 2
+    seen = [json.loads(x.read_text()) for x in asked.iterdir()]
+    assert sorted(n for n, f in seen if f is None) == sorted(n for n, f in seen if f) == ["orders", "system", "users"]
+    assert all(f == {"errors": [], "unknown_nodes": [], "unknown_edges": ["users->nowhere"], "missing": []} for _, f in seen if f)
+    assert (tmp_path / "a/diagrams/system.mmd").read_text() == 'graph TD\norders["orders"]\nusers["users"]\norders --> users\n'
     with pytest.raises(RuntimeError):
         describe.describe(spark, index, str(tmp_path / "b"), describe.DescribeConfig(draft=lambda *a: "graph TD", mode="model"))
+    with pytest.raises(ValueError):
+        describe.DescribeConfig(mode="hybrid")
 
 
 def test_export_and_models(spark, index):
