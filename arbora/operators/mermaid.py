@@ -123,12 +123,13 @@ def render(labels: DataFrame, ends: DataFrame, *, by: str = "name", header: str
 
 def faults(diagrams: DataFrame, allowed: DataFrame) -> DataFrame:
     """(name, errors, unknown_nodes, unknown_edges) of diagrams that have any: what a redraft must mend, as sorted lists."""
-    met = references(diagrams, allowed)
-    of_nodes = met.filter("defined and not known").groupBy("name").agg(F.array_sort(F.collect_set("label")).alias("unknown_nodes"))
     each = lines(diagrams)
-    ends = labelled_edges(nodes(each), edges(each)).select("name", "src", "dst", F.struct("line_no", "place", "times").alias("edge"))
-    bad = met.filter("not defined and not known").select("name", "edge").distinct()
-    of_edges = ends.join(bad, ["name", "edge"], "left_semi").groupBy("name").agg(F.array_sort(F.collect_set(F.concat("src", F.lit("->"), "dst"))).alias("unknown_edges"))
+    found = nodes(each)
+    ends = labelled_edges(found, edges(each)).select("name", F.explode(F.array("src", "dst")).alias("label"), F.concat("src", F.lit("->"), "dst").alias("edge"))
+    used = found.select("name", "label", F.lit(None).cast("string").alias("edge")).unionByName(ends)
+    unknown = used.join(allowed.select("label").distinct(), "label", "left_anti")
+    listed = lambda c: F.array_sort(F.collect_set(c))
+    of_labels = unknown.groupBy("name").agg(listed(F.when(F.col("edge").isNull(), F.col("label"))).alias("unknown_nodes"), listed("edge").alias("unknown_edges"))
     wrong = errors(diagrams).groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "error"))), lambda x: x["error"]).alias("errors"))
-    some = wrong.join(of_nodes, "name", "full").join(of_edges, "name", "full")
+    some = wrong.join(of_labels, "name", "full")
     return some.select("name", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("errors", "unknown_nodes", "unknown_edges")])

@@ -29,11 +29,11 @@ def mindmap_lines(spark, sf_dir):
     return arch.walked_folders(counted).select("place", "line")
 
 
-FOCUS, WORDS = ("france", "germany"), ("routes",)
+FOCUS, WORDS = ("nation_1", "nation_11"), ("routes",)
 
 
 @query(f"""WITH {tables.CODE_NODES}, {queries.COMP}, {queries.FLOWS.split('called AS')[0].rstrip().rstrip(',')},
-met AS (SELECT *, component NOT IN ('france', 'germany') AS other FROM placed WHERE place <= 12 AND (component IN ('france', 'germany') OR contains(path, 'routes')))
+met AS (SELECT *, component NOT IN ('nation_1', 'nation_11') AS other FROM placed WHERE place <= 12 AND (component IN ('nation_1', 'nation_11') OR contains(path, 'routes')))
 SELECT rank, component, category, entry_path, entry_symbol FROM (SELECT component, category, path AS entry_path, symbol AS entry_symbol, row_number() OVER (ORDER BY other, place, path, component) AS rank FROM met) WHERE rank <= 30""")
 def guide_flows(spark, sf_dir):
     """A guide's first 30 flows: those of two nations in focus, then those of others under routes."""
@@ -42,7 +42,7 @@ def guide_flows(spark, sf_dir):
 
 
 @query(f"""WITH {tables.CODE_NODES}, {tables.CALL_EDGES}, {queries.COMP}, ce AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM edges JOIN comp a ON a.node_id = src JOIN comp b ON b.node_id = dst)
-SELECT coalesce(array_to_string(list_sort(list(DISTINCT dst)), ','), '') AS deps FROM ce WHERE src IN ('france', 'germany') AND dst NOT IN ('france', 'germany')""")
+SELECT coalesce(array_to_string(list_sort(list(DISTINCT dst)), ','), '') AS deps FROM ce WHERE src IN ('nation_1', 'nation_11') AND dst NOT IN ('nation_1', 'nation_11')""")
 def focus_dependencies(spark, sf_dir):
     """What two nations' orders call in others."""
     n = tables.code_nodes(spark, sf_dir).select("node_id", "path")

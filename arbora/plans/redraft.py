@@ -66,19 +66,22 @@ def redraft(wanted: DataFrame, allowed: DataFrame, draft: Draft, *, coverage: fl
     store = store or new_path(spark, "drafts")
     none = F.array().cast("array<string>")
     wanted = materialize(wanted.select("name", F.coalesce("labels", none).alias("labels"), F.coalesce("ends", F.array().cast(wanted.schema["ends"].dataType)).alias("ends")), "wanted")
+    allowed = materialize(allowed.select("label").distinct(), "allowed")
+    total = allowed.count()
     todo, drafts, passes = wanted.withColumn("told", F.lit(None).cast("string")), None, False
     for turn in range(1, max(1, most) + 1):
         drawn = materialize(_draw(todo, draft, turn, store), "drafts")
         drafts = drawn if drafts is None else drafts.unionByName(drawn)
         now = materialize(latest(drafts), "latest")
-        summary = mermaid.summary(now, allowed, coverage).first()
-        passes = summary["passes"] and mermaid.faults(now, allowed).isEmpty()
+        shown = materialize(mermaid.nodes(mermaid.lines(now)).select("label").distinct(), "shown")
+        covers = not total or allowed.join(shown, "label", "left_semi").count() >= coverage * total
+        found = materialize(mermaid.faults(now, allowed), "faults")
+        passes = covers and found.isEmpty()
         if passes or turn == most:
             break
-        found = mermaid.faults(now, allowed).withColumn("missing", none)
-        if summary["coverage"] < coverage:
-            shown = mermaid.nodes(mermaid.lines(now)).select("label").distinct()
-            lacking = allowed.select("label").distinct().join(shown, "label", "left_anti")
+        found = found.withColumn("missing", none)
+        if not covers:
+            lacking = allowed.join(shown, "label", "left_anti")
             should = wanted.select("name", F.explode("labels").alias("label")).join(lacking, "label", "left_semi").groupBy("name").agg(F.array_sort(F.collect_set("label")).alias("missing"))
             found = found.drop("missing").join(should, "name", "full")
         fields = ("errors", "unknown_nodes", "unknown_edges", "missing")
