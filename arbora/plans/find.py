@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import html
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.operators import bm25, search, tree
+from arbora.plans import page
 from arbora.sources.sinks import IndexFiles, write_text
 
 
@@ -26,34 +26,11 @@ def find(spark: SparkSession, index: str, query: str, *, top: int = search.TOP,
     return answers.join(shown, "node_id").orderBy("rank"), steps
 
 
-def impact(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Functions and classes with their place among those of a file, and the distinct edges between them."""
-    from pyspark.sql import Window
-
-    from arbora.operators import graph
-
-    shown = nodes.filter("kind in ('func', 'class')").withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("ord", "node_id")))
-    return shown, graph.shown_edges(edges, shown.select(F.col("node_id").alias("id")))
-
-
 def report(spark: SparkSession, index: str, query: str, answers: DataFrame, steps: DataFrame) -> str:
-    """Writes results.json, trace.json and trace.html; their rows are bounded by top and budget. Gives the page's path."""
+    """Writes results.json and trace.json, whose rows are bounded by top and budget, and the page of all views, which tasks write. Gives the page's path."""
     best = [json.loads(x) for x in answers.toJSON().collect()]
     trace = [json.loads(x) for x in steps.orderBy("step").toJSON().collect()]
     write_text(spark, f"{index}/results.json", json.dumps({"query": query, "results": best}, ensure_ascii=False, indent=2))
     write_text(spark, f"{index}/trace.json", json.dumps(trace, ensure_ascii=False, indent=2))
-    cell = lambda x: f"<td>{html.escape(str('' if x is None else x))}</td>"
-
-    def rows(items: list[dict], names: tuple[str, ...]) -> str:
-        head = "".join(f"<th>{n}</th>" for n in names)
-        return f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(cell(x.get(n)) for n in names) + "</tr>" for x in items) + "</table>"
-
-    kinds = IndexFiles(spark, index).read("nodes").groupBy("kind").count().orderBy("kind").collect()
-    page = (
-        f"<!doctype html><meta charset=utf-8><title>{html.escape(query)}</title><h1>{html.escape(query)}</h1>"
-        f"<h2>Answers</h2>{rows(best, ('rank', 'kind', 'path', 'symbol', 'start_line', 'hybrid_score', 'score'))}"
-        f"<h2>Steps</h2>{rows(trace, ('step', 'event', 'node_id', 'score', 'reason'))}"
-        f"<h2>Index</h2>{rows([r.asDict() for r in kinds], ('kind', 'count'))}"
-    )
-    write_text(spark, f"{index}/trace.html", page)
-    return f"{index}/trace.html"
+    files = IndexFiles(spark, index)
+    return page.write(tree.load_nodes(files.read("nodes")), files.edges(), query, answers, steps, index)

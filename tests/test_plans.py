@@ -4,7 +4,7 @@ import uuid
 import pytest
 
 from arbora.functions import models
-from arbora.operators import search, tree
+from arbora.operators import search, trace, tree
 from arbora.plans import build, cli, describe, find
 from arbora.sources.sinks import IndexFiles, read_jsonl
 
@@ -52,8 +52,22 @@ def test_search_and_trace(spark, index, capsys):
         assert "write_order" in f.read()
     answers, steps = find.find(spark, index, "write order", judge=search.word_overlap)
     assert answers.first().symbol == "write_order" and steps.count() > 3
-    shown, edges = find.impact(IndexFiles(spark, index).read("nodes"), IndexFiles(spark, index).edges())
-    assert shown.count() == 4 and edges.count() >= 1  # main -> write_order
+    nodes = IndexFiles(spark, index).read("nodes")
+    placed, areas = trace.impact_map(nodes)
+    edges = trace.impact_edges(IndexFiles(spark, index).edges(), placed)
+    assert placed.count() == 4 and edges.count() >= 1 and areas.count() == 3  # main -> write_order
+    find.report(spark, index, "write <order>", answers, steps)
+    with open(f"{index}/trace.html") as f:
+        page = f.read().splitlines()
+    assert "<h1>write &lt;order&gt;</h1>" in page and [x for x in page if "class=card" in x][0].startswith("<div class=card><b>func</b> write_order")
+    rows = [x for x in page if x.startswith("<div class='n ")]
+    walked = [int(x.split("data-d=")[1].split(" ")[0]) for x in rows]
+    assert len(rows) == nodes.count() and walked[0] == 0 and all(b <= a + 1 for a, b in zip(walked, walked[1:], strict=False))
+    reached = {r.node_id: r for r in trace.reached(steps, "query").collect()}
+    assert sum("explored" in x for x in rows) == sum(r.explored for r in reached.values()) > 0 and sum("answer" in x for x in rows) == sum(r.answer for r in reached.values()) > 0
+    assert sum(x.startswith("<circle") for x in page) == 4 and sum(x.startswith("<line") for x in page) == edges.count()
+    told = [x for x in page if x.startswith("<div style='margin-left:")]
+    assert len(told) == steps.filter("event in ('evaluate', 'expand')").count() and ". evaluate" in told[0] and ". expand" in told[1] and "30px" in told[1]
 
 
 def test_arch(spark, index, tmp_path, capsys):
