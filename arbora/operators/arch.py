@@ -9,6 +9,8 @@ from arbora.functions import paths
 from arbora.operators import tree
 
 FLOWS, CALLS, FILES = 12, 15, 5
+#: Most packages and files that a component's context lists.
+CONTEXT_PACKAGES, CONTEXT_FILES = 20, 10
 
 
 def with_component(nodes: DataFrame) -> DataFrame:
@@ -38,6 +40,36 @@ def component_roles(nodes: DataFrame, rules: tuple = paths.COMPONENT_ROLES) -> D
     return told.withColumn("n", F.count("role").over(every)).filter("role is not null or n = 0").select("component", F.coalesce("role", F.lit("other")).alias("role"))
 
 
+def role_clusters(nodes: DataFrame) -> DataFrame:
+    """(role, components): sorted; a component of several roles stands under each."""
+    return component_roles(nodes).groupBy("role").agg(F.array_sort(F.collect_set("component")).alias("components"))
+
+
+def component_packages(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """(component, packages): paths of a component's packages, sorted; the first ``most`` of them."""
+    each = with_component(nodes.filter("kind = 'pkg' and path is not null")).select("component", "path").distinct()
+    if most is not None:
+        each = each.withColumn("_n", F.row_number().over(Window.partitionBy("component").orderBy("path"))).filter(F.col("_n") <= most)
+    return each.groupBy("component").agg(F.array_sort(F.collect_list("path")).alias("packages"))
+
+
+def component_context(nodes: DataFrame, edges: DataFrame, packages: int = CONTEXT_PACKAGES, files: int = CONTEXT_FILES) -> DataFrame:
+    """(component, packages, files, classes, functions, deps, dependents, roles, key_files): what a drafter is told of each component.
+
+    edges (src, dst) are between components; lists are empty where there is nothing,
+    and packages and key files are capped before they are gathered.
+    """
+    stats = component_stats(nodes).drop("loc")
+    roles = component_roles(nodes).groupBy("component").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+    best = important_files(with_component(nodes.filter("kind = 'file'")), "component", min(files, FILES)).groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("key_files"))
+    out = edges.filter("src <> dst").groupBy(F.col("src").alias("component")).agg(F.array_sort(F.collect_set("dst")).alias("deps"))
+    back = edges.filter("src <> dst").groupBy(F.col("dst").alias("component")).agg(F.array_sort(F.collect_set("src")).alias("dependents"))
+    for part in (component_packages(nodes, packages), out, back, roles, best):
+        stats = stats.join(part, "component", "left")
+    listed = ("packages", "deps", "dependents", "roles", "key_files")
+    return stats.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in listed})
+
+
 def package_roles(packages: DataFrame, files: DataFrame) -> DataFrame:
     """(node_id, roles) of packages by their path and their files' names (files: package, path)."""
     name = F.element_at(F.split(files["path"], "/"), -1)

@@ -153,7 +153,7 @@ def describe(spark: SparkSession, index: str, out: str, config: DescribeConfig |
             raise RuntimeError(f"no drafts passed after {config.redrafts} rounds")
     diagrams = materialize(diagrams, "diagrams")
 
-    by_role = roles.groupBy(F.col("src").alias("role")).agg(F.array_sort(F.collect_set("dst")).alias("components"))
+    by_role = arch.role_clusters(inside)
     listed = nodes.filter("kind = 'file'").select("path", F.coalesce(ellipsis(F.col("summary"), 140), F.lit("")).alias("summary"))
     index_md = F.lit("index.md")
     drawn_in = diagrams.filter("file = 'diagrams/system.mmd'")
