@@ -2,13 +2,22 @@
 
 The index is fitted on a bounded sample (FIT_ROWS rows, those of least hash):
 coarse centroids, a codebook for each slice of the residuals, and how many cells
-to probe, the least number whose recall on the sample reaches TUNED_RECALL.
-Every distinct vector is then put into its cell and encoded. Cells are gathered
-or split into blocks of about BLOCK_ROWS vectors; a query goes to the blocks of
-its nearest cells, is scored there by asymmetric distance tables, and the best
-RERANK of each block by exact inner products in double precision. Blocks with
-many queries are copied for every BLOCK_QUERIES of them, so a task holds one
-block and one set of queries.
+to probe first, the least number whose recall for TUNE_QUERIES of the queries
+reaches TUNED_RECALL on the sample. Every distinct vector is then put into its
+cell and encoded, with the error of its code. Cells are gathered or split into
+blocks of about BLOCK_ROWS vectors; a query goes to the blocks of its nearest
+cells and is scored there by asymmetric distance tables. The best RERANK of a
+block get exact inner products in double precision, and so does every other
+vector that could reach the best of them by its score and the error of its code.
+A second round visits the cells left out that could hold a better answer by
+their centre and the distance of their farthest vector. Both bounds are those of
+Cauchy and Schwarz, so no answer is lost, whatever the rows; where vectors have
+no structure, they leave out little. Blocks with many queries are copied for
+every BLOCK_QUERIES of them, so a task holds one block and one set of queries.
+
+The index holds vectors divided by their largest component, and compares
+directions of queries, so that single precision is enough for it at any
+magnitude; each code's error includes the rounding.
 
 Copies of a vector count once: with the least ids of each kept, as many as an
 answer can need, copies add no work and lose no answer.
@@ -68,8 +77,8 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + 8192] @ c.T - half, axis=1) for i in range(0, len(x), 8192)]) if len(x) else np.zeros(0, np.int64)
 
 
-def fit(sample: np.ndarray, rows: int, k: int = 20) -> Model:
-    """Fits to a sample of ``rows`` distinct vectors."""
+def fit(sample: np.ndarray, rows: int, k: int = 20, asked: np.ndarray | None = None) -> Model:
+    """Fits to a sample of ``rows`` distinct vectors. asked: some of the queries; without them, rows of the sample stand in."""
     cells = min(MOST_CELLS, len(sample) // 8, int(2 * rows**0.5))
     centres = _k_means(sample, max(1, cells))
     own = _nearest(sample, centres)
@@ -80,11 +89,15 @@ def fit(sample: np.ndarray, rows: int, k: int = 20) -> Model:
     for s in range(SLICES):
         book = _k_means(left[:, s * width : (s + 1) * width], CODES, rounds=8)
         books[s, : len(book)], books[s, len(book) :] = book, book[-1]
-    tried = np.random.default_rng(3).choice(len(sample), min(TUNE_QUERIES, len(sample)), replace=False)
-    scores = sample[tried] @ sample.T
-    scores[np.arange(len(tried)), tried] = -np.inf
+    if asked is None or not len(asked):
+        asked = sample[np.random.default_rng(3).choice(len(sample), min(TUNE_QUERIES, len(sample)), replace=False)]
+    scores = asked @ sample.T
+    at = {x.tobytes(): i for i, x in enumerate(sample)}
+    for i, x in enumerate(asked):  # a query is no answer to itself
+        if x.tobytes() in at:
+            scores[i, at[x.tobytes()]] = -np.inf
     top = np.argsort(-scores, axis=1)[:, : min(k, len(sample) - 1)]
-    rank = np.argsort(np.argsort(-(sample[tried] @ centres.T), axis=1), axis=1)
+    rank = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)
     met = np.sort(np.take_along_axis(rank, own[top], axis=1).ravel()) if top.size else np.zeros(1, np.int64)
     probes = int(met[min(len(met) - 1, int(np.ceil(TUNED_RECALL * len(met))))]) + 1
     return Model(centres.astype(np.float32), books, min(probes, len(centres)))
@@ -95,8 +108,29 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
-def _floats(column: pa.Array, d: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, d)
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _directions(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Queries divided by their largest component, and those."""
+    size = np.abs(q).max(axis=1).astype(np.float64)
+    return q / size[:, None], size
+
+
+def _encode(x: np.ndarray, m: Model) -> tuple[np.ndarray, ...]:
+    """Cell, code, and error of the score by them for a query of length 1, of vectors as the index holds them; their distance from the centre."""
+    d, width = x.shape[1], m.books.shape[2]
+    near = x.astype(np.float32)
+    cell = _nearest(near, m.centres)
+    left = np.pad(near - m.centres[cell], ((0, 0), (0, SLICES * width - d)))
+    code = np.stack([_nearest(left[:, s * width : (s + 1) * width], m.books[s]) for s in range(SLICES)], axis=1).astype(np.uint8)
+    told = np.concatenate([m.books[s][code[:, s]] for s in range(SLICES)], axis=1)[:, :d].astype(np.float64)
+    off = x - m.centres[cell].astype(np.float64)
+    length = lambda v: np.sqrt((v * v).sum(axis=1))
+    # what rounding to 24 bits adds: a share of the lengths that are summed up
+    rounding = (d + 64) * 2.0**-23 * (length(m.centres[cell].astype(np.float64)) + 4 * length(told))
+    return cell, code, (length(off - told) + rounding) * (1 + 1e-6), length(off) * (1 + 1e-6)
 
 
 def _probed(q: np.ndarray, model: Model, sizes: np.ndarray) -> list[np.ndarray]:
@@ -106,10 +140,55 @@ def _probed(q: np.ndarray, model: Model, sizes: np.ndarray) -> list[np.ndarray]:
     return [row[: max(model.probes, n)] for row, n in zip(order, enough, strict=True)]
 
 
+def _could(q: np.ndarray, floor: np.ndarray, model: Model, reach: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether a cell could hold a vector that reaches ``floor``, by query and cell. reach, most: of each cell, the largest distance from the centre and the largest length."""
+    length = np.sqrt((q * q).sum(axis=1))[:, None]
+    bound = np.minimum(q @ model.centres.T.astype(np.float64) + length * reach, length * most)
+    return bound + 1e-9 * length * most >= floor[:, None]
+
+
+def _exact(x: np.ndarray, q: np.ndarray, row: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Inner products of pairs in double precision, some at once."""
+    step = max(1, (1 << 22) // x.shape[1])
+    parts = [np.einsum("pd,pd->p", x[row[i : i + step]], q[of[i : i + step]]) for i in range(0, len(row), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _best_of(x: np.ndarray, q: np.ndarray, score: np.ndarray, error: np.ndarray, unit: np.ndarray, floor: np.ndarray, rep: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """(query, row, inner product) of the ``depth`` best rows for each query, all that are in question by ``score`` and ``error``.
+
+    score: by query and row, of codes, minus infinity where a row is not asked; error: how far it may be off.
+    unit: what a score times it is as an inner product. floor: inner products below it are no answers.
+    """
+    n = min(max(RERANK, depth), score.shape[1])
+    first = np.argpartition(-score, n - 1, axis=1)[:, :n]
+    of = np.repeat(np.arange(len(q)), n)
+    row = first.ravel()
+    got = _exact(x, q, row, of)
+    got[score[of, row] == -np.inf] = -np.inf
+    asked_floor = np.maximum(floor, np.finfo(np.float64).min)
+    if n >= depth:
+        floor = np.maximum(floor, np.partition(got.reshape(len(q), n), n - depth, axis=1)[:, n - depth])
+    open_ = score + error >= (floor / np.maximum(unit, 5e-324) * (1 - 1e-9 * np.sign(floor)))[:, None]
+    open_ &= score > -np.inf
+    np.put_along_axis(open_, first, False, axis=1)
+    more_of, more_row = np.nonzero(open_)
+    of, row = np.concatenate([of, more_of]), np.concatenate([row, more_row])
+    got = np.concatenate([got, _exact(x, q, more_row, more_of)])
+    keep = (got > -np.inf) & (got >= (asked_floor - 1e-12 * np.abs(asked_floor))[of])  # the rest are no answers, and aren't moved
+    of, row, got = of[keep], row[keep], got[keep]
+    order = np.lexsort((rep[row], -got, of))
+    of, row, got = of[order], row[order], got[order]
+    keep = np.arange(len(of)) - np.searchsorted(of, of) < depth
+    return of[keep], row[keep], got[keep]
+
+
 def search(table: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score, query_key) for the rows of ``table`` that ``queries`` picks (a condition on the column ``vec_id``), against all other rows."""
     spark = table.sparkSession
-    rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    single = table.schema[vector].dataType.elementType.typeName() == "float"
+    kind, real = ("array<float>", np.float32) if single else ("array<double>", np.float64)
+    rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toPandas()["v"]  # bounded by FIT_ROWS
     lengths = sample.map(len)
     d = int(lengths.mode().iloc[0]) if len(sample) else 1
@@ -117,27 +196,29 @@ def search(table: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec
     # the least k + 1 ids of each vector; taken in each task before the shuffle
     held = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     base = materialize(held.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumns({"rep": F.col("ids")[0], "vec": F.xxhash64("v")}), "vectors")
-    count = base.count()
+    count, scale = base.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs))).cast("double")).first()
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_key long")
-    model = fit(np.unique(np.stack(sample[lengths == d]).astype(np.float32), axis=0), count, k)
+    asked = rows.filter(queries).select("vec_id", "v")
+    tried = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TUNE_QUERIES).toPandas()["v"]  # bounded by TUNE_QUERIES
+    held_as = lambda v: (np.stack(v).astype(np.float64) / scale).astype(np.float32)
+    model = fit(np.unique(held_as(sample[lengths == d]), axis=0), count, k, held_as(tried) if len(tried) else None)
     cells = len(model.centres)
     shared = spark.sparkContext.broadcast(model)
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            x = _floats(b.column("v"), d)
-            cell = _nearest(x, m.centres)
-            width = m.books.shape[2]
-            left = np.pad(x - m.centres[cell], ((0, 0), (0, SLICES * width - d)))
-            code = np.stack([_nearest(left[:, s * width : (s + 1) * width], m.books[s]) for s in range(SLICES)], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column("vec"), b.column("rep"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["vec", "rep", "cell", "code", "x"])
-
-    index = materialize(base.select("vec", "rep", "v").mapInArrow(assign, "vec long, rep long, cell int, code binary, x binary"), "ivf")
-    sizes = np.zeros(cells, np.int64)
-    for r in index.groupBy("cell").count().collect():  # one row for each cell, MOST_CELLS at most
-        sizes[r["cell"]] = r["count"]
+            x = _matrix(b.column("v"), d)
+            held = x.astype(np.float64) / scale
+            cell, code, error, reach = _encode(held, shared.value)
+            length = np.sqrt((held * held).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([b.column("vec"), b.column("rep"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(error), pa.array(reach), pa.array(length)], ["vec", "rep", "cell", "code", "x", "error", "reach", "length"])
+
+    index = materialize(base.select("vec", "rep", "v").mapInArrow(assign, "vec long, rep long, cell int, code binary, x binary, error double, reach double, length double"), "ivf")
+    sizes, reach, most = np.zeros(cells, np.int64), np.full(cells, -np.inf), np.full(cells, -np.inf)
+    for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach"), F.max("length").alias("length")).collect():  # one row for each cell, MOST_CELLS at most
+        sizes[r["cell"]], reach[r["cell"]], most[r["cell"]] = r["n"], r["reach"], r["length"]
+    index = index.drop("reach", "length")
     first, parts, block, room = np.zeros(cells, np.int64), np.ones(cells, np.int64), 0, BLOCK_ROWS
     along = np.argsort(model.centres @ np.linalg.svd(model.centres, full_matrices=False)[2][0], kind="stable")
     for c in along:  # cells that lie together share a block; large ones have several
@@ -150,29 +231,40 @@ def search(table: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec
     table_of = lambda a: F.array(*[F.lit(int(v)) for v in a])
     placed = index.withColumn("block", F.get(table_of(first), F.col("cell")) + F.pmod("vec", F.get(table_of(parts), F.col("cell"))).cast("int"))
 
-    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells of the first round."""
         for b in batches:
-            x = _floats(b.column("v"), d)
-            who, where, which, what = [], [], [], []
-            for q, vec, near in zip(b.column("vec").to_pylist(), x, _probed(x, m, sizes), strict=True):
-                by: dict[int, list[int]] = {}
-                for c in near.tolist():
-                    for p in range(parts[c]):
-                        by.setdefault(int(first[c] + p), []).append(c)
-                for at, cs in by.items():
-                    who.append(q)
-                    where.append(at)
-                    which.append(np.array(cs, np.int16).tobytes())
-                    what.append(vec.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(where, pa.int32()), pa.array(which, pa.binary()), pa.array(what, pa.binary())], ["q", "block", "cells", "x"])
+            x = _matrix(b.column("v"), d)
+            near = _probed(_directions(x)[0], shared.value, sizes)
+            yield pa.RecordBatch.from_arrays([b.column("vec"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.astype(np.int16).tobytes() for c in near], pa.binary())], ["q", "x", "near"])
+
+    def deal(again: bool):
+        """A row for each query and block of its cells; again: of the cells that were not probed and could hold what reaches ``floor``."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found: list[tuple] = []
+                x = np.frombuffer(b"".join(b.column("x").to_pylist()), real).reshape(-1, d)
+                floor = b.column("floor").to_numpy(zero_copy_only=False)
+                if again and len(x):
+                    q, size = _directions(x)
+                    could = _could(q, floor / np.maximum(size * scale, 5e-324), shared.value, reach, most) & (sizes > 0)
+                for i, near in enumerate(b.column("near").to_pylist()):
+                    chosen = np.frombuffer(near, np.int16)
+                    if again:
+                        could[i, chosen] = False
+                        chosen = np.flatnonzero(could[i])
+                    by: dict[int, list[int]] = {}
+                    for c in chosen.tolist():
+                        for p in range(parts[c]):
+                            by.setdefault(int(first[c] + p), []).append(c)
+                    found += [(i, at, np.array(cs, np.int16).tobytes()) for at, cs in by.items()]
+                who, where, which = zip(*found, strict=True) if found else ((), (), ())
+                who = pa.array(who, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("q").take(who), pa.array(where, pa.int32()), pa.array(which, pa.binary()), b.column("x").take(who), b.column("floor").take(who)], ["q", "block", "cells", "x", "floor"])
+
+        return run
 
-    asked = rows.filter(queries).select("vec_id", "v")
-    asked_vectors = asked.select("v").distinct().join(base.select("v", "vec"), "v")
-    sent = materialize(asked_vectors.select("vec", "v").mapInArrow(send, "q long, block int, cells binary, x binary"), "ivf-queries")
-    copies = sent.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("copies"))
-    left = placed.join(copies, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-    right = sent.join(copies, "block").withColumn("part", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int")).drop("copies")
     # an id's own vectors are no answers to it: one of more vectors needs that much more depth
     own = asked.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
     depth = k + own
@@ -182,13 +274,15 @@ def search(table: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec
         out = []
         if len(rows) and len(qs):
             rows = rows.sort_values(["rep", "vec"])
-            vec, rep, cell = (rows[c].to_numpy() for c in ("vec", "rep", "cell"))
+            vec, rep, cell, error = (rows[c].to_numpy() for c in ("vec", "rep", "cell", "error"))
             code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(-1, SLICES)
-            x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, d).astype(np.float64)
+            x = np.frombuffer(b"".join(rows["x"]), real).reshape(-1, d).astype(np.float64)
             width = m.books.shape[2]
             for at in range(0, len(qs), 256):
                 part = qs.iloc[at : at + 256]
-                q = np.frombuffer(b"".join(part["x"]), np.float32).reshape(-1, d)
+                original = np.frombuffer(b"".join(part["x"]), real).reshape(-1, d).astype(np.float64)
+                towards, size = _directions(original)
+                q = towards.astype(np.float32)
                 s = (q @ m.centres.T)[:, cell]
                 slices = np.pad(q, ((0, 0), (0, SLICES * width - d))).reshape(len(q), SLICES, width)
                 for j in range(SLICES):  # the asymmetric tables: the query's slice against each code
@@ -197,19 +291,29 @@ def search(table: DataFrame, queries: Column, *, k: int = 20, vec_id: str = "vec
                     probed = np.zeros(len(m.centres), bool)
                     probed[np.frombuffer(near, np.int16)] = True
                     s[i, ~probed[cell]] = -np.inf
-                n = min(max(RERANK, depth), s.shape[1])
-                best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                exact = np.einsum("qkd,qd->qk", x[best], q.astype(np.float64))
-                exact[np.take_along_axis(s, best, 1) == -np.inf] = -np.inf
-                order = np.lexsort((rep[best], -exact), axis=1)[:, :depth]
-                score = np.take_along_axis(exact, order, 1)
-                found = np.take_along_axis(best, order, 1).ravel()
-                out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), order.shape[1]), "vec": vec[found], "rep": rep[found], "score": score.ravel()}))
-        got = pd.concat(out) if out else pd.DataFrame({"q": [], "vec": [], "rep": [], "score": []})
-        return got[got["score"] > -np.inf]
-
-    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(scan, "q long, vec long, rep long, score double")
-    best = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep", "vec"))).filter(F.col("n") <= depth).drop("n", "rep")
+                off = np.sqrt((towards * towards).sum(axis=1))[:, None] * error
+                of, found, score = _best_of(x, original, s, off, size * scale, part["floor"].to_numpy(), rep, depth)
+                out.append(pd.DataFrame({"q": part["q"].to_numpy()[of], "vec": vec[found], "rep": rep[found], "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "vec": [], "rep": [], "score": []})
+
+    def scanned(dealt: DataFrame) -> DataFrame:
+        sent = materialize(dealt, "ivf-queries")
+        copies = sent.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("copies"))
+        left = placed.join(copies, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+        right = sent.join(copies, "block").withColumn("part", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int")).drop("copies")
+        return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(scan, "q long, vec long, rep long, score double")
+
+    def leading(near: DataFrame) -> DataFrame:
+        return near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep", "vec"))).filter(F.col("n") <= depth).drop("n")
+
+    sent_schema = "q long, block int, cells binary, x binary, floor double"
+    asked_vectors = asked.select("v").distinct().join(base.select("v", "vec"), "v")
+    probes = materialize(asked_vectors.select("vec", "v").mapInArrow(probe, "q long, x binary, near binary"), "probes")
+    nothing = F.lit(float("-inf"))
+    near = materialize(leading(scanned(probes.withColumn("floor", nothing).mapInArrow(deal(False), sent_schema))), "found-first")
+    floors = near.groupBy("q").agg(F.when(F.count("*") >= depth, F.min("score")).alias("floor"))
+    left_out = probes.join(floors, "q", "left").withColumn("floor", F.coalesce("floor", nothing))
+    best = leading(near.unionByName(scanned(left_out.mapInArrow(deal(True), sent_schema)))).drop("rep")
     answers = best.join(base.select("vec", "ids"), "vec").select("q", "score", F.explode("ids").alias("vec_id"))
     answers = materialize(answers.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= depth).drop("n"), "answers")
     of = materialize(asked.join(base.select("v", F.col("vec").alias("q")), "v").select(F.col("vec_id").alias("query_id"), "q", F.col("q").alias("query_key")), "queries")

@@ -67,6 +67,46 @@ def test_small_tables_have_cells_and_probe_some_of_them(spark):
         assert len(model.centres) > 20 and model.probes < len(model.centres)
 
 
+def hard_rows(kind, n=3000):
+    rng = np.random.default_rng(5)
+    if kind == "wide":
+        return rng.normal(size=(n, 384))
+    x = rng.normal(size=(n, 32))
+    if kind == "queries elsewhere":
+        x[::20] = 0.1 * x[::20] + 3
+    elif kind == "huge":
+        x *= 1e22
+    elif kind == "tiny":
+        x *= 1e-25
+    elif kind == "tight clusters":
+        x = x[rng.integers(0, 200, n)] + 0.05 * rng.normal(size=(n, 32))
+    elif kind == "scales":
+        x *= 10.0 ** rng.uniform(-3, 3, (n, 1))
+    elif kind == "ties":
+        x = np.round(x[:, :8])
+    elif kind == "doubles":
+        x = 1 + 1e-9 * x
+    return x
+
+
+@pytest.mark.parametrize("kind", ["wide", "queries elsewhere", "huge", "tiny", "tight clusters", "scales", "ties", "doubles"])
+def test_no_answer_is_lost_whatever_the_rows(spark, kind):
+    x = hard_rows(kind)
+    x = x if kind == "doubles" else x.astype(np.float32).astype(np.float64)
+    element = "double" if kind == "doubles" else "float"
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], f"vec_id long, embedding array<{element}>").repartition(4)
+    got = defaultdict(dict)
+    for r in ann_ivfpq.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id][r["rank"]] = (r.vec_id, r.score)
+    for q, answers in exact(list(enumerate(x.tolist()))).items():
+        assert sorted(got[q]) == list(range(1, 21))
+        last, found = answers[-1][1], {i for i, _ in got[q].values()}
+        slack = 1e-13 * np.linalg.norm(x[q]) * np.linalg.norm(x, axis=1).max()  # sums of other orders
+        assert all(i in found for i, s in answers if s > last + slack or kind == "ties"), (q, len(found & {i for i, _ in answers}))
+        for rank, (i, s) in enumerate(answers, 1):
+            assert abs(got[q][rank][1] - s) <= slack
+
+
 def test_rows_of_one_id(spark):
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(60)] + [(20, [9.0, 0.0, 0.0, 0.0]), (20, [0.0, 9.0, 0.0, 0.0])]
