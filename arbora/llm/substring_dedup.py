@@ -31,16 +31,19 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, words
+from .common import materialize, release
 
 WINDOW = 35
 #: Lengths below the window's; each doubles the one before, and the window at most doubles the last.
 LEVELS = (9, 18)
 #: Windows that are handled at once: what bounds a task's memory.
 CHUNK = 1 << 19
+#: Bytes of text whose words are hashed at once.
+PORTION = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 RUN_SCHEMA = "doc_id long, text_key long, p int, n int, h long, span long"
 _powers: dict[int, np.ndarray] = {}
@@ -112,6 +115,31 @@ def _parts(sizes: np.ndarray, marks: list | None, window: int) -> Iterator[list[
         yield portion
 
 
+def _portions(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The words' hashes in place of the text, for texts of a window at least, a portion of texts at a time; each different word of it is hashed once."""
+    for batch in batches:
+        text = batch.column("text")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < len(text):
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, side="right")) - at)
+            part = batch.slice(at, n)
+            at += n
+            split = pc.ascii_split_whitespace(part.column("text"))
+            coded = pc.dictionary_encode(split.flatten())
+            code, known = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
+            real = np.array([bool(w) for w in known], bool)[code]  # a text that begins or ends with blanks has empty words there
+            hashes = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in known), np.int64)[code[real]]
+            bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())])
+            bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+            enough = np.diff(bounds) >= window
+            hashed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes))
+            names = [x for x in part.schema.names if x != "text"]
+            out = pa.RecordBatch.from_arrays([*[part.column(x) for x in names], hashed], [*names, "hashes"])
+            if enough.any():
+                yield out if enough.all() else out.filter(pa.array(enough))
+
+
 def _level(length: int, window: int, given: bool, last: bool) -> Callable:
     """The task of one level. given: only the windows in ``runs`` are looked at. last: the windows' own hashes come with the runs."""
 
@@ -153,9 +181,9 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """The words' hashes in place of the text."""
-    return rows.withColumn("hashes", F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).drop("text")
+def _of_texts(level: Callable, window: int) -> Callable:
+    """A level's task on texts. Their words are split and hashed in it: as arrays of strings they would fill the executor's heap."""
+    return lambda batches: level(_portions(batches, window))
 
 
 def _settled(t: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -173,12 +201,12 @@ def _settled(t: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
 def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, levels: tuple[int, int] = LEVELS) -> DataFrame:
     """(doc_id, text_key, p, n): the n windows from word p on are repeated. Rows may overlap."""
     keyed = _keyed(docs, doc_id, text)
-    long_enough = _hashed(keyed)
-    t = materialize(long_enough.filter(F.size("hashes") >= window).mapInArrow(_level(levels[0], window, False, False), RUN_SCHEMA), "runs")
+    long_enough = keyed.filter(F.octet_length("text") >= 2 * window - 1)
+    t = materialize(long_enough.mapInArrow(_of_texts(_level(levels[0], window, False, False), window), RUN_SCHEMA), "runs")
     twice, other, held = _settled(t)
     alive = other.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("runs"))
     joined = keyed.alias("l").join(alive.hint("shuffle_hash").alias("r"), F.expr(_same("l", "r"))).select("l.*", "r.runs")
-    again = materialize(_hashed(joined).mapInArrow(_level(levels[1], window, True, True), RUN_SCHEMA + ", a array<long>, b array<long>"), "runs")
+    again = materialize(joined.mapInArrow(_of_texts(_level(levels[1], window, True, True), window), RUN_SCHEMA + ", a array<long>, b array<long>"), "runs")
     twice2, other2, held2 = _settled(again)
     each = other2.select("doc_id", "text_key", "p", F.posexplode(F.arrays_zip("a", "b")).alias("k", "w")).select("doc_id", "text_key", (F.col("p") + F.col("k")).alias("p"), "w.a", "w.b")
     each = materialize(each, "windows")

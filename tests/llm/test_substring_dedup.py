@@ -81,6 +81,26 @@ def test_small_portions_change_nothing(monkeypatch):
     assert count() == whole == 3000 - 34 + 50 - 34
 
 
+def test_tasks_take_texts_and_hold_words_of_some_at_once(spark, make_docs, monkeypatch):
+    import pyarrow as pa
+
+    from arbora.llm.common import table
+
+    texts = [" ".join(f"w{i}_{k % 90}" for k in range(400)) for i in range(200)] + [None, "", "  \n", " lead " * 40, "é\u00a0x " * 36, "a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    whole = list(substring_dedup._portions([batch], 35))
+    monkeypatch.setattr(substring_dedup, "PORTION", 10_000)
+    parts = list(substring_dedup._portions([batch], 35))
+    assert len(parts) > 50 and max(len(p.column("hashes").flatten()) for p in parts) < 10_000
+    assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches(whole).to_pylist()
+    assert [len(x) for x in pa.Table.from_batches(whole).column("hashes").to_pylist()] == [400] * 200 + [40, 36]
+    seen = []
+    real = substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, label: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, label))
+    substring_dedup.repeated_windows(table(spark, SMALL, "documents"))
+    assert not any("split(" in plan for plan in seen)  # no arrays of words in the executor's heap
+
+
 def test_equal_ids_with_different_texts_of_one_short_hash(spark, make_docs):
     text = lambda k, n=40: " ".join(f"w{k}_{i}" for i in range(n))
     texts = [text(60599), text(60599), text(114291), text(8151), text(253507), "one " * 3 + text(8151, 38), text(18968), text(295572)]
