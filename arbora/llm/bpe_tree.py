@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -48,6 +49,7 @@ class TreeEncoder:
     def __init__(self, path: str, leaf: int = LEAF) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.leaf = leaf
@@ -59,6 +61,9 @@ class TreeEncoder:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        #: Each id in digits and its token.
+        n = max(self.full.get_vocab(with_added_tokens=True).values(), default=-1) + 1
+        self.digits, self.names = [str(i) for i in range(n)], [self.full.id_to_token(i) for i in range(n)]
         ids = lambda t: self.full.encode(t, add_special_tokens=False).ids
         self.lowers = ids("QzJ KIT") == ids("qzj kit")
         self.closes = all(ids(f"ab{c}") == ids(f"ab {c}") and ids(f"1{c}") == ids(f"1 {c}") for c in ".,")
@@ -115,13 +120,19 @@ class TreeEncoder:
     def runs(self, wanted: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
         """For each run of characters between blanks: its ids and its tokens, each joined by blanks."""
         short = [w for w in wanted if len(w) <= self.leaf]
-        ids = dict(zip(short, (e.ids for e in self.full.encode_batch([w.decode() for w in short], add_special_tokens=False)), strict=True))
+        ids = dict(zip(short, (e.ids for e in self.full.encode_batch_fast([w.decode() for w in short], add_special_tokens=False)), strict=True))
         ids |= {w: self.long_run(w.decode()) for w in wanted if len(w) > self.leaf}
-        return {w: (" ".join(map(str, x)).encode(), self.decode(x).encode()) for w, x in ids.items()}
+        return {w: self.told(x) for w, x in ids.items()}
+
+    def told(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """Ids and their tokens, each joined by blanks."""
+        if len(ids) == 1:
+            return self.digits[ids[0]].encode(), self.names[ids[0]].encode()
+        return " ".join([self.digits[i] for i in ids]).encode(), self.decode(ids).encode()
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by blanks, special ones included: what the library does for a vocabulary without a decoder."""
-        return " ".join(map(self.full.id_to_token, ids))
+        return " ".join([self.names[i] for i in ids])
 
     def plain(self, body: bytes) -> bytes:
         """A text with blanks alone between runs, and with what the vocabulary treats alike made equal, so that fewer runs are new.
@@ -162,8 +173,8 @@ class TreeEncoder:
 
     def encoded(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Ids and tokens, each joined by blanks, of texts that are encoded as they are."""
-        found = self.full.encode_batch([t.decode() for t in texts], add_special_tokens=False)
-        return [(" ".join(map(str, e.ids)).encode(), self.decode(e.ids).encode()) for e in found]
+        found = self.full.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [self.told(e.ids) for e in found]
 
     def concatenate(self, pairs: list[tuple[list[bytes], list[bytes], bool]], known: dict, once: dict) -> list[list[bytes]]:
         """Joins pairs of parts (runs, runs, whether the last and the first touch), whose runs are in one of the tables; windows are added to ``once``."""
@@ -194,10 +205,11 @@ class TreeEncoder:
         bodies = [self.plain(b) for b in bodies]
         each = [self.leaves(b) for b in bodies]
         nodes = [[(body[a:b].split(), a, b) for a, b in leaves] for body, leaves in zip(bodies, each, strict=True)]
-        seen = {w for parts in nodes for ws, _, _ in parts for w in ws}
-        if len(self.known) + len(seen) > REMEMBERED:
+        seen = set().union(*[ws for parts in nodes for ws, _, _ in parts])
+        unknown = seen.difference(self.known)
+        if len(self.known) + len(unknown) > REMEMBERED:
             self.known = {w: x for w in seen if (x := self.known.get(w))}
-        new = self.runs([w for w in seen if w not in self.known])
+        new = self.runs(list(unknown))
         known = self.known
         known.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
         once = {w: x for w, x in new.items() if len(w) > LONGEST}  # long runs and windows aren't remembered
@@ -211,9 +223,14 @@ class TreeEncoder:
             for parts in nodes:
                 up = [(next(joined) if left[0] and right[0] else left[0] + right[0], left[1], right[2]) for left, right in zip(parts[::2], parts[1::2])]  # noqa: B905
                 parts[:] = up + parts[2 * len(up) :]
+        told = (known | once).__getitem__
         for parts, leaves in zip(nodes, each, strict=True):
-            found = [x for w in parts[0][0] if (x := known.get(w) or once[w])[0]]
-            yield b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found]), len(leaves) - 1
+            found = list(map(told, parts[0][0]))
+            ids = [x[0] for x in found]
+            if b"" in ids:  # runs without tokens
+                found = [x for x in found if x[0]]
+                ids = [x[0] for x in found]
+            yield b" ".join(ids), b" ".join([x[1] for x in found]), len(leaves) - 1
 
 
 _encoders: dict[tuple[str, int], TreeEncoder] = {}

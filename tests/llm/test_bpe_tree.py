@@ -1,5 +1,9 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -114,3 +118,24 @@ def test_forgetting(library, monkeypatch):
     for t in ("one two three four", "two five six seven", "x" * 100 + " one", "one two"):
         ids = library.encode(t, add_special_tokens=False).ids
         assert next(enc.texts([t.encode()]))[0].decode() == " ".join(map(str, ids))
+
+
+def test_a_portion_of_known_runs_forgets_none(monkeypatch):
+    monkeypatch.setattr(bpe_tree, "REMEMBERED", 8)
+    enc = bpe_tree.TreeEncoder(PATH)
+    for t in (b"one two three four five six", b"one two three four five"):
+        list(enc.texts([t]))
+    assert b"six" in enc.known
+
+
+def test_a_task_encodes_on_its_own_thread():
+    code = f"""
+import os
+from arbora.llm import bpe_tree
+enc = bpe_tree.TreeEncoder({PATH!r})
+before = len(os.listdir("/proc/self/task"))
+list(enc.texts([" ".join(f"word{{i}}" for i in range(5000)).encode()] * 4))
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    assert subprocess.run([sys.executable, "-c", code], env=env, cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True).stdout.strip() == "0"
