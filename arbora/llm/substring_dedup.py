@@ -41,9 +41,9 @@ WINDOW = 35
 #: Lengths below the window's; each doubles the one before, and the window at most doubles the last.
 LEVELS = (9, 18)
 #: Windows that are handled at once: what bounds a task's memory.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 #: Bytes of text whose words are hashed at once.
-PORTION = 4 << 20
+PORTION = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 RUN_SCHEMA = "doc_id long, text_key long, p int, n int, h long, span long"
 _powers: dict[int, np.ndarray] = {}
@@ -198,8 +198,8 @@ def _settled(t: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     return twice, kinds.select("h", "span", "one.*"), [hit, kinds]
 
 
-def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, levels: tuple[int, int] = LEVELS) -> DataFrame:
-    """(doc_id, text_key, p, n): the n windows from word p on are repeated. Rows may overlap."""
+def _found(docs: DataFrame, doc_id: str, text: str, window: int, levels: tuple[int, int]) -> tuple[DataFrame, list[DataFrame]]:
+    """What repeated_windows() returns, before it is a table, and the tables that it reads."""
     keyed = _keyed(docs, doc_id, text)
     long_enough = keyed.filter(F.octet_length("text") >= 2 * window - 1)
     t = materialize(long_enough.mapInArrow(_of_texts(_level(levels[0], window, False, False), window), RUN_SCHEMA), "runs")
@@ -212,8 +212,14 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     each = materialize(each, "windows")
     more = materialize(each.groupBy("a", "b").agg(F.count("*").alias("c")).filter("c > 1").select("a", "b"), "windows-met")
     twice3 = each.join(more, ["a", "b"]).select("doc_id", "text_key", "p", F.lit(1).alias("n"))
-    found = materialize(twice.unionByName(twice2).unionByName(twice3).distinct(), "windows-found")
-    release(*held, *held2, each, more)
+    return twice.unionByName(twice2).unionByName(twice3).distinct(), [*held, *held2, each, more]
+
+
+def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, levels: tuple[int, int] = LEVELS) -> DataFrame:
+    """(doc_id, text_key, p, n): the n windows from word p on are repeated. Rows may overlap."""
+    found, read = _found(docs, doc_id, text, window, levels)
+    found = materialize(found, "windows-found")
+    release(*read)
     return found
 
 
@@ -223,9 +229,9 @@ def strip(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window
     A text that loses words is its kept words, joined by one space; others stay
     as they are. digest: doc_id, n_words, n_removed, kept_sha256 instead.
     """
-    gone = repeated_windows(docs, doc_id=doc_id, text=text, window=window)
+    gone, read = _found(docs, doc_id, text, window, LEVELS)
     spans = materialize(gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("runs")), "repeated")
-    release(gone)
+    release(*read)
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("runs").alias("_runs"))
     rows = docs.withColumn("_text", F.col(text).cast("binary"))
     rows = rows.select(F.col(doc_id).cast("long").alias("doc_id"), text, "_text") if digest else rows

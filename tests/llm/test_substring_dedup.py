@@ -110,3 +110,26 @@ def test_equal_ids_with_different_texts_of_one_short_hash(spark, make_docs):
     assert got(substring_dedup.strip(docs, digest=True)) == expect(list(zip(ids, texts, strict=True)))
     kept = Counter((r.doc_id, r.text) for r in substring_dedup.strip(docs).collect())
     assert kept[None, texts[2]] == kept[5, texts[4]] == 1
+
+
+def test_a_task_on_much_text_takes_little_memory_and_few_tables_are_written(spark, make_docs, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from arbora.llm import common
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(600)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(range(1500)), pa.array(texts)], ["doc_id", "text_key", "text"])
+    substring_dedup._powers.clear()
+    tracemalloc.start()  # numpy tells it of its arrays
+    n = sum(sum(b.column("n").to_pylist()) for b in substring_dedup._of_texts(substring_dedup._level(9, 35, False, True), 35)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1500 * (600 - 34) and peak < 30e6
+    labels = []
+    real = common.new_path
+    monkeypatch.setattr(common, "new_path", lambda session, label: labels.append(label) or real(session, label))
+    assert got(substring_dedup.strip(make_docs(made(5)), digest=True)) == expect(list(enumerate(made(5))))
+    assert len(labels) == 11
