@@ -7,6 +7,7 @@ that cost time or money aren't made twice.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import random
@@ -14,16 +15,22 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any, NamedTuple
 
 import pandas as pd
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Summarize = Callable[[str], str | None]
 MOST_CHARS, AT_ONCE = 4000, 10
+#: A task writes its answers at the latest with the first one that comes so many seconds after the last file, or so many answers.
+WRITE_AFTER, IN_A_FILE = 1.0, 20_000
+PACKS = "packs"
 
 
 _turn = threading.Lock()
@@ -55,15 +62,34 @@ class Answers:
 
     def _place(self, key: Any) -> tuple[fs.FileSystem, str]:
         name = hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()
-        where, base = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        where, base = _folder(self.path)
         return where, f"{base}/{name[:2]}/{name}.json"
 
-    def ask(self, key: Any, call: Callable[[], Any]) -> Told:
-        """The stored answer to ``key``, or the call's, which is stored; it must be what JSON can hold."""
+    def found(self, key: Any) -> Told | None:
+        """The stored answer to ``key``."""
         where, place = self._place(key)
         if where.get_file_info(place).type == fs.FileType.File:
             with where.open_input_stream(place) as f:
                 return Told(json.loads(f.read()), None)
+        return None
+
+    def single(self) -> bool:
+        """Whether the folder has answers in files of their own."""
+        where, base = _folder(self.path)
+        return any(f.base_name != PACKS for f in where.get_file_info(fs.FileSelector(base, allow_not_found=True)))
+
+    def ask(self, key: Any, call: Callable[[], Any]) -> Told:
+        """The stored answer to ``key``, or the call's, which is stored; it must be what JSON can hold."""
+        if told := self.found(key):
+            return told
+        told = self.call(call)
+        if told.error is None:
+            where, place = self._place(key)
+            _write(where, place, json.dumps(told.value).encode())
+        return told
+
+    def call(self, call: Callable[[], Any]) -> Told:
+        """The call's answer, which isn't stored here."""
         error = ""
         for k in range(max(1, self.tries)):
             if k:
@@ -74,12 +100,6 @@ class Answers:
             except Exception as e:  # a failed call is told, not raised  # noqa: BLE001
                 error = str(e) or type(e).__name__
                 continue
-            folder = place.rsplit("/", 1)[0]
-            where.create_dir(folder, recursive=True)
-            draft = f"{folder}/.{uuid.uuid4().hex}"
-            with where.open_output_stream(draft) as f:
-                f.write(json.dumps(value).encode())
-            where.move(draft, place)
             return Told(value, None)
         return Told(None, error)
 
@@ -91,6 +111,66 @@ class Answers:
             time.sleep(max(0.0, wait))
 
 
+def _folder(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _write(where: fs.FileSystem, place: str, body: bytes) -> None:
+    """A file that is whole or absent."""
+    folder = place.rsplit("/", 1)[0]
+    where.create_dir(folder, recursive=True)
+    draft = f"{folder}/.{uuid.uuid4().hex}"
+    with where.open_output_stream(draft, compression=None) as f:
+        f.write(body)
+    where.move(draft, place)
+
+
+class Pack:
+    """Many answers to a file, each by its key, in a store's folder ``packs``: what one task of a run has asked.
+
+    A file is whole or absent. Answers are written with the first one that comes a
+    second after the last file, so slow calls are kept as they end; a task that is
+    lost asks again what ended within that second. A task that is run again reads
+    what its earlier attempts have written.
+    """
+
+    def __init__(self, path: str, run: str) -> None:
+        self.where, base = _folder(path)
+        self.folder, self.mine = f"{base}/{PACKS}", f"{run}-{TaskContext.get().partitionId()}-"
+        self.lines: list[str] = []
+        self.lock, self.at = threading.Lock(), time.monotonic()
+
+    def earlier(self) -> dict[str, str | None]:
+        """What earlier attempts of this task have asked, by key."""
+        out: dict[str, str | None] = {}
+        for f in self.where.get_file_info(fs.FileSelector(self.folder, allow_not_found=True)):
+            if f.base_name.startswith(self.mine):
+                with self.where.open_input_stream(f.path, compression="gzip") as x:
+                    out |= {r["key"]: r["value"] for r in map(json.loads, x.read().decode().splitlines())}
+        return out
+
+    def add(self, key: str, value: str | None) -> None:
+        with self.lock:
+            self.lines.append(json.dumps({"key": key, "value": value}) + "\n")
+            if time.monotonic() - self.at >= WRITE_AFTER or len(self.lines) >= IN_A_FILE:
+                self.write()
+
+    def write(self) -> None:
+        if self.lines:
+            _write(self.where, f"{self.folder}/{self.mine}{uuid.uuid4().hex}.json.gz", gzip.compress("".join(self.lines).encode(), 6))
+        self.lines, self.at = [], time.monotonic()
+
+
+def packed(rows: DataFrame, store: str) -> DataFrame | None:
+    """(_key, _known, _has): the answers of a store's packs; none if there are none."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{PACKS}")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    told = spark.read.schema("key string, value string").json(f"{store}/{PACKS}")
+    return told.groupBy(F.col("key").alias("_key")).agg(F.first("value").alias("_known"), F.lit(True).alias("_has"))
+
+
 def share(per_second: float | None, rows: DataFrame) -> float:
     """Seconds between two calls of a task, where all tasks that run at once keep to a rate."""
     return rows.sparkSession.sparkContext.defaultParallelism / per_second if per_second else 0.0
@@ -107,20 +187,17 @@ def summarize(rows: DataFrame, text: str, model: Summarize = first_words, *, int
 
     With a ``store``, a folder that all tasks reach, equal texts are asked once, by
     the model's name and the text that it sees, and failed calls are tried again.
+    Answers are packed (see Pack); what a store holds already meets the rows by a join.
     """
     names = [c for c in rows.columns if c != into]
     schema = rows.select(*names).schema.add(into, "string")
     who = getattr(model, "__qualname__", type(model).__name__)
-    kept = Answers(store, tries, wait, share(per_second, rows)) if store else None
+    if store:
+        return _summarize_kept(rows.select(*names), text, model, who, schema, into, at_once, Answers(store, tries, wait, share(per_second, rows)))
 
     def ask(body: str | None) -> str | None:
-        if body is None:
-            return None
-        body = body[:MOST_CHARS]
-        if kept:
-            return kept.ask(["summary", who, body], lambda: model(body)).value
         try:
-            return model(body)
+            return None if body is None else model(body[:MOST_CHARS])
         except Exception:  # a failed call leaves no summary  # noqa: BLE001
             return None
 
@@ -130,5 +207,37 @@ def summarize(rows: DataFrame, text: str, model: Summarize = first_words, *, int
                 told = {body: pool.submit(ask, body) for body in dict.fromkeys(batch[text])}  # equal texts of a batch are asked once
                 yield batch.assign(**{into: [told[body].result() for body in batch[text]]})
 
-    wanted = rows.select(*names)
-    return (wanted.repartition(text) if store else wanted).mapInPandas(run, schema)  # equal texts in one task
+    return rows.select(*names).mapInPandas(run, schema)
+
+
+def _summarize_kept(rows: DataFrame, text: str, model: Summarize, who: str, schema: StructType, into: str, at_once: int, kept: Answers) -> DataFrame:
+    key = F.when(F.col(text).isNotNull(), F.sha2(F.concat_ws("\t", F.lit("summary"), F.lit(who), F.left(text, F.lit(MOST_CHARS))), 256))
+    keyed, known, run_id = rows.withColumn("_key", key), packed(rows, kept.path), uuid.uuid4().hex
+    keyed = keyed.withColumns({"_known": F.lit(None).cast("string"), "_has": F.lit(None).cast("boolean")}).repartition("_key") if known is None else keyed.join(known, "_key", "left").repartition("_key")
+    keyed = keyed.sortWithinPartitions("_key")  # equal texts meet in one task, one after the other
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = Pack(kept.path, run_id)
+        before, single = pack.earlier(), kept.single()
+
+        def ask(key: str, body: str) -> str | None:
+            seen = body[:MOST_CHARS]
+            told = (kept.found(["summary", who, seen]) if single else None) or kept.call(lambda: model(seen))
+            if told.error is None:
+                pack.add(key, told.value)
+            return told.value
+
+        last: dict[str, str | None] = {}
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                told: dict[str, Any] = {}
+                for k, body, value, has in zip(batch["_key"], batch[text], batch["_known"], batch["_has"], strict=True):
+                    if k is not None and k not in told:
+                        told[k] = value if has is True else before[k] if k in before else last[k] if k in last else pool.submit(ask, k, body)
+                told = {k: x.result() if isinstance(x, Future) else x for k, x in told.items()}
+                yield batch[names].assign(**{into: [told.get(k) for k in batch["_key"]]})
+                last = {k: told[k] for k in list(told)[-1:]}
+        pack.write()
+
+    names = rows.columns
+    return keyed.mapInPandas(run, schema)

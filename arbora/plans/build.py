@@ -11,6 +11,7 @@ from arbora.functions import models
 from arbora.functions.text import compress, node_text, snippet
 from arbora.operators import bm25
 from arbora.sources import extract, source_tree
+from arbora.sources.shared import materialize
 from arbora.sources.sinks import IndexFiles, meta
 
 
@@ -42,6 +43,15 @@ def summarized(nodes: DataFrame, files: DataFrame, config: BuildConfig) -> DataF
     return both.withColumn("summary", F.coalesce("summary", "_told")).select(*nodes.columns)
 
 
+def node_summaries(files: DataFrame, config: BuildConfig) -> DataFrame:
+    """(node_id, summary) as of summarized(), of files (path, text) alone: a task cuts what the model sees from the files it reads, and each node is stored once."""
+    work = F.col("kind").isin(*(extract.SUMMARISED if config.scope == "structured" else ("file",))) & (F.col("loc") >= config.min_loc) & F.col("summary").isNull()
+    body = F.when(work, F.when(F.col("kind") == "file", compress(F.col("body"))).otherwise(F.col("body")))
+    nodes = materialize(extract.only(files, "nodes", "body", bodies=config.min_loc).select("node_id", "summary", body.alias("body")), "bodies")
+    told = models.summarize(nodes.filter("body is not null").select("node_id", "body"), "body", config.summarize, store=config.answers)
+    return nodes.filter("body is null").select("node_id", "summary").unionByName(told.select("node_id", "summary"))
+
+
 def build(spark: SparkSession, root: str, out: str, config: BuildConfig | None = None) -> DataFrame:
     """Builds the index of the tree at ``root`` in the folder ``out``; gives its meta row."""
     config, target = config or BuildConfig(), IndexFiles(spark, out)

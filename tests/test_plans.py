@@ -120,3 +120,23 @@ def test_export_and_models(spark, index):
     assert {r.k: r.summary for r in models.summarize(rows, "body", model).collect()} == {1: "Title here", 2: None, 3: None}
     with pytest.raises(ValueError):
         build.BuildConfig(scope="other")
+
+
+def test_answers_are_packed_and_kept(spark, tmp_path):
+    """Thousands of answers are a few files; a second run asks nothing, equal texts are asked once, and answers in files of their own still count."""
+    store, log = str(tmp_path / "store"), tmp_path / "log"
+
+    def model(text):
+        with open(log, "a") as f:
+            f.write(text + "\n")
+        return None if text.endswith("7") else text.upper()
+
+    who = model.__qualname__
+    models.Answers(store).ask(["summary", who, "text 5"], lambda: "kept before")
+    rows = spark.range(6000).selectExpr("id", "concat('text ', id % 3000) as body", "'x' as summary").repartition(4)
+    want = {k: None if k % 10 == 7 else f"TEXT {k}" for k in range(3000)} | {5: "kept before"}
+    for _ in range(2):
+        got = models.summarize(rows, "body", model, store=store).collect()
+        assert len(got) == 6000 and all(r.summary == want[r.id % 3000] for r in got)
+    assert sorted(log.read_text().split("\n")[:-1]) == sorted(f"text {k}" for k in range(3000) if k != 5)
+    assert 0 < sum(1 for _ in (tmp_path / "store").rglob("*") if _.is_file()) < 100
