@@ -2,6 +2,7 @@ import json
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from arbora.functions import models
 from arbora.operators import search, trace, tree
@@ -140,3 +141,14 @@ def test_answers_are_packed_and_kept(spark, tmp_path):
         assert len(got) == 6000 and all(r.summary == want[r.id % 3000] for r in got)
     assert sorted(log.read_text().split("\n")[:-1]) == sorted(f"text {k}" for k in range(3000) if k != 5)
     assert 0 < sum(1 for _ in (tmp_path / "store").rglob("*") if _.is_file()) < 100
+
+
+def test_postings_move_texts_once(spark, tmp_path):
+    """Counts, limit and lengths of postings take the one shuffle of texts; rows of equal ids are one document."""
+    from arbora.operators import bm25
+
+    spark.createDataFrame([(1, "a b a"), (2, "b c"), (1, "c c c"), (3, None)], "id long, t string").write.parquet(str(tmp_path / "d"))
+    post = bm25.postings(spark.read.parquet(str(tmp_path / "d")), "id", F.col("t"), vocabulary=2)
+    for df in (post, bm25.lengths(post)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, post.collect())) == [(1, "a", 2), (1, "c", 3), (2, "b", 1), (2, "c", 1)]
